@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, secret_scan, token_counts, url_filter
+from . import decontaminate, language_id, ngram_join, secret_scan, token_counts, url_filter
 
 #: Rules of the URL query.
 RULES = [
@@ -30,6 +30,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -69,5 +73,5 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_url_filters, op8_decontamination, op9_secret_scans, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op5_url_filters, op8_decontamination, op9_secret_scans, op10_token_counts)}
 ORACLES = {"op5_url_filters": OP5_SQL}
