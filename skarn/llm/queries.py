@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, ngram_join, secret_scan, token_counts, url_filter
+from . import decontaminate, language_id, ngram_join, secret_scan, substring_dedup, token_counts, url_filter
 
 #: Rules of the URL query.
 RULES = [
@@ -38,6 +38,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 20)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,5 +77,44 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op5_url_filters, op8_decontamination, op9_secret_scans, op10_token_counts)}
-ORACLES = {"op5_url_filters": OP5_SQL}
+OP2_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 3], ' ')) AS s
+  FROM texts, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS u(i) WHERE len(ws) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common.n >= 85 * (x.n + y.n - common.n)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION
+  SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a
+)
+SELECT reach.doc_id, coalesce(any_value(sizes.n), 0)::BIGINT AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.doc_id GROUP BY reach.doc_id
+"""
+
+OP6_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(ws[i:i + 19], ' ')) ORDER BY doc_id, i) AS nth
+  FROM texts, unnest(range(1, len(ws) - 18)) AS u(i)
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM windows, unnest(range(0, 20)) AS v(k) WHERE nth > 1
+), places AS (
+  SELECT doc_id, i, ws[i] AS w FROM texts, unnest(range(1, len(ws) + 1)) AS u(i)
+), kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n FROM places ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op5_url_filters, op6_substring_dedup, op8_decontamination, op9_secret_scans, op10_token_counts)}
+ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op5_url_filters": OP5_SQL}
