@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, ngram_join, secret_scan, substring_dedup, token_counts, url_filter
+from . import bpe_lexicon, decontaminate, language_id, ngram_join, secret_scan, substring_dedup, token_counts, url_filter
 
 #: Rules of the URL query.
 RULES = [
@@ -42,6 +42,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 20)
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_lexicon.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -116,5 +120,5 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM texts LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op5_url_filters, op6_substring_dedup, op8_decontamination, op9_secret_scans, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op5_url_filters, op6_substring_dedup, op7_bpe_round_trip, op8_decontamination, op9_secret_scans, op10_token_counts)}
 ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op5_url_filters": OP5_SQL}
