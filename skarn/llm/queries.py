@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_lexicon, decontaminate, language_id, ngram_join, secret_scan, substring_dedup, token_counts, url_filter
+from . import ann, bpe_lexicon, decontaminate, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_counts, url_filter
 
 #: Rules of the URL query.
 RULES = [
@@ -38,6 +38,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -124,5 +128,5 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM texts LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_nearest_neighbours, op5_url_filters, op6_substring_dedup, op7_bpe_round_trip, op8_decontamination, op9_secret_scans, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_html_extraction, op5_url_filters, op6_substring_dedup, op7_bpe_round_trip, op8_decontamination, op9_secret_scans, op10_token_counts)}
 ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op5_url_filters": OP5_SQL}
