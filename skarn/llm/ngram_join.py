@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import connected_components, materialize, select_as, small_batches
+from .common import connected_components, materialize, roots, select_as, small_batches
 
 #: Entries of tiles that one task groups, shingles that one task compares, and classes of a tile whose pairs are all tested.
 BUCKET_ENTRIES, GROUP_SHINGLES, PAIRS_UP_TO = 2_000_000, 2_000_000, 24
+#: One in so many tiles is looked at before the others.
+EARLY = 16
 _NO_ID = -(1 << 63)  # stands for a null doc_id within
 
 
@@ -277,9 +279,10 @@ def _candidates(num: int, den: int):
                 a, b = _tile_edges(n[at], [sigs[x] for x in at], num, den)
                 found_a.append(cls[at[a]])
                 found_b.append(cls[at[b]])
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        # Only what connects classes is needed of the task's edges: a forest, of fewer edges than classes.
+        nodes, low = roots(np.concatenate(found_a), np.concatenate(found_b)) if len(found_a) > 1 else (found_a[0], found_b[0])
+        keep = nodes != low
+        return pa.table({"a": pa.array(nodes[keep]), "b": pa.array(low[keep])})
 
     return run
 
@@ -360,9 +363,19 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, num: int = 85, de
     per_shingle = 1.8 * (den - num) / num + 0.02
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles * per_shingle / BUCKET_ENTRIES))
     blobs = docs.mapInArrow(_emit_tiles(shingle, num, den, buckets), "bucket int, k binary, o binary, c binary")
-    tiles = blobs.groupBy("bucket").applyInArrow(_join_tiles, "tile long, cls long")
-    full = tiles.join(classes.select("cls", "n", "sig"), "cls").withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(buckets)))
-    pairs = full.groupBy("bin").applyInArrow(_candidates(num, den), "a long, b long")
+    tiles = materialize(blobs.groupBy("bucket").applyInArrow(_join_tiles, "tile long, cls long").distinct(), "tiles")
+
+    def candidates(rows: DataFrame) -> DataFrame:
+        full = rows.join(classes.select("cls", "n", "sig"), "cls").withColumn("bin", F.pmod(F.xxhash64("tile"), F.lit(buckets)))
+        return full.groupBy("bin").applyInArrow(_candidates(num, den), "a long, b long")
+
+    # A few of the tiles connect most of a large group; the other tiles matter only where they hold
+    # classes that aren't connected by then.
+    early = F.pmod(F.col("tile"), F.lit(EARLY)) == 0
+    before = materialize(connected_components(candidates(tiles.where(early)), "early").select(F.col("node").alias("cls"), F.col("comp").alias("grp")), "early")
+    late = tiles.where(~early).join(before, "cls", "left").select("tile", "cls", F.coalesce("grp", "cls").alias("grp"))
+    open_ = late.groupBy("tile").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("tile")
+    pairs = candidates(tiles.join(open_, "tile")).unionByName(before.select(F.col("cls").alias("a"), F.col("grp").alias("b")))
     groups = materialize(connected_components(pairs, "groups").select(F.col("node").alias("cls"), F.col("comp").alias("grp")), "grp")
 
     members = groups.join(classes.select("cls", "rep", "n"), "cls")
