@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,13 +119,23 @@ def validate_one(raw: str | None) -> dict:
     return {"strict": False, "lenient": target is not None, "error": error, "target": target}
 
 
-def _validate(raw: pd.Series) -> pd.DataFrame:
-    rows = [validate_one(r) for r in raw]
+_RESULT = f"struct<strict:boolean,lenient:boolean,error:string,target:{TARGET_DDL}>"
+
+
+def _arrow_type():
+    money = pa.struct([*((k, pa.float64()) for k in _NUMBERS), ("unit", pa.string())])
+    risks = pa.list_(pa.struct([(k, pa.string()) for k in ("title", "category", "summary")]))
+    target = pa.struct([("company", pa.string()), ("ticker", pa.string()), ("fiscal_year", pa.int32()), ("form_type", pa.string()), ("financials", money), ("risk_factors", risks)])
+    return pa.struct([("strict", pa.bool_()), ("lenient", pa.bool_()), ("error", pa.string()), ("target", target)])
+
+
+def _validate(raw: pa.Array) -> pa.Array:
+    rows = [validate_one(r) for r in raw.to_pylist()]
     for r in rows:
         y = r["target"] and r["target"]["fiscal_year"]
         if y is not None and r["target"] and not -(1 << 31) <= y < 1 << 31:
             r["target"]["fiscal_year"] = None
-    return pd.DataFrame(rows, columns=["strict", "lenient", "error", "target"])
+    return pa.array(rows, _arrow_type())  # not by way of pandas, which takes NaN for null
 
 
 def validate_target(raw: Column) -> Column:
@@ -135,4 +145,4 @@ def validate_target(raw: Column) -> Column:
     category or missing key makes the whole answer invalid. Null and blank answers are invalid.
     """
     ship_code(SparkSession.active())
-    return F.pandas_udf(_validate, f"struct<strict:boolean,lenient:boolean,error:string,target:{TARGET_DDL}>")(raw)
+    return F.arrow_udf(_validate, _RESULT)(raw)
