@@ -50,49 +50,53 @@ def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.array_distinct(pairs)
 
 
-def _places(key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+def _places(key: Column, bits: int, seed: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
 
 
-def _level(keys: DataFrame) -> tuple[int, list[int]]:
-    """Bits of a level that takes all keys (a column key of distinct strings)."""
-    n = keys.count()
+def _level(keys: DataFrame, n: int, seed: int) -> tuple[int, int, list[int]]:
+    """A level that takes all n keys (a column key of distinct strings), with hashes of its own."""
     bits = 64
-    while bits < BITS_PER_KEY * n and bits < MAX_BITS:
+    while bits < BITS_PER_KEY * n:
         bits *= 2
-    places = keys.select(F.explode(F.array(*_places(F.col("key"), bits))).alias("p"))
+    if bits > MAX_BITS:
+        raise ValueError(f"{n} keys need more than {MAX_BITS} bits")
+    places = keys.select(F.explode(F.array(*_places(F.col("key"), bits, seed))).alias("p"))
     words = places.groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
     out = [0] * (bits // 64)
     for w, v in words.collect():  # at most MAX_BITS / 64 words, however many keys there are
         out[w] = v
-    return bits, out
+    return bits, seed, out
 
 
-def takes(key: Column, level: tuple[int, list[int]]) -> Column:
+def takes(key: Column, level: tuple[int, int, list[int]]) -> Column:
     """Whether a level takes key."""
-    bits, words = level
+    bits, seed, words = level
     table = F.array(*[F.lit(w).cast("long") for w in words]) if len(words) <= 64 else F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
     out = F.lit(True)
-    for p in _places(key, bits):
+    for p in _places(key, bits, seed):
         word = F.element_at(table, (F.floor(p / 64) + 1).cast("int"))
         out = out & (F.call_function("getbit", word, (p % 64).cast("int")) == 1)
     return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> list[tuple[int, list[int]]]:
-    """Levels for the listed keys over all keys of the universe (columns key; repeats and nulls are ignored)."""
-    inside = materialize(listed.where("key is not null").select("key").distinct(), "urlin")
-    levels = [_level(inside)]
-    outside = universe.where("key is not null").where(takes(F.col("key"), levels[0])).select("key").distinct().join(inside, "key", "left_anti")
-    other, mine = materialize(outside, "urlout"), inside
-    while True:
-        if not other.take(1):
-            return levels
-        levels.append(_level(other))
+def build_cascade(listed: DataFrame, universe: DataFrame) -> list[tuple[int, int, list[int]]]:
+    """Levels for the listed keys over all keys of the universe (columns key; repeats and nulls are ignored).
+
+    Each level has hashes of its own, so what one takes wrongly the next ones rarely do, and the sets
+    shrink by a constant factor until one is empty.
+    """
+    mine = materialize(listed.where("key is not null").select("key").distinct(), "urlin")
+    levels = [_level(mine, mine.count(), 0)]
+    outside = universe.where("key is not null").where(takes(F.col("key"), levels[0])).select("key").distinct()
+    other = materialize(outside.join(mine, "key", "left_anti"), "urlout")
+    while n := other.count():
+        levels.append(_level(other, n, len(levels)))
         mine, other = other, materialize(mine.where(takes(F.col("key"), levels[-1])), "urlnext")
+    return levels
 
 
-def listed_in(key: Column, levels: list[tuple[int, list[int]]]) -> Column:
+def listed_in(key: Column, levels: list[tuple[int, int, list[int]]]) -> Column:
     """Whether key is listed; exact for keys of the universe of the cascade."""
     out = F.lit(len(levels) % 2 == 1)
     for k in reversed(range(len(levels))):
