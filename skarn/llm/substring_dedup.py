@@ -244,7 +244,8 @@ def repeated_windows(documents: DataFrame, window: int = 20) -> DataFrame:
     ones = docs.mapInArrow(_level_one(window, buckets), _BLOB)
     survivors = ones.groupBy("b").applyInArrow(_repeats, "doc long, row long, place int")
     places = survivors.groupBy("doc", "row").agg(F.collect_set("place").alias("places"))
-    full = docs.join(places, ["doc", "row"]).select("doc", "row", "text", "places")
+    # All columns of docs, used or not: so this exchange of whole texts is the one that remove_repeats() needs too.
+    full = docs.join(places, ["doc", "row"]).select("doc", "row", "text", "places", "doc_id")
     twos = full.mapInArrow(_level_two(window, buckets), _BLOB)
     return twos.groupBy("b").applyInArrow(_removals, "doc long, row long, place int")
 
