@@ -128,5 +128,37 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM texts LEFT JOIN kept USING (doc_id)
 """
 
+
+
+def _op9_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    entropy = secret_scan.CANDIDATE.removesuffix("+")
+    kinds = [("assign", secret_scan.ASSIGN, 2, "length(g[i]) >= 6"), ("access", secret_scan.ACCESS, 0, "length(m[i]) >= 20"), ("hex", secret_scan.HEX, 0, "length(m[i]) >= 24"), ("entropy", entropy, 0, "true")]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{kind}' AS kind, m[i] AS hit, (list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0))::BIGINT AS s "
+        f"FROM (SELECT doc_id, regexp_split_to_array(x, {quoted(pattern)}) AS p, regexp_extract_all(x, {quoted(pattern)}) AS m, regexp_extract_all(x, {quoted(pattern)}, {group}) AS g FROM t WHERE regexp_matches(x, {quoted(pattern)})), "
+        f"unnest(range(1, len(m) + 1)) AS u(i) WHERE {ok}"
+        for k, (kind, pattern, group, ok) in enumerate(kinds)
+    )
+    # RE2 has no back references: a run of one character is told by its first character.
+    allowed = " OR ".join(f"regexp_matches(hit, {quoted(p)})" for p in secret_scan.ALLOW if "\\1" not in p) + " OR length(replace(hit, hit[1], '')) = 0"
+    w, least = secret_scan.WINDOW, secret_scan.LEAST_BITS
+    highest = f"list_max(list_transform(range(1, greatest(1, length(hit) - {w - 1}) + 1), lambda j: list_aggregate(string_split(substr(hit, j, {w}), ''), 'entropy')))"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents
+), spans AS (SELECT doc_id, k, kind, hit, s, s + length(hit) AS e FROM ({found})
+), random AS (
+  SELECT doc_id, k, kind, s, e FROM spans r
+  WHERE k = 3 AND NOT ({allowed}) AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')
+    AND {highest} >= CASE WHEN regexp_matches(hit, '^[0-9a-fA-F]+$') THEN {least["hex"]}::DOUBLE WHEN regexp_matches(hit, '^[A-Za-z0-9]+$') THEN {least["alnum"]}::DOUBLE ELSE {least["base64"]}::DOUBLE END
+    AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.doc_id = r.doc_id AND b.k < 3 AND b.s <= r.s AND b.e >= r.e)
+), both_kinds AS (SELECT doc_id, k, kind, s, e FROM spans WHERE k < 3 UNION ALL SELECT * FROM random)
+SELECT t.doc_id, coalesce(sum((k = 0)::INT), 0)::BIGINT AS n_assign, coalesce(sum((k = 1)::INT), 0)::BIGINT AS n_access, coalesce(sum((k = 2)::INT), 0)::BIGINT AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k < 3), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k), '') AS spans
+FROM t LEFT JOIN both_kinds ON both_kinds.doc_id = t.doc_id GROUP BY t.doc_id
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_html_extraction, op5_url_filters, op6_substring_dedup, op7_bpe_round_trip, op8_decontamination, op9_secret_scans, op10_token_counts)}
-ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op5_url_filters": OP5_SQL}
+ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op9_secret_scans": _op9_sql(), "op5_url_filters": OP5_SQL}
