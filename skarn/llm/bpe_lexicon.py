@@ -9,6 +9,7 @@ are merged exactly as the tokenizer's merge ranks say, so ids never depend on th
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import tempfile
@@ -25,7 +26,7 @@ from .common import select_as, small_batches
 #: Fixed value: how the byte-level tokenizer cuts text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of the lexicon, words longer than which none is frequent, and words that a worker remembers at most.
-LEXICON_WORDS, LONGEST, REMEMBERED = 65_536, 64, 300_000
+LEXICON_WORDS, LONGEST, REMEMBERED = 65_536, 64, 600_000
 
 
 def _byte_chars() -> list[str]:
@@ -60,6 +61,12 @@ class Tokenizer:
             a, b = m if isinstance(m, list) else m.split(" ")
             a, b = bytes(byte[c] for c in a), bytes(byte[c] for c in b)
             self.merges.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
+        pairs = sorted((k >> 32) * self.size + (k & 0xFFFFFFFF) for k in self.merges)
+        self.pairs = np.array(pairs, np.int64)
+        ranked = [self.merges[(k // self.size) << 32 | k % self.size] for k in pairs]
+        self.pair_rank, self.rank_id = np.array([r for r, _ in ranked], np.int64), np.zeros(len(model["merges"]) + 1, np.int64)
+        for r, i in ranked:
+            self.rank_id[r] = i
         self.words = regex.compile(PATTERN).findall
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.lengths = np.array([len(t) for t in self.bytes], np.int64)
@@ -90,6 +97,58 @@ class Tokenizer:
             ids = out
         return ids
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair; a rank above all others where there is none, or where an id is -1."""
+        none = len(self.rank_id)
+        if not len(self.pairs):
+            return np.full(a.shape, none)
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.pair_rank[at], none)
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """merge() of many words at once: one merge of every word in each round, words of like length together."""
+        out: list[list[int]] = [[]] * len(words)
+        size = np.array([len(w) for w in words], np.int64)
+        first = np.array(self.first, np.int64)
+        for low, high in ((0, 8), (8, 16), (16, 32), (32, 64), (64, 200)):
+            part = np.flatnonzero((size > low) & (size <= high))
+            for c in range(0, len(part), 20_000):
+                rows = part[c : c + 20_000]
+                ids = np.full((len(rows), high + 1), -1, np.int64)
+                inside = np.arange(high + 1) < size[rows, None]
+                ids[inside] = first[np.frombuffer(b"".join(words[i] for i in rows), np.uint8)]
+                for i, own in zip(rows.tolist(), self._merged(ids)):
+                    out[i] = own
+        for i in np.flatnonzero(size > 200).tolist():
+            out[i] = self.merge_long(words[i])
+        return out
+
+    def _merged(self, ids: np.ndarray) -> list[list[int]]:
+        none, columns = len(self.rank_id), np.arange(ids.shape[1] - 1)
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        live = np.arange(len(ids))
+        while len(live):
+            r = ranks[live]
+            at = r.argmin(axis=1)  # the least rank, the leftmost of equal ones
+            best = r[np.arange(len(live)), at]
+            go = best < none
+            live, at, best, r = live[go], at[go], best[go], r[go]
+            if not len(live):
+                break
+            own, k = ids[live], np.arange(len(live))
+            moved = columns + (columns > at[:, None])  # what stands behind the merged pair moves up
+            own[:, :-1] = np.take_along_axis(own, moved, 1)
+            own[:, -1] = -1
+            own[k, at] = self.rank_id[best]
+            r = np.take_along_axis(np.concatenate([r, np.full((len(r), 1), none)], axis=1), moved, 1)
+            r[k, at] = self._ranks(own[k, at], own[k, at + 1])
+            before = np.flatnonzero(at > 0)
+            r[before, at[before] - 1] = self._ranks(own[before, at[before] - 1], own[before, at[before]])
+            ids[live], ranks[live] = own, r
+        ends = (ids >= 0).sum(axis=1)
+        return [row[:n] for row, n in zip(ids.tolist(), ends.tolist())]
+
     def merge_long(self, word: bytes) -> list[int]:
         """The same by a heap, for words too long for merge()'s scans."""
         import heapq
@@ -220,15 +279,22 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict = {}
-        self.ids: list[int] = []
-        self.starts: list[int] = [0]
-        for i in self.tokenizer.special.values():
-            self._learn(i, [i])
-
-    def _learn(self, word, ids: list[int]) -> None:
-        self.known[word] = len(self.starts) - 1
-        self.ids += ids
-        self.starts.append(len(self.ids))
+        self.flat, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self._learn(list(self.tokenizer.special.values()), [[i] for i in self.tokenizer.special.values()])
+
+    def _learn(self, words: list, ids: list[list[int]]) -> None:
+        n, m = len(self.known), int(self.starts[len(self.known)])
+        ends = m + np.cumsum([len(x) for x in ids], dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else m
+        for name, size in (("flat", total), ("starts", n + len(words) + 1)):
+            old = getattr(self, name)
+            if size > len(old):
+                grown = np.zeros(max(size, 2 * len(old)), old.dtype)
+                grown[: len(old)] = old
+                setattr(self, name, grown)
+        self.flat[m:total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total - m)
+        self.starts[n + 1 : n + 1 + len(words)] = ends
+        self.known.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and each text's start in them (one more at the end)."""
@@ -239,18 +305,21 @@ class Encoder:
             found = self.tokenizer.split(t) if t else []
             counts.append(len(found))
             words += found
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
         raw = [w.encode() for w in new]
-        for w, b, ids in zip(new, raw, self.lexicon.find(raw)):
-            self._learn(w, ids if ids is not None else self.tokenizer.merge(b) if len(b) <= 200 else self.tokenizer.merge_long(b))
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        start, flat = np.array(self.starts, np.int64), np.array(self.ids, np.uint32)
-        size = start[place + 1] - start[place]
+        ids = self.lexicon.find(raw)
+        lacking = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(lacking, self.tokenizer.merge_many([raw[i] for i in lacking])):
+            ids[i] = x
+        self._learn(new, ids)
+        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        size = self.starts[place + 1] - self.starts[place]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(start[place] - (ends - size), size) + np.arange(total)]
+        out = self.flat[np.repeat(self.starts[place] - (ends - size), size) + np.arange(total)]
         edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-        return ids, edge
+        return out, edge
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes that ids stand for."""
@@ -303,8 +372,8 @@ def build_lexicon(documents: DataFrame, path: str, words: int = LEXICON_WORDS) -
     What reaches the driver is at most words words of at most LONGEST characters.
     """
     spark, tokenizer = documents.sparkSession, Tokenizer(path)
-    top = word_counts(documents, path).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
-    lexicon = compile_lexicon({r["word"].encode(): tokenizer.merge(r["word"].encode()) for r in top})
+    top = [r["word"].encode() for r in word_counts(documents, path).orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
+    lexicon = compile_lexicon(dict(zip(top, tokenizer.merge_many(top))))
     folder = tempfile.mkdtemp(prefix="skarn-")
     name = f"lexicon-{hashlib.sha256(lexicon.tobytes()).hexdigest()[:16]}-{os.path.basename(folder)}.bin"
     lexicon.tofile(os.path.join(folder, name))
