@@ -119,32 +119,32 @@ def _listed(spans: Column) -> Column:
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """Adds assign, access, hexes and entropy (arrays of spans) to all columns of documents.
+    """Adds __skarn_assign, _access, _hexes and _entropy (arrays of spans) to all columns of documents.
 
     Null text counts as empty: no spans. Spans of several kinds may overlap; entropy spans that a base
     span covers are left out. Repeated rows are scanned one by one.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     assign, access, hexes = base_spans(text)
-    out = documents.withColumns({"_assign": assign, "_access": access, "_hexes": hexes})
+    out = documents.withColumns({"__skarn_assign": assign, "__skarn_access": access, "__skarn_hexes": hexes})
     entropy = _guarded(text, f"[A-Za-z0-9+/_-]{{{CANDIDATE_LEAST}}}", spans_of(text, CANDIDATE, "entropy", lambda m, g: looks_random(m)))
-    out = out.withColumn("_entropy", entropy)
-    based = F.concat("_assign", "_access", "_hexes")
-    free = F.filter(F.col("_entropy"), lambda e: ~F.exists(based, lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
-    return out.withColumn("_entropy", free)
+    out = out.withColumn("__skarn_entropy", entropy)
+    based = F.concat("__skarn_assign", "__skarn_access", "__skarn_hexes")
+    free = F.filter(F.col("__skarn_entropy"), lambda e: ~F.exists(based, lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
+    return out.withColumn("__skarn_entropy", free)
 
 
 def scan_secrets(documents: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row; see scan()."""
     found = scan(select_as(documents, doc_id="long", text="string"))
-    base = F.concat("_assign", "_access", "_hexes")
+    base = F.concat("__skarn_assign", "__skarn_access", "__skarn_hexes")
     return found.select(
         "doc_id",
-        F.size("_assign").cast("long").alias("n_assign"),
-        F.size("_access").cast("long").alias("n_access"),
-        F.size("_hexes").cast("long").alias("n_hex"),
+        F.size("__skarn_assign").cast("long").alias("n_assign"),
+        F.size("__skarn_access").cast("long").alias("n_access"),
+        F.size("__skarn_hexes").cast("long").alias("n_hex"),
         F.sha2(_listed(base), 256).alias("base_sha256"),
-        _listed(F.concat(base, F.col("_entropy"))).alias("spans"),
+        _listed(F.concat(base, F.col("__skarn_entropy"))).alias("spans"),
     )
 
 
@@ -155,7 +155,7 @@ def mask_secrets(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """
     columns = documents.columns
     found = scan(documents)
-    spans = F.array_sort(F.transform(F.concat("_assign", "_access", "_hexes", "_entropy"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    spans = F.array_sort(F.transform(F.concat("__skarn_assign", "__skarn_access", "__skarn_hexes", "__skarn_entropy"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     text = F.col("text")
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
