@@ -21,9 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     lang is replaced by the language predicted; profiles are fitted on the labels of docs. Extra columns stay.
     """
     profiles = language_id.fit_profiles(docs)
-    found = language_id.predict_language(docs, profiles)
-    found = found.where(F.col("lang_pred") != language_id.UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = language_id.predict_language(docs, profiles, "__skarn_lang", "__skarn_score")
+    found = found.where(F.col("__skarn_lang") != language_id.UNKNOWN)
+    return found.withColumn("lang", F.col("__skarn_lang")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import itertools
 import json
 import os
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import select_as, small_batches
+from .common import discard, materialize, select_as, small_batches, tidy
 
 #: Fixed value: how the byte-level tokenizer cuts text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of the lexicon, words longer than which none is frequent, and words that a worker remembers at most.
-LEXICON_WORDS, LONGEST, REMEMBERED = 65_536, 64, 600_000
+LEXICON_WORDS, LONGEST, REMEMBERED = 65_536, 64, 200_000
 
 
 def _byte_chars() -> list[str]:
@@ -306,14 +307,19 @@ class Encoder:
             counts.append(len(found))
             words += found
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        raw = [w.encode() for w in new]
-        ids = self.lexicon.find(raw)
-        lacking = [i for i, x in enumerate(ids) if x is None]
-        for i, x in zip(lacking, self.tokenizer.merge_many([raw[i] for i in lacking])):
-            ids[i] = x
-        self._learn(new, ids)
-        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        places = list(map(known.get, words))
+        unknown = [i for i, p in enumerate(places) if p is None]
+        if unknown:
+            new = list(dict.fromkeys(words[i] for i in unknown))
+            raw = [w.encode() for w in new]
+            ids = self.lexicon.find(raw)
+            lacking = [i for i, x in enumerate(ids) if x is None]
+            for i, x in zip(lacking, self.tokenizer.merge_many([raw[i] for i in lacking])):
+                ids[i] = x
+            self._learn(new, ids)
+            for i in unknown:
+                places[i] = known[words[i]]
+        place = np.array(places, np.int64)
         size = self.starts[place + 1] - self.starts[place]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -340,39 +346,55 @@ def _encoder(path: str, lexicon: str) -> Encoder:
     return _encoders[path, lexicon]
 
 
-def word_counts(documents: DataFrame, path: str) -> DataFrame:
-    """(word, n) over all texts; a word that occurs once in a part of the texts doesn't count there."""
+def piece_counts(documents: DataFrame) -> DataFrame:
+    """(piece, n): pieces of text between white space, over all texts; a piece that occurs once in a part
+    of the texts doesn't count there."""
     small_batches(documents.sparkSession)
 
     def run(batches):
-        from collections import Counter
-
-        split, counts = Tokenizer(path).split, Counter()
+        counts: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    counts.update(split(t))
-            if len(counts) > 500_000:
+                    counts.update(t.split())
+            if len(counts) > 300_000:
                 yield from _counted(counts)
                 counts.clear()
         yield from _counted(counts)
+        counts.clear()
+        tidy()
+
+    return select_as(documents, text="string").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
-    def _counted(counts):
-        kept = [(w, n) for w, n in counts.items() if n > 1 and isinstance(w, str) and len(w) <= LONGEST]
-        for a in range(0, len(kept), 10_000):
-            w, n = zip(*kept[a : a + 10_000])
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64())], ["word", "n"])
 
-    return select_as(documents, text="string").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _counted(counts: Counter):
+    kept = [(w, n) for w, n in counts.items() if n > 1 and len(w) <= LONGEST]
+    for a in range(0, len(kept), 10_000):
+        w, n = zip(*kept[a : a + 10_000])
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64())], ["piece", "n"])
 
 
 def build_lexicon(documents: DataFrame, path: str, words: int = LEXICON_WORDS) -> str:
     """Compiles the words most frequent in documents and sends the file to all workers; returns its name.
 
-    What reaches the driver is at most words words of at most LONGEST characters.
+    Words are what the tokenizer cuts the most frequent pieces into, each with the space before it.
+    What reaches the driver is at most words pieces of at most LONGEST characters.
     """
     spark, tokenizer = documents.sparkSession, Tokenizer(path)
-    top = [r["word"].encode() for r in word_counts(documents, path).orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
+    pieces = materialize(piece_counts(documents).withColumn("level", F.floor(8 * F.log2("n"))), "pieces")
+    # The lowest level from which on there are at most words pieces: so no task sends more than it must.
+    lowest, total = None, 0
+    for r in sorted(pieces.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # some hundred levels
+        total += r["count"]
+        if total > words:
+            break
+        lowest = r["level"]
+    counts: Counter = Counter()
+    for r in pieces.where(F.col("level") >= lowest).collect() if lowest is not None else []:
+        for w in tokenizer.words(" " + r["piece"]):
+            counts[w] += r["n"]
+    discard(pieces)
+    top = [w.encode() for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:words]]
     lexicon = compile_lexicon(dict(zip(top, tokenizer.merge_many(top))))
     folder = tempfile.mkdtemp(prefix="skarn-")
     name = f"lexicon-{hashlib.sha256(lexicon.tobytes()).hexdigest()[:16]}-{os.path.basename(folder)}.bin"
@@ -390,6 +412,7 @@ def encode_documents(documents: DataFrame, path: str, lexicon: str) -> DataFrame
             ids, edge = _encoder(path, lexicon).encode(batch.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(edge))], ["doc_id", "ids", "n_tokens"])
+        tidy()
 
     return select_as(documents, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import tempfile
 import uuid
@@ -54,6 +56,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def tidy() -> None:
+    """Gives freed memory of a Python worker back to the system: workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def select_as(df: DataFrame, **kinds: str) -> DataFrame:
     """Only these columns, cast; whatever else df has, clashing names included, stays out."""
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()])
@@ -94,14 +103,16 @@ def _forest(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[keep], pa.int64()), pa.array(low[keep], pa.int64())], ["u", "v"])
 
 
-def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "cc", forests: bool = False) -> DataFrame:
     """(node, comp) of every node of edges (a, b): comp is the smallest node that it reaches.
 
     Large-star and small-star rounds over tables in the shared folder; no list of links or nodes
-    reaches the driver. Nodes without edges are not listed; null ends are ignored.
+    reaches the driver. Nodes without edges are not listed; null ends are ignored. forests says that each
+    task's edges are few already (a forest), so that they needn't pass another Python worker first.
     """
     ends = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    now = materialize(ends.mapInArrow(_local_forest, "u long, v long").distinct(), name)
+    local = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")) if forests else ends.mapInArrow(_local_forest, "u long, v long")
+    now = materialize(local.distinct(), name)
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import select_as, small_batches
+from .common import select_as, small_batches, tidy
 
 #: Dimensions, letters of an n-gram, and characters that are worked on at once.
-DIM, N, CHUNK_CHARS = 512, 3, 1 << 20
+DIM, N, CHUNK_CHARS = 512, 3, 1 << 19
 #: Bound of the sample that profiles are fitted on: about so many documents of each language, chosen by hash of doc_id.
 FIT_ROWS_PER_LANG = 4000
 _BUCKETS = 1 << 10  # letters; code points of letters that differ by a multiple of it share a vector
@@ -147,24 +147,24 @@ def fit_profiles(labelled: DataFrame, rows_per_lang: int = FIT_ROWS_PER_LANG) ->
     parts = sample.mapInArrow(bundle, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     found = parts.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("vs")).orderBy("lang").collect()
     vectors = np.array([[x["v"] for x in r["vs"]] for r in found]).reshape(len(found), DIM)
-    # What all languages share (mostly word ends) tells nothing: each profile is taken against their mean.
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return Profiles([r["lang"] for r in found], (vectors / np.where(norm > 0, norm, 1)).astype(np.float32))
 
 
-def predict_language(documents: DataFrame, profiles: Profiles) -> DataFrame:
-    """documents with lang_pred and score added, by text alone.
+def predict_language(documents: DataFrame, profiles: Profiles, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """documents with columns lang and score added (in place of any of these names), by text alone.
 
     Null text, and text without a letter, gets und and 0. Equal cosines go to the first language by name.
     """
     small_batches(documents.sparkSession)
-    rows = documents.drop("lang_pred", "score")
-    fields = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = documents.drop(lang, score)
+    fields = T.StructType([*rows.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            names, score = profiles.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            names, cosines = profiles.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(cosines, pa.float64())], [*batch.schema.names, lang, score])
+        tidy()
 
     return rows.mapInArrow(run, fields)
 

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import connected_components, materialize, roots, select_as, small_batches
+from .common import connected_components, materialize, roots, select_as, small_batches, tidy
 
 #: Entries of tiles that one task groups, shingles that one task compares, and classes of a tile whose pairs are all tested.
-BUCKET_ENTRIES, GROUP_SHINGLES, PAIRS_UP_TO = 2_000_000, 2_000_000, 24
+BUCKET_ENTRIES, GROUP_SHINGLES, PAIRS_UP_TO = 500_000, 500_000, 24
 #: One in so many tiles is looked at before the others.
 EARLY = 16
 _NO_ID = -(1 << 63)  # stands for a null doc_id within
@@ -156,6 +156,7 @@ def _describe(k: int):
                 cls.append(set_hash(s))
                 sig.append(signature(s).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "cls", "sig"])
+        tidy()
 
     return run
 
@@ -176,11 +177,12 @@ def _emit_tiles(k: int, num: int, den: int, buckets: int):
                 owner.append(np.full(len(found), len(classes), np.uint32))
                 classes.append(c)
                 held += len(found)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield from _blobs(keys, owner, classes, buckets)
                     keys, owner, classes, held = [], [], [], 0
         if held:
             yield from _blobs(keys, owner, classes, buckets)
+        tidy()
 
     return run
 
@@ -205,6 +207,7 @@ def _blobs(keys, owner, classes, buckets):
 
 def _join_tiles(table: pa.Table) -> pa.Table:
     """(tile, cls) of a bucket's tiles with two classes or more; tiles of the same classes are one."""
+    tidy()
     keys, classes = [], []
     for key, own, cls in zip(*(table.column(c).to_pylist() for c in ("k", "o", "c"))):
         keys.append(np.frombuffer(key, np.uint32))
@@ -264,6 +267,7 @@ def _tile_edges(n: np.ndarray, sigs: list[np.ndarray], num: int, den: int) -> tu
 
 def _candidates(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         tile, cls, n = (table.column(c).to_numpy() for c in ("tile", "cls", "n"))
         order = np.lexsort((cls, tile))
         tile, cls, n = tile[order], cls[order], n[order]
@@ -326,18 +330,23 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | No
 
 def _link_group(k: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        cls, grp, side = table.column("cls").to_numpy(), table.column("part").to_numpy(), table.column("side").to_numpy()
-        data, starts = tx.texts(table.column("text").combine_chunks())
-        sets: dict[int, list] = {}
-        for a, b in tx.chunks(starts):
-            for i, s in zip(range(a, b), shingle_sets(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], k)):
-                if len(s) and set_hash(s) == cls[i]:
-                    sets.setdefault(int(grp[i]), []).append((int(cls[i]), s, int(side[i])))
+        tidy()
+        table = table.combine_chunks().sort_by("part")  # one group after another, so that one is held at a time
+        cls, part, side = (table.column(c).to_numpy() for c in ("cls", "part", "side"))
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0, [True]]))
         found = []
-        for members in sets.values():
-            members = list({m[0]: m for m in members}.values())
-            names = [m[0] for m in members]
-            found += [(names[x], names[y]) for x, y in link_sets([m[1] for m in members], num, den, np.array([m[2] for m in members]))]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            data, starts = tx.texts(table.column("text").slice(lo, hi - lo).combine_chunks())
+            names, sets, sides, seen = [], [], [], set()
+            for a, b in tx.chunks(starts):
+                for i, s in zip(range(a, b), shingle_sets(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], k)):
+                    if len(s) and set_hash(s) == cls[lo + i] and cls[lo + i] not in seen:
+                        seen.add(cls[lo + i])
+                        names.append(int(cls[lo + i]))
+                        sets.append(s)
+                        sides.append(int(side[lo + i]))
+            if len(sets) > 1:
+                found += [(names[x], names[y]) for x, y in link_sets(sets, num, den, np.array(sides))]
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -372,22 +381,23 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, num: int = 85, de
     # A few of the tiles connect most of a large group; the other tiles matter only where they hold
     # classes that aren't connected by then.
     early = F.pmod(F.col("tile"), F.lit(EARLY)) == 0
-    before = materialize(connected_components(candidates(tiles.where(early)), "early").select(F.col("node").alias("cls"), F.col("comp").alias("grp")), "early")
+    before = materialize(connected_components(candidates(tiles.where(early)), "early", forests=True).select(F.col("node").alias("cls"), F.col("comp").alias("grp")), "early")
     late = tiles.where(~early).join(before, "cls", "left").select("tile", "cls", F.coalesce("grp", "cls").alias("grp"))
     open_ = late.groupBy("tile").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("tile")
     pairs = candidates(tiles.join(open_, "tile")).unionByName(before.select(F.col("cls").alias("a"), F.col("grp").alias("b")))
-    groups = materialize(connected_components(pairs, "groups").select(F.col("node").alias("cls"), F.col("comp").alias("grp")), "grp")
+    groups = materialize(connected_components(pairs, "groups", forests=True).select(F.col("node").alias("cls"), F.col("comp").alias("grp")), "grp")
 
     members = groups.join(classes.select("cls", "rep", "n"), "cls")
     sizes = members.groupBy("grp").agg(F.sum("n").alias("total"))
     members = members.join(sizes, "grp")
     small = members.where(F.col("total") <= GROUP_SHINGLES).select("cls", "rep", F.col("grp").alias("part"), F.lit(0).alias("side"), "n")
     parts = small.unionByName(_blocks(members.where(F.col("total") > GROUP_SHINGLES), num, den))
-    n_bins = F.lit(max(buckets, 1))
+    compared = members.agg(F.sum("n")).first()[0] or 0
+    n_bins = F.lit(max(buckets, math.ceil(compared / GROUP_SHINGLES)))
     parts = parts.select("cls", F.coalesce("rep", F.lit(_NO_ID)).alias("rep"), "part", "side", F.pmod(F.xxhash64("part", F.lit(1)), n_bins).alias("bin"))
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep"), "text")
     links = parts.join(texts, "rep").select("bin", "part", "side", "cls", "text").groupBy("bin").applyInArrow(_link_group(shingle, num, den), "a long, b long")
-    comps = connected_components(links, "links").join(classes.select(F.col("cls").alias("node"), "rep"), "node")
+    comps = connected_components(links, "links", forests=True).join(classes.select(F.col("cls").alias("node"), "rep"), "node")
     comps = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("low")), "comp")
     names = classes.select("cls", "rep").join(comps.select(F.col("node").alias("cls"), "low"), "cls", "left").select("cls", F.coalesce("low", "rep").alias("low"))
     return rows.join(names, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -44,4 +44,5 @@ def test_stages_keep_columns_and_clean_documents(spark, documents, tmp_path):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, str(tmp_path))
             assert out.columns == docs.columns, name
+            assert {(r["doc_id"], r["n"], r["key"], r["score"]) for r in out.collect()} <= {(r["doc_id"], r["n"], r["key"], r["score"]) for r in rows.collect()}
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
