@@ -1,14 +1,17 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-A document's item-sized windows are placed where it has three words in a row that an item has too: the
-window starts as many words before them as the item does. From those words on, window and item are
-walked through by shared random walks (the CGK embedding), which turn few edits into few differing
-places of the walk. Places sampled from the walks give keys, and repeated keys reach the recall asked
-for: a window that shares a key with the item goes on to edit distance, which decides.
+Shared random walks (the CGK embedding) start at every character of the documents and of the items,
+and bytes sampled from a walk are a key. An edited copy of an item has walks that no edit touches, so
+it shares keys with the item wherever its edits lie; how long walks may be, so that copies with the full
+share of edits are found at the recall asked for, is measured by the length of items. Items too short for
+that are cut into one piece more than they may have edits, one of which is intact. A part of the item
+around the key must then be within reach, and edit distance decides.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,11 +20,14 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .common import select_as, small_batches
 
-#: Words of a seed; share of an item's characters that edits may take; recall that the keys are to
-#: reach for windows with half as many edits, measured on the items.
-SEED_WORDS, EDIT_SHARE, RECALL = 3, 0.2, 0.99
-#: Places of a key, steps and number of walks, most keys, and characters of items that one pass over the documents takes.
-KEY_PLACES, STEPS, WALKS, MOST_KEYS, ITEM_CHARS = 4, 96, 4, 64, 1 << 24
+#: Share of an item's characters that edits may take; recall that keys are to reach with that many edits.
+EDIT_SHARE, RECALL = 0.2, 0.99
+#: Steps of the walks, longest first; lengths of items and copies of each that recall is measured on.
+STEPS, LENGTHS, COPIES = (24, 22, 20, 18, 16, 14, 12), range(40, 401, 20), 400
+#: Characters of a part, further share of its characters that it may have edited, and places of a part that are looked at together.
+PART, PART_SHARE, NEAR = 64, 0.1, 16
+#: Items of fewer words are sought as whole words. Characters of items that one pass over the documents takes.
+WHOLE_WORDS, ITEM_CHARS = 3, 1 << 24
 _OUT = "doc_id long, item_id long, start_char long, end_char long, edits int, similarity double"
 
 
@@ -30,51 +36,100 @@ def normal(text: str) -> str:
     return b" ".join(text.encode().translate(bytes(tx.LOWER)).split()).decode("utf-8", "replace")
 
 
-def _walks() -> np.ndarray:
-    """The shared random walks: whether a byte moves on, for each walk, step and byte."""
-    made = getattr(_walks, "made", None)
+def letters(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a byte for each character, its place in data) of texts with A-Z lower-cased and white space as one space.
+
+    Equal characters have equal bytes; different ones beyond ASCII may, which only adds candidates.
+    """
+    low = tx.LOWER[data]
+    blank = tx._WS[data]
+    before = np.ones(len(data), bool)
+    before[1:] = blank[:-1]
+    before[starts[:-1][starts[:-1] < len(data)]] = True
+    at = np.flatnonzero(((data & 0xC0) != 0x80) & ~(blank & before))
+    out = low[at].copy()
+    out[blank[at]] = 32
+    wide = np.flatnonzero(out >= 128)
+    if len(wide):
+        more = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.int64)
+        b0, b1, b2 = (more[at[wide] + i] for i in range(3))
+        out[wide] = 128 + ((b0 * 37 + b1 + np.where(b0 >= 0xE0, b2 * 11, 0)) & 127)
+    return out, at
+
+
+def _walk() -> np.ndarray:
+    """The shared random walk: whether a byte moves on, for each step and byte."""
+    made = getattr(_walk, "made", None)
     if made is None:
-        made = _walks.made = np.random.default_rng(11).integers(0, 2, (WALKS, STEPS, 256), dtype=np.int64)
+        made = _walk.made = np.random.default_rng(11).integers(0, 2, (STEPS[0], 256), dtype=np.int64)
     return made
 
 
-def embed(texts: list[bytes]) -> np.ndarray:
-    """The byte at each step of each walk (texts x walks x steps); 0 once a text has ended."""
-    data = np.zeros((len(texts), STEPS + 1), np.uint8)
-    for k, t in enumerate(texts):
-        t = t[:STEPS]  # no walk gets further
-        data[k, : len(t)] = np.frombuffer(t, np.uint8)
-    rows, out = np.arange(len(texts)), np.zeros((len(texts), WALKS, STEPS), np.uint8)
-    for w, walk in enumerate(_walks()):
-        at = np.zeros(len(texts), np.int64)
-        for n in range(STEPS):
-            byte = data[rows, at]
-            out[:, w, n] = byte
-            at += walk[n][byte]
+def keys_of(chars: np.ndarray, wanted: tuple[int, ...] = STEPS) -> dict[int, np.ndarray]:
+    """Steps -> key of the walk of so many steps from each character on; 0s follow the last one."""
+    data = np.concatenate([chars, np.zeros(max(wanted) + 1, np.uint8)])
+    out, walk = {s: np.zeros(len(chars), np.uint64) for s in wanted}, _walk()
+    for a in range(0, len(chars), 1 << 14):  # what a core's cache holds
+        b = min(len(chars), a + (1 << 14))
+        part, at, key = data[a : b + max(wanted) + 1], np.arange(b - a), np.zeros(b - a, np.uint64)
+        for n in range(max(wanted)):
+            byte = part.take(at, mode="clip")
+            key *= np.uint64(0x9E3779B97F4A7C15)
+            key += byte
+            if n + 1 in out:
+                out[n + 1][a:b] = key ^ (key >> np.uint64(31))
+            at += walk[n].take(byte, mode="clip")
     return out
 
 
-def keys_of(texts: list[bytes], n: int) -> np.ndarray:
-    """n keys of each text: hashes of bytes sampled from the walks."""
-    walks, rng = embed(texts).astype(np.uint64), np.random.default_rng(13)
-    out = np.zeros((len(texts), n), np.uint64)
-    for t in range(n):
-        for place in np.sort(rng.choice(STEPS, KEY_PLACES, replace=False)):
-            out[:, t] = tx.joined(out[:, t], walks[:, t % WALKS, place])
+def edited(chars: np.ndarray, n: int, rng) -> np.ndarray:
+    """chars after n edits at random: characters replaced, put in or taken out."""
+    raw = bytearray(chars.tobytes())
+    for _ in range(n):
+        at, kind = int(rng.integers(0, len(raw))), int(rng.integers(0, 3))
+        raw[at : at + (kind != 1)] = bytes([int(rng.integers(97, 123))]) if kind != 2 else b""
+    return np.frombuffer(bytes(raw), np.uint8)
+
+
+def least_lengths(texts: list[np.ndarray], share: float, recall: float) -> dict[int, int]:
+    """Steps -> characters that an item needs so that copies with the full share of edits have a key of it, at this recall."""
+    rng, out, failed = np.random.default_rng(17), {}, set()
+    for size in reversed(LENGTHS):
+        long = [t for t in texts if len(t) >= size]
+        if not long:
+            continue
+        found = dict.fromkeys(STEPS, 0)
+        for _ in range(COPIES):
+            t = long[int(rng.integers(0, len(long)))]
+            at = int(rng.integers(0, len(t) - size + 1))
+            t = t[at : at + size]
+            a, b = keys_of(t), keys_of(edited(t, int(share * size), rng))
+            for s in STEPS:
+                found[s] += bool(np.isin(a[s][: max(0, size - s)], b[s]).any())
+        for s in STEPS:  # all lengths from there on must reach it
+            if found[s] >= recall * COPIES and s not in failed:
+                out[s] = size
+            else:
+                failed.add(s)
     return out
 
 
 def least_edits(pattern: str, text: str) -> int:
-    """Least edits that turn pattern into a part of text (Myers' bit vectors)."""
-    m = len(pattern)
+    """Least edits that turn pattern into a part of text."""
+    return best_end(pattern, text)[0]
+
+
+def best_end(pattern: str, text: str) -> tuple[int, int]:
+    """(least edits that turn pattern into a part of text, where the first such part ends), by Myers' bit vectors."""
+    m, end = len(pattern), 0
     if not m:
-        return 0
+        return 0, 0
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
     full, high = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score, best = full, 0, m, m
-    for c in text:
+    for n, c in enumerate(text, 1):
         eq = masks.get(c, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
@@ -85,62 +140,114 @@ def least_edits(pattern: str, text: str) -> int:
             score -= 1
         ph, mh = ph << 1 & full, mh << 1 & full
         plus, minus = mh | ~(xv | ph) & full, ph & xv
-        best = min(best, score)
-    return best
+        if score < best:
+            best, end = score, n
+    return best, end
+
+
+def within(masks: np.ndarray, size: np.ndarray, limit: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether a part of each row of text is within limit edits of its pattern of up to 64 characters (masks by byte)."""
+    one, rows = np.uint64(1), np.arange(len(text))
+    plus, minus = np.full(len(text), ~np.uint64(0)), np.zeros(len(text), np.uint64)
+    high, score = (size - 1).astype(np.uint64), size.astype(np.int64)
+    best = score.copy()
+    for c in np.ascontiguousarray(text.T):
+        eq = masks[rows, c]
+        xv = eq | minus
+        xh = (((eq & plus) + plus) ^ plus) | eq
+        ph, mh = minus | ~(xh | plus), plus & xh
+        score += ((ph >> high) & one).astype(np.int64) - ((mh >> high) & one).astype(np.int64)
+        ph, mh = ph << one, mh << one
+        plus, minus = mh | ~(xv | ph), ph & xv
+        np.minimum(best, score, out=best)
+    return best <= limit
 
 
 class Items:
-    """What a pass needs of its benchmark items: seeds, and keys of what follows each seed."""
+    """What a pass needs of its benchmark items: keys of walks or pieces, and parts to look at around them."""
 
     def __init__(self, items: list[tuple[int | None, str]], share: float = EDIT_SHARE, recall: float = RECALL):
         kept = [(i, normal(t)) for i, t in items]
         self.ids, self.texts = [i for i, t in kept if t], [t for _, t in kept if t]
-        self.share, self.limits = share, [int(share * len(t)) for _, t in kept if t]
-        self.n_words, rows = [], []
-        for k, t in enumerate(self.texts):
-            ws = t.encode().split()
-            data = np.frombuffer(t.encode(), np.uint8)
-            hashes = tx.words(data, np.array([0, len(data)]), False)[3]
-            self.n_words.append(len(ws))
-            w = min(SEED_WORDS, len(ws))
-            rows += [(w, int(h), k, o, b" ".join(ws[o:])) for o, h in enumerate(tx.sequences(hashes, w))]
-        rows.sort()
-        self.n_keys = self._keys_needed([r[4] for r in rows], recall)
-        self.item, self.offset = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
-        self.keys = keys_of([r[4] for r in rows], self.n_keys)
-        width = np.array([r[0] for r in rows], np.int64)
-        self.tables = {w: (np.array([r[1] for r in rows if r[0] == w], np.uint64), int(np.searchsorted(width, w))) for w in sorted(set(width.tolist()))}
-
-    def _keys_needed(self, tails: list[bytes], recall: float) -> int:
-        """Keys with which a share of recall of tails still share one after edits behind their seeds."""
-        rng = np.random.default_rng(17)
-        picked = [tails[i] for i in rng.choice(len(tails), min(len(tails), 400), replace=False)] if tails else []
-        edited = []
-        for t in picked:
-            raw, seed = bytearray(t), len(b" ".join(t.split()[:SEED_WORDS]))
-            for _ in range(round(self.share / 2 * (len(raw) - seed))):
-                at, kind, c = int(rng.integers(seed, max(seed + 1, len(raw)))), int(rng.integers(0, 3)), int(rng.integers(97, 123))
-                raw[at : at + (kind != 1)] = bytes([c]) if kind != 2 else b""
-            edited.append(bytes(raw))
-        if not picked:
-            return 1
-        same = np.cumsum(keys_of(picked, MOST_KEYS) == keys_of(edited, MOST_KEYS), axis=1) > 0
-        enough = np.flatnonzero(same.mean(axis=0) >= recall)
-        return int(enough[0]) + 1 if len(enough) else MOST_KEYS
-
-    def placed(self, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word, seed) of every place in the chunk where a seed occurs."""
-        found_at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for w, (values, base) in self.tables.items():
-            if len(hashes) < w:
-                continue
-            seq = tx.sequences(hashes, w)
-            low = np.searchsorted(values, seq)
-            hit = np.flatnonzero((values[np.minimum(low, len(values) - 1)] == seq) & (row[: len(seq)] == row[w - 1 :]))
-            n = np.searchsorted(values, seq[hit], "right") - low[hit]
-            found_at.append(np.repeat(hit, n))
-            found.append(base + np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        return np.concatenate(found_at), np.concatenate(found)
+        self.share, self.limits = share, [int(share * len(t)) for t in self.texts]
+        raw = [np.frombuffer(t.encode(), np.uint8) for t in self.texts]
+        chars = [letters(r, np.array([0, len(r)]))[0] for r in raw]
+        lengths = least_lengths(chars, share, recall)
+        seeds: dict[tuple[bool, int], list] = {}
+        parts: list[tuple[int, np.ndarray]] = []
+        self.item, self.begin = [], []
+        for k, c in enumerate(chars):
+            # Parts are even and at most PART long; a part of an item within its limit is within PART_SHARE more.
+            edge = np.linspace(0, len(c), -(-len(c) // PART) + 1).astype(np.int64)
+            first = len(parts)
+            parts += [c[x:y] for x, y in zip(edge, edge[1:])]
+            self.item += [k] * (len(edge) - 1)
+            self.begin += edge[:-1].tolist()
+            steps = next((s for s in STEPS if len(c) >= lengths.get(s, len(c) + 1)), None)
+            if steps:
+                keys = keys_of(c, (steps,))[steps][: max(1, len(c) - steps + 1)]
+                at = np.arange(len(keys))
+            else:  # some part has no more than its share of edits, and then one of its pieces is intact
+                cut = [np.linspace(x, y, int(share * (y - x)) + 2).astype(np.int64) for x, y in zip(edge, edge[1:])]
+                steps = -int(min(np.diff(x).min() for x in cut))
+                at = np.concatenate([x[:-1] for x in cut])
+                keys = tx.sequences(c.astype(np.uint64), -steps)[at]
+            part = first + np.searchsorted(edge, at, "right") - 1
+            seeds.setdefault(steps, []).append((keys, part, at - edge[part - first]))
+        self.item, self.begin = np.array(self.item, np.int64), np.array(self.begin, np.int64)
+        self.size = np.array([len(p) for p in parts], np.int64)
+        self.allowed = ((share + PART_SHARE) * self.size).astype(np.int64) + 1
+        # Bits of the places of each byte in each part; only bytes that items have get columns.
+        used = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint8)
+        self.column = np.zeros(256, np.int64)
+        self.column[used] = 1 + np.arange(len(used))
+        self.masks = np.zeros((len(parts), len(used) + 1), np.uint64)
+        for n, p in enumerate(parts):
+            np.bitwise_or.at(self.masks[n], self.column[p], np.uint64(1) << np.arange(len(p), dtype=np.uint64))
+        self.tables = {}
+        for steps, found in seeds.items():
+            keys, part, at = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(keys, kind="stable")
+            marks = np.zeros(1 << 18, bool)
+            marks[keys >> np.uint64(46)] = True
+            self.tables[steps] = (keys[order], part[order], at[order], marks)
+
+    def places(self, chars: np.ndarray) -> np.ndarray:
+        """(item, first character about where it would start) of every place that a key and the part around it show."""
+        walks = tuple(s for s in self.tables if s > 0)
+        keys = keys_of(chars, walks) if walks else {}
+        groups = []
+        for steps, (values, part, at, marks) in self.tables.items():
+            seen = keys[steps] if steps > 0 else tx.sequences(chars.astype(np.uint64), -steps)
+            hit = np.flatnonzero(marks[seen >> np.uint64(46)])
+            low = np.searchsorted(values, seen[hit])
+            same = values[np.minimum(low, len(values) - 1)] == seen[hit]
+            hit, low = hit[same], low[same]
+            n = np.searchsorted(values, seen[hit], "right") - low
+            for a, b in _even(n, 1 << 20):
+                m = n[a:b]
+                s = np.repeat(low[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                start = (np.repeat(hit[a:b], m) - at[s] + PART) // NEAR
+                groups.append(np.unique(part[s] << 32 | start))
+        groups = np.unique(np.concatenate(groups)) if groups else np.zeros(0, np.int64)
+        part, start = groups >> 32, (groups & 0xFFFFFFFF) * NEAR - PART
+        around = int((self.share + PART_SHARE) * PART) + 2
+        data = np.concatenate([np.zeros(PART + around, np.int64), self.column[chars], np.zeros(2 * (PART + around) + NEAR, np.int64)])
+        ok = np.zeros(len(part), bool)
+        for a in range(0, len(part), 4096):
+            p = part[a : a + 4096]
+            window = data[(start[a : a + 4096] + PART)[:, None] + np.arange(PART + 2 * around + NEAR)]
+            ok[a : a + 4096] = within(self.masks[p], self.size[p], self.allowed[p], window)
+        return np.unique(np.stack([self.item[part[ok]], start[ok] - self.begin[part[ok]]], axis=1), axis=0)
+
+
+def _even(n: np.ndarray, size: int):
+    """Ranges of n whose sums are about size."""
+    total, a = np.concatenate([[0], np.cumsum(n)]), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + size, "right")) - 1)
+        yield a, b
+        a = b
 
 
 def _hits(items: Items, batch: pa.RecordBatch):
@@ -149,35 +256,43 @@ def _hits(items: Items, batch: pa.RecordBatch):
     data, starts = tx.texts(column)
     for a, b in tx.chunks(starts):
         part, local = data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
-        begin, end, row, hashes = tx.words(part, local, True)
-        first = np.searchsorted(row, np.arange(b - a + 1))
-        word, seed = items.placed(hashes, row)
-        best: dict[tuple[int, int], tuple] = {}
-        for at in range(0, len(word), 4096):
-            _verify(items, tx.LOWER[part], begin, end, first, row, word[at : at + 4096], seed[at : at + 4096], best)
-        for (r, k), (edits, _, x, y) in sorted(best.items()):
-            lead, inside = (len(part[i:j].tobytes().decode("utf-8", "replace")) for i, j in ((local[r], x), (x, y)))
-            yield ids[a + r].as_py(), items.ids[k], lead, lead + inside, edits, 1 - edits / len(items.texts[k])
-
-
-def _verify(items: Items, low, begin, end, first, row, word, seed, best) -> None:
-    """Puts (edits, first word, start, end) of the best window of each (row, item) into best."""
-
-    def words_of(i, j):
-        return b" ".join(low[begin[i] : end[j - 1]].tobytes().split())
-
-    item, start = items.item[seed], word - items.offset[seed]
-    stop = np.minimum(start + np.array(items.n_words, np.int64)[item], first[row[word] + 1])
-    alike = (keys_of([words_of(a, b) for a, b in zip(word, stop)], items.n_keys) == items.keys[seed]).any(axis=1)
-    for r, k, s, e in sorted({(int(row[w]), int(item[i]), int(start[i]), int(stop[i])) for i, w in enumerate(word) if alike[i]}):
-        if best.get((r, k), (1,))[0] == 0:
-            continue
-        slack = int(items.share * items.n_words[k]) + 1
-        i, j = max(int(first[r]), s - slack), min(int(first[r + 1]), e + slack)
-        edits = least_edits(items.texts[k], words_of(i, j).decode("utf-8", "replace"))
-        s = max(s, int(first[r]))
-        if edits <= items.limits[k] and ((r, k) not in best or (edits, s) < best[r, k][:2]):
-            best[r, k] = (edits, s, int(begin[s]), int(end[e - 1]))
+        chars, at = letters(part, local)
+        first = np.searchsorted(at, local)  # characters before each row
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        _verify(items, part, at, first, items.places(chars), best)
+        count = np.cumsum((part & 0xC0) != 0x80)  # characters up to each byte
+        for (r, k), (edits, x, y) in sorted(best.items()):
+            lead = count[local[r]] - 1
+            yield ids[a + r].as_py(), items.ids[k], int(count[at[x]] - 1 - lead), int(count[at[y - 1]] - lead), edits, 1 - edits / len(items.texts[k])
+
+
+def _verify(items: Items, part, at, first, places, best) -> None:
+    """Puts (edits, first character, end) of the best span of each (row, item) into best."""
+    ends = np.append(at, len(part))
+
+    def text_of(i, j):
+        raw = part[ends[i] : ends[j]].tobytes().translate(bytes(tx.LOWER))
+        return re.sub(rb"[\x20\x09-\x0D]+", b" ", raw).decode("utf-8", "replace")[: j - i]
+
+    done: dict[tuple[int, int], int] = {}  # up to where a row was searched for an item
+    for k, s in places.tolist():
+        size, limit = len(items.texts[k]), items.limits[k]
+        slack = limit + int(PART_SHARE * size) + NEAR + PART
+        r, last = (int(np.searchsorted(first, min(max(x, 0), first[-1] - 1), "right")) - 1 for x in (s - slack, s + size + slack))
+        for r in range(r, last + 1):
+            i, j = max(int(first[r]), s - slack), min(int(first[r + 1]), s + size + slack)
+            if i >= j or best.get((r, k), (1,))[0] == 0 or j <= done.get((r, k), -1):
+                continue
+            done[r, k] = j
+            pad = " " if items.texts[k].count(" ") < WHOLE_WORDS - 1 else ""
+            lead = pad if i == first[r] else ""
+            pattern, text = pad + items.texts[k] + pad, lead + text_of(i, j) + (pad if j == first[r + 1] else "")
+            edits, end = best_end(pattern, text)
+            if edits > limit or (r, k) in best and edits >= best[r, k][0]:
+                continue
+            start = end - best_end(pattern[::-1], text[:end][::-1])[1]
+            x = i - len(lead) + start + len(text[start:end]) - len(text[start:end].lstrip(" "))
+            best[r, k] = (edits, x, x + len(text[start:end].strip(" ")))
 
 
 def _passes(benchmark: DataFrame, share: float, recall: float):
@@ -195,10 +310,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = EDIT_S
     """(doc_id, item_id, start_char, end_char, edits, similarity): documents that hold a benchmark item, or most of it.
 
     An item counts as held if at most share of its characters need editing to find it in the document,
-    A-Z in either case and any white space alike; the span is the window that shows it with the fewest
+    A-Z in either case and any white space alike; the span is the part that shows it with the fewest
     edits, the first of these. One row for each document row and item; repeated items have rows each.
     Items without words, null items and null texts have no hits, null ids stay null; empty tables give
-    an empty result. Items of fewer than three words are sought by all their words. Items go to the
+    an empty result. Items of fewer than three words are sought as whole words. Items go to the
     workers in parts of ITEM_CHARS characters at most, with a pass over documents for each.
     """
     spark = documents.sparkSession

@@ -92,3 +92,31 @@ def test_recall_of_edited_items(rng):
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs)], ["doc_id", "text"])
     found = {(r[0], r[1]) for r in D._hits(items, batch)}
     assert sum((i, i) in found for i in range(150)) >= 0.97 * 150 and all(a == b for a, b in found)
+
+
+def test_recall_at_the_full_share(rng):
+    """As many edits at random places as are allowed, for long and short items."""
+    import pyarrow as pa
+
+    texts = [prose(rng, 60) for _ in range(100)] + [prose(rng, n) for n in (4, 8, 12, 20) for _ in range(25)]
+    items = D.Items(list(enumerate(texts)))
+    docs = []
+    for t in texts:
+        raw = list(t)
+        for _ in range(int(D.EDIT_SHARE * len(raw))):
+            at, kind = rng.randrange(len(raw)), rng.randrange(3)
+            raw[at : at + (kind != 1)] = [] if kind == 2 else ["q"]
+        docs.append("before it " + "".join(raw) + " after it")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs)], ["doc_id", "text"])
+    found = {(r[0], r[1]) for r in D._hits(items, batch)}
+    assert sum((i, i) in found for i in range(len(docs))) >= 0.98 * len(docs)
+
+
+def test_short_items_with_an_edit_in_the_middle():
+    import pyarrow as pa
+
+    texts = ["red apple tree", "the tiny cat sat down", "kilogram", "cat"]
+    docs = ["a red ap#le tree b", "The tiny cxt sat  down", "one kilxgram two", "concat cats", "con-cat the CAT é"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(docs)], ["doc_id", "text"])
+    got = {(r[0], r[1]): r[2:5] for r in D._hits(D.Items(list(enumerate(texts))), batch)}
+    assert got == {(0, 0): (2, 16, 1), (1, 1): (0, 22, 1), (2, 2): (4, 12, 1), (4, 3): (12, 15, 0)}
