@@ -4,7 +4,7 @@ Centroids are fitted on a bounded sample, with a price on full clusters so that
 Every vector goes to the list of its nearest centroid and, near a boundary, to several. Centroids are
 searched by a graph of neighbours in memory. A query reads the lists whose centroids are at most
 `ratio` times as far as the nearest one; how far that must reach for the recall asked for is measured
-on the sample. Lists are joined with queries by list, and scores are exact.
+on the sample, up to all lists where vectors need them. Lists are joined with queries by list, and scores are exact.
 """
 
 from __future__ import annotations
@@ -26,8 +26,11 @@ LIST_SIZE, MOST_LISTS, FIT_ROWS, FIT_PER_LIST = 100, 8192, 20_000, 16
 LEAST_LISTS = 8
 #: Lists that a vector goes to at most; how much farther than the nearest such a list may be.
 COPIES, BOUNDARY = 4, 1.3
-#: Graph neighbours of a centroid, centroids that a search holds at most, recall that the sample must reach.
-DEGREE, MOST_HELD, RECALL = 24, 256, 0.98
+#: Graph neighbours of a centroid, centroids that a search for a vector's lists holds, centroids from which on
+#: all are ranked rather than searched, recall that the sample must reach.
+DEGREE, BEAM, RANK_FROM, RECALL = 24, 64, 256, 0.98
+#: Queries that recall is measured with; one in so many rows of the sample is kept out of the fit for that.
+MEASURED, HELD_OUT = 400, 4
 #: Vectors of a slice of a list: longer lists are read by several tasks.
 SLICE = 20_000
 
@@ -62,14 +65,20 @@ class Index:
     ratio: float = 1.0
 
     def nearest(self, x: np.ndarray, held: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances) of the held nearest that the graph leads to, for each row of x (unit length)."""
+        """(centroids, distances) of the held nearest for each row of x (unit length): few by the graph, many by ranking all."""
         held = min(held, len(self.centroids))
-        out = [self._walk(x[a : a + 512].astype(np.float32), held) for a in range(0, len(x), 512)]
+        find = self._walk if held < RANK_FROM else self._rank
+        out = [find(x[a : a + 512].astype(np.float32), held) for a in range(0, len(x), 512)]
         if not out:
             return np.zeros((0, held), np.int64), np.zeros((0, held))
         ids, sims = (np.concatenate(p) for p in zip(*out))
         return ids, np.sqrt(np.maximum(0, 2 - 2 * sims))
 
+    def _rank(self, x: np.ndarray, held: int):
+        sims = x @ self.centroids.T
+        ids = np.argsort(-sims, axis=1, kind="stable")[:, :held]
+        return ids, np.take_along_axis(sims, ids, axis=1)
+
     def _walk(self, x: np.ndarray, held: int):
         n, k = len(x), len(self.centroids)
         rows = np.arange(n)[:, None]
@@ -98,13 +107,13 @@ class Index:
 
     def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
         """Lists that each vector is kept in."""
-        ids, d = self.nearest(x, 4 * COPIES)
+        ids, d = self.nearest(x, BEAM)
         near = d[:, :COPIES] <= BOUNDARY * d[:, :1] + 1e-6
         return [i[: COPIES][ok] for i, ok in zip(ids, near)]
 
     def lists_for(self, x: np.ndarray) -> list[np.ndarray]:
         """Lists that each query reads."""
-        ids, d = self.nearest(x, min(MOST_HELD, self.lists))
+        ids, d = self.nearest(x, self.lists)
         ok = d <= self.ratio * d[:, :1] + 1e-6
         ok[:, :LEAST_LISTS] = True
         return [i[o] for i, o in zip(ids, ok)]
@@ -115,7 +124,11 @@ def fit(sample: np.ndarray, n: int, recall: float = RECALL) -> Index:
     rng = np.random.default_rng(3)
     x = sample.astype(np.float32)
     k = int(min(max(1, n // LIST_SIZE, min(16, len(x) // 4)), MOST_LISTS, max(1, len(x) // 4)))
-    c = _spread(x, k, 10, rng)
+    # Rows of the fit are nearer to centroids than others: neighbours are measured among rows kept out of it.
+    mixed = rng.permutation(len(x))
+    split = len(x) // HELD_OUT if len(x) >= 10 * MEASURED else 0
+    rest, held = mixed[split:], x[mixed[:split] if split else mixed]
+    c = _spread(x[rest], min(k, len(rest)), 10, rng)
     graph = np.zeros((k, min(DEGREE, max(1, k - 1))), np.int64)
     for a in range(0, k, 1024):
         s = c[a : a + 1024] @ c.T
@@ -124,24 +137,30 @@ def fit(sample: np.ndarray, n: int, recall: float = RECALL) -> Index:
     if graph.shape[1] > 8:  # some far ones, so that no part of the graph is shut off
         graph[:, -4:] = rng.integers(0, k, (k, 4))
     index = Index(x.shape[1], c, graph, rng.choice(k, min(k, 32), replace=False))
-    index.lists = min(k, MOST_HELD)
+    index.lists = k
     if len(x) < 2:
         index.ratio = 4.0
         return index
-    queries = rng.choice(len(x), min(len(x), 400), replace=False)
-    s = x[queries] @ x.T
-    s[np.arange(len(queries)), queries] = -2
-    top = np.argsort(-s, axis=1, kind="stable")[:, : min(5, len(x) - 1)]
-    kept = dict(zip(np.unique(top).tolist(), index.lists_of(x[np.unique(top)])))
-    ids, d = index.nearest(x[queries], index.lists)
-    place = np.full((len(queries), k), k)
-    np.put_along_axis(place, ids, np.arange(ids.shape[1])[None, :], axis=1)
-    need = np.array([[min(place[i, j] for j in kept[int(t)]) for t in row] for i, row in enumerate(top)]).ravel()
-    # Enough lists, and far enough, for the recall; some more, as the sample is a sample.
-    lists = int(np.quantile(need, recall, method="higher")) + 1
-    index.lists = min(k, MOST_HELD, math.ceil(lists * 1.2) + 2)
-    far = d[np.arange(len(queries)), min(index.lists, d.shape[1]) - 1] / np.maximum(d[:, 0], 1e-6)
-    index.ratio = float(np.quantile(far, 0.9))
+    queries = np.arange(min(len(held), MEASURED))
+    s = held[queries] @ held.T
+    s[queries, queries] = -2
+    top = np.argsort(-s, axis=1, kind="stable")[:, : min(5, len(held) - 1)]
+    kept = dict(zip(np.unique(top).tolist(), index.lists_of(held[np.unique(top)])))
+    ids, sims = index._rank(held[queries], k)
+    d = np.sqrt(np.maximum(0, 2 - 2 * sims))
+    place = np.zeros((len(queries), k), np.int64)
+    np.put_along_axis(place, ids, np.arange(k)[None, :], axis=1)
+    need = np.array([[min(place[i, j] for j in kept[int(t)]) for t in row] for i, row in enumerate(top)])
+    # Enough lists, and far enough, for half the loss that the recall allows, as the sample is a sample.
+    goal = (1 + recall) / 2
+    lists = int(np.quantile(need, goal, method="higher")) + 1
+    index.lists = min(k, math.ceil(lists * 1.2) + 2)
+    far = d[:, index.lists - 1] / np.maximum(d[:, 0], 1e-6)
+    for share in (0.9, 0.95, 1.0):  # the least reach at which what queries read reaches the goal
+        index.ratio = float(np.quantile(far, share))
+        read = np.maximum((d[:, : index.lists] <= index.ratio * d[:, :1] + 1e-6).sum(axis=1), LEAST_LISTS)
+        if (need < read[:, None]).mean() >= goal:
+            break
     return index
 
 
@@ -178,13 +197,13 @@ def _parse(dim: int):
     return run
 
 
-def _assign(index, dim: int, queries: bool):
+def _assign(index, dim: int):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim)
-            found = (index.value.lists_for if queries else index.value.lists_of)(_unit(x))
+            found = index.value.lists_of(_unit(x))
             n = np.array([len(f) for f in found])
             rows = pa.array(np.repeat(np.arange(len(found)), n))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), *[c.take(rows) for c in batch.columns]], ["list", *batch.schema.names])
@@ -192,35 +211,80 @@ def _assign(index, dim: int, queries: bool):
     return run
 
 
+def _ask(index, dim: int, slices):
+    """A row for each query and bin that it reads of, with the parts (list and slice) that it reads there."""
+
+    def run(batches):
+        bins, parts, start = slices.value  # of all lists: those of list i are from start[i] on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim)
+            rows, bin_of, read = [], [], []
+            for i, found in enumerate(index.value.lists_for(_unit(x))):
+                at = np.concatenate([np.arange(start[j], start[j + 1]) for j in found])
+                at = at[np.argsort(bins[at], kind="stable")]
+                for group in np.split(at, np.flatnonzero(np.diff(bins[at])) + 1) if len(at) else ():
+                    rows.append(i)
+                    bin_of.append(bins[group[0]])
+                    read.append(parts[group])
+            yield pa.RecordBatch.from_arrays([pa.array(bin_of, pa.int64()), pa.array(read, pa.list_(pa.int64())), *[c.take(pa.array(rows, pa.int64())) for c in batch.columns]], ["bin", "parts", *batch.schema.names])
+
+    return run
+
+
+def _best(found: list, top: int) -> list:
+    """The top distinct rows (query, id, score) of each query."""
+    if not found:
+        return found
+    q, ids, score = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    new = np.ones(len(q), bool)  # copies of a row follow each other, as their scores are equal
+    new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+    q, ids, score = q[new], ids[new], score[new]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < top
+    return [(q[keep], ids[keep], score[keep])]
+
+
 def _search(dim: int, top: int):
-    """Best rows of each list and slice for each query that reads it."""
+    """Best rows of each bin for each query that reads lists there."""
 
     def run(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out = []
+        found = []
         if queries.num_rows and rows.num_rows:
-            q_list, v_list = queries.column("list").to_numpy(), rows.column("list").to_numpy()
-            q_slice, v_slice = queries.column("slice").to_numpy(), rows.column("slice").to_numpy()
-            q_key = queries.column("key").to_pylist()
+            read = [np.array(p, np.int64) for p in queries.column("parts").to_pylist()]
+            asks, part_of = np.repeat(np.arange(len(read)), [len(p) for p in read]), np.concatenate(read)
+            order = np.argsort(part_of, kind="stable")
+            asks, part_of = asks[order], part_of[order]
+            v_part = rows.column("part").to_numpy()
+            by_part = np.argsort(v_part, kind="stable")
+            v_part = v_part[by_part]
             ids = rows.column("vec_id").to_numpy()
             q = np.frombuffer(b"".join(queries.column("v").to_pylist()), np.float64).reshape(-1, dim)
             v = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64).reshape(-1, dim)
-            v_unit = _unit(v)
-            for part in np.unique(np.stack([q_list, q_slice], axis=1), axis=0):
-                qs = np.flatnonzero((q_list == part[0]) & (q_slice == part[1]))
-                vs = np.flatnonzero((v_list == part[0]) & (v_slice == part[1]))
+            q_unit, v_unit, held = _unit(q), _unit(v), 0
+            for part in np.unique(part_of):
+                qs = asks[slice(*np.searchsorted(part_of, [part, part + 1]))]
+                vs = by_part[slice(*np.searchsorted(v_part, [part, part + 1]))]
                 if not len(vs):
                     continue
                 for a in range(0, len(qs), 1024):
-                    sims = _unit(q[qs[a : a + 1024]]) @ v_unit[vs].T
-                    for i, s in zip(qs[a : a + 1024], sims):
-                        # All rows within rounding of the last one wanted, then exact order.
-                        cut = np.partition(s, -top)[-top] - 1e-9 if len(s) > top else -2
-                        near = vs[s >= cut]
+                    sims = q_unit[qs[a : a + 1024]] @ v_unit[vs].T
+                    # All rows within rounding of the last one wanted, then exact order.
+                    cut = np.partition(sims, -top, axis=1)[:, -top] - 1e-9 if len(vs) > top else np.full(len(sims), -2.0)
+                    for i, s, c in zip(qs[a : a + 1024], sims, cut):
+                        near = vs[s >= c]
                         exact = _cosines(q[i], v[near])
-                        for j in np.lexsort((ids[near], -exact))[:top]:
-                            out.append((q_key[i], int(ids[near[j]]), float(exact[j])))
-        k, i, s = zip(*out) if out else ((), (), ())
-        return pa.table({"key": pa.array(k, pa.binary()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+                        first = np.lexsort((ids[near], -exact))[:top]
+                        found.append((np.full(len(first), i), ids[near[first]], exact[first]))
+                        held += len(first)
+                    if held > 1_000_000:
+                        found = _best(found, top)
+                        held = 0
+            found = _best(found, top)
+        i, near, score = found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"key": queries.column("key").combine_chunks().take(pa.array(i)).cast(pa.binary()), "vec_id": pa.array(near, pa.int64()), "score": pa.array(score, pa.float64())})
 
     return run
 
@@ -257,17 +321,19 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, fit_rows: int =
     # Of equal vectors only the first k + 1 by id can be among the k nearest of any query.
     firsts = parsed.groupBy("key", "vec_id").agg(F.first("v").alias("v"))
     firsts = firsts.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    lists = materialize(firsts.select("vec_id", "v").mapInArrow(_assign(index, dim, False), "list int, vec_id long, v binary"), "lists")
+    lists = materialize(firsts.select("vec_id", "v").mapInArrow(_assign(index, dim), "list int, vec_id long, v binary"), "lists")
     asked = parsed.where(F.col("vec_id") % every == 0).select("vec_id", "key", "v")
-    points = asked.groupBy("key").agg(F.first("v").alias("v")).select("key", "v").mapInArrow(_assign(index, dim, True), "list int, key binary, v binary")
-    slices = lists.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
-    def binned(df):
-        return df.withColumn("bin", F.pmod(F.xxhash64("list", "slice"), F.lit(bins)))
-
-    held = binned(lists.join(slices, "list").withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int")).drop("slices"))
-    points = binned(points.join(slices, "list").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices"))
+    sizes = dict(lists.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int")).collect())  # MOST_LISTS rows at most
+    per = np.array([sizes.get(i, 0) for i in range(len(index.value.centroids))], np.int64)
+    start = np.concatenate([[0], np.cumsum(per)])
+    parts = np.repeat(np.arange(len(per)), per) << 32 | np.arange(start[-1]) - np.repeat(start[:-1], per)
+    # Parts are dealt in turn, so that bins have about as many each; a query is sent once to each bin that it reads of.
+    sent = spark.sparkContext.broadcast((np.arange(len(parts)) % bins, parts, start))
+    firsts_of = spark.createDataFrame([(i, int(n), int(a)) for i, (n, a) in enumerate(zip(per, start)) if n], "list int, slices int, first long")
+    points = asked.groupBy("key").agg(F.first("v").alias("v")).select("key", "v").mapInArrow(_ask(index, dim, sent), "bin long, parts array<long>, key binary, v binary")
+    held = lists.join(F.broadcast(firsts_of), "list").withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")))
+    held = held.select(((F.col("first") + F.col("slice")) % bins).alias("bin"), F.shiftleft(F.col("list").cast("long"), 32).bitwiseOR(F.col("slice")).alias("part"), "vec_id", "v")
     found = points.groupBy("bin").cogroup(held.groupBy("bin")).applyInArrow(_search(dim, k + 1), "key binary, vec_id long, score double")
     found = found.dropDuplicates(["key", "vec_id"])
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= k + 1)

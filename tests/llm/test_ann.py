@@ -64,3 +64,18 @@ def test_slices(vectors, monkeypatch):
     want = sorted(map(tuple, ann.nearest(df).collect()))
     monkeypatch.setattr(ann, "SLICE", 20)
     assert sorted(map(tuple, ann.nearest(df).collect())) == want
+
+
+def test_lists_read_follow_the_need():
+    """Where vectors lie in all directions, neighbours are spread over most lists: more than any fixed number is read."""
+    x = np.random.default_rng(7).standard_normal((30_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.fit(x[:12_000], 90_000, 0.999)
+    assert len(index.centroids) == 900 and index.lists > 256
+    q = np.arange(20_000, 20_100)
+    s = x[q] @ x[12_000:].T
+    s[np.arange(len(q)), q - 12_000] = -2
+    top = np.argsort(-s, axis=1)[:, :5] + 12_000
+    kept = dict(zip(np.unique(top).tolist(), index.lists_of(x[np.unique(top)])))
+    read = index.lists_for(x[q])
+    assert np.mean([bool(np.isin(kept[int(t)], r).any()) for r, row in zip(read, top) for t in row]) >= 0.99
