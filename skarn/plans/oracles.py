@@ -249,6 +249,19 @@ SELECT n, g AS n_gold, p AS n_pred, tp AS category_tp, round(m, 6) AS macro_cate
 SELECT b.p_brand, coalesce(len(m), 0)::INT AS matched, coalesce(array_to_string(list_transform(m, lambda x: x.g::VARCHAR || '-' || x.p::VARCHAR), ','), '') AS pairs,
   round(coalesce(list_sum(list_transform(m, lambda x: x.score)), 0.0::DOUBLE), 6) AS score_sum
 FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN folded ON folded.p_brand = b.p_brand""",
+    "greedy_match_all": _SIM
+    + f""", nth AS (SELECT t.*, part.p_type AS kind, part.p_size AS size, row_number() OVER (PARTITION BY part.p_brand, part.p_type, part.p_size ORDER BY t.p_partkey) - 1 AS i FROM t JOIN part ON part.p_partkey = t.p_partkey
+), pairs AS (
+  SELECT a.p_brand, a.kind, a.size, a.i // 2 AS g, b.i // 2 AS p, 0.7::DOUBLE * ({_dice('a.n', 'b.n')}) + (1 - 0.7::DOUBLE) * ({_dice('a.s', 'b.s')}) AS score
+  FROM nth a JOIN nth b ON a.p_brand = b.p_brand AND a.kind = b.kind AND a.size = b.size AND a.i % 2 = 0 AND b.i % 2 = 1
+), ranked AS (
+  SELECT p_brand, kind, size, list({{'g': g, 'p': p, 'score': score}} ORDER BY score DESC, g, p) AS l FROM pairs WHERE score >= 0.3::DOUBLE GROUP BY p_brand, kind, size
+), folded AS (
+  SELECT p_brand, kind, size, list_reduce(list_transform(l, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.g = x[1].g OR k.p = x[1].p)) = 0 THEN list_concat(kept, x) ELSE kept END) AS m FROM ranked
+)
+SELECT b.p_brand, b.p_type, b.p_size, b.n_parts, coalesce(len(m), 0)::INT AS matched, coalesce(array_to_string(list_transform(m, lambda x: x.g::VARCHAR || '-' || x.p::VARCHAR), ','), '') AS pairs,
+  round(coalesce(list_sum(list_transform(m, lambda x: x.score)), 0.0::DOUBLE), 6) AS score_sum
+FROM (SELECT p_brand, p_type, p_size, count(*) AS n_parts FROM part GROUP BY ALL) b LEFT JOIN folded ON folded.p_brand = b.p_brand AND folded.kind = b.p_type AND folded.size = b.p_size""",
     "bootstrap_ci": _bootstrap(
         """WITH stats AS (SELECT source, sum(quality)::DOUBLE AS quality_num, count(*)::DOUBLE AS quality_den, sum(toxic)::DOUBLE AS toxic_num, sum(quality)::DOUBLE AS toxic_den
 FROM documents JOIN labels ON documents.doc_id = labels.doc_id GROUP BY source)""",

@@ -277,7 +277,7 @@ def greedy_match(spark, d):
     from pyspark.sql import Window
 
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    p = p.withColumn("nth", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("nth <= 12")
+    p = p.withColumn("nth", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("nth <= 12")  # as its SQL; greedy_match_all takes every part
     risk = F.struct("nth", F.col("p_name").alias("title"), F.substring("p_type", 1, 3).alias("category"), F.col("p_type").alias("summary"))
     rows = p.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.when(F.col("nth") <= 6, risk))).alias("g"), F.array_sort(F.collect_list(F.when(F.col("nth") > 6, risk))).alias("p"))
     m = scoring.greedy_matches(F.col("g"), F.col("p"))
@@ -285,6 +285,20 @@ def greedy_match(spark, d):
     return rows.select("p_brand", F.size(m).alias("matched"), shown.alias("pairs"), r6(F.aggregate(m, F.lit(0.0), lambda s, x: s + x["score"])).alias("score_sum"))
 
 
+def greedy_match_all(spark, d):
+    """Every part takes part: those of a brand, type and size, in turn gold and predicted."""
+    from pyspark.sql import Window
+
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    p = p.withColumn("nth", F.row_number().over(Window.partitionBy("p_brand", "p_type", "p_size").orderBy("p_partkey")))
+    risk = F.struct("nth", F.col("p_name").alias("title"), F.substring("p_type", 1, 3).alias("category"), F.col("p_type").alias("summary"))
+    side = [F.array_sort(F.collect_list(F.when(F.col("nth") % 2 == odd, risk))).alias(name) for odd, name in ((1, "g"), (0, "p"))]
+    rows = p.groupBy("p_brand", "p_type", "p_size").agg(*side, F.count("*").alias("n_parts"))
+    m = scoring.greedy_matches(F.col("g"), F.col("p"))
+    shown = F.array_join(F.transform(m, lambda x: F.concat_ws("-", x["g"].cast("string"), x["p"].cast("string"))), ",")
+    return rows.select("p_brand", "p_type", "p_size", "n_parts", F.size(m).alias("matched"), shown.alias("pairs"), r6(F.aggregate(m, F.lit(0.0), lambda s, x: s + x["score"])).alias("score_sum"))
+
+
 # --- resampling and sampling
 
 
@@ -489,7 +503,7 @@ QUERIES = {
         verdict_accuracy, verdict_tally_pivot, split_assignment, split_leak_check, split_freshness, latest_n_per_company, fact_selection, fact_fallback_eps,
         refresh_diff, kept_warnings, incremental_anti, cik_override, statement_render, statement_pair_warnings, numeric_variants, grounding_rate, excerpt_build,
         figure_window, risk_slice, by_reference_flag, category_distribution, risk_list_sizes, theme_modal_share, json_validity, first_object, category_multiset_f1,
-        token_dice, greedy_match, bootstrap_ci, paired_gap_ci, cluster_sample, stratified_sample, audit_agreement, audit_confusions, audit_ci, implied_recall,
+        token_dice, greedy_match, greedy_match_all, bootstrap_ci, paired_gap_ci, cluster_sample, stratified_sample, audit_agreement, audit_confusions, audit_ci, implied_recall,
         stale_rows, note_lint, population_meta, stratum_split_crosstab, render_prompt, encode_truncate_mask, encoding_stats, pad_batches, length_distribution,
         window_fit, longest_examples, usage_cost, run_stats, cache_keys,
     )
