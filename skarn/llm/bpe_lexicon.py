@@ -14,6 +14,7 @@ import json
 import os
 import tempfile
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, select_as, small_batches, tidy
+from .text import slices
 
 #: Fixed value: how the byte-level tokenizer cuts text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_BETWEEN = regex.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Characters of texts whose words are held at a time.
+PIECE_CHARS = 1 << 20
 #: Words of the lexicon, words longer than which none is frequent, and words that a worker remembers at most.
 LEXICON_WORDS, LONGEST, REMEMBERED = 65_536, 64, 200_000
 
@@ -74,6 +79,18 @@ class Tokenizer:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
+    def pieces(self, text: str, size: int) -> Iterator[str]:
+        """text in parts of about size characters, cut where the words to both sides are the same without the cut."""
+        at = 0
+        while len(text) - at > size and not any(" " in s for s in self.special):
+            # Letters end at a space, and a space and letters are one word: no word reaches over such a place.
+            m = _BETWEEN.search(text, at + size)
+            if m is None:
+                break
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the pair of least rank is merged, the leftmost first, until no pair has a rank."""
         ids, merges = [self.first[b] for b in word], self.merges
@@ -298,7 +315,32 @@ class Encoder:
         self.known.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and each text's start in them (one more at the end)."""
+        """Ids of all texts in a row, and each text's start in them (one more at the end).
+
+        Long texts are cut where words end anyway, and pieces of PIECE_CHARS characters or so are held as words at a time.
+        """
+        ids, size, part, owner, held = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64), [], [], 0
+
+        def spend():
+            out, edge = self._encode(part)
+            ids.append(out)
+            np.add.at(size, owner, np.diff(edge))
+            part.clear()
+            owner.clear()
+
+        for i, t in enumerate(texts):
+            for piece in self.tokenizer.pieces(t or "", PIECE_CHARS):
+                if held + len(piece) > PIECE_CHARS and part:
+                    spend()
+                    held = 0
+                part.append(piece)
+                owner.append(i)
+                held += len(piece)
+        if part:
+            spend()
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(size)])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.forget()
         words, counts = [], []
@@ -408,7 +450,7 @@ def encode_documents(documents: DataFrame, path: str, lexicon: str) -> DataFrame
     small_batches(documents.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, edge = _encoder(path, lexicon).encode(batch.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(edge))], ["doc_id", "ids", "n_tokens"])
@@ -441,7 +483,7 @@ def round_trip(documents: DataFrame, path: str, words: int = LEXICON_WORDS) -> D
     lexicon = build_lexicon(rows, path, words)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             encoder = _encoder(path, lexicon)
             ids, edge = encoder.encode(batch.column(1).to_pylist())
             a, b = [], []

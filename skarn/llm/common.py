@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import itertools
+import re
 import tempfile
 import uuid
 
@@ -15,16 +16,22 @@ from pyspark.sql import functions as F
 
 from skarn.session import ship_code
 
-#: Rows in an Arrow batch: long texts come in batches that stay in a worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch: long texts come in batches that stay in a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 _counter = itertools.count()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a new local one if it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    On one machine (master local) a new folder does where none is named; a cluster must name one, as
+    its executors share no local folders.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="skarn-")
@@ -35,6 +42,7 @@ def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small, and sees that workers have this package."""
     ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -103,6 +111,21 @@ def _forest(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[keep], pa.int64()), pa.array(low[keep], pa.int64())], ["u", "v"])
 
 
+def with_least(rows: DataFrame, key: str, aggregate, name: str) -> DataFrame:
+    """rows (a written table) with a column name: aggregate over all rows of the same key.
+
+    The values are a written table too, so this is a plain join of two scans, of which Spark splits
+    the partition of a key that holds many rows; a window or an aggregate below the join would not let it.
+    """
+    return rows.join(materialize(rows.groupBy(key).agg(aggregate.alias(name)), f"{name}-of"), key)
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node of edges (u, v), v < u, either has one edge to a smaller node or is only such a node."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, name: str = "cc", forests: bool = False) -> DataFrame:
     """(node, comp) of every node of edges (a, b): comp is the smallest node that it reaches.
 
@@ -113,19 +136,14 @@ def connected_components(edges: DataFrame, name: str = "cc", forests: bool = Fal
     ends = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     local = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")) if forests else ends.mapInArrow(_local_forest, "u long, v long")
     now = materialize(local.distinct(), name)
-    mark = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small, name)
-        discard(now)
-        now = after
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == mark:
-            break
-        mark = seen
+    while not _is_stars(now):
+        both = materialize(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), name)
+        large = with_least(both, "u", F.least(F.min("v"), F.first("u")), "m")
+        large = materialize(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
+        small = with_least(large, "u", F.min("v"), "m")
+        small = materialize(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct(), name)
+        for done in (now, both, large):
+            discard(done)
+        now = small
     roots_of = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return roots_of.union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import select_as, small_batches
+from .text import slices
 
 #: Tags within a line, tags without content, tags whose text is no text of the page, and
 #: start tags that end an open paragraph or item.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
+RAW = frozenset("script style title iframe noframes".split())
+LITERAL = frozenset("textarea xmp".split())  # their content is text, tags included; the labeller judges it like any other
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME_ENDS = frozenset("li dt dd tr td th option p".split())
 
@@ -35,16 +37,47 @@ TAG_BUCKETS, WORD_BUCKETS, TAG_DIM, WORD_DIM, UNITS, SHAPES = 1 << 10, 1 << 12,
 #: Training: pages, rounds over them, pages of a step. Pages of a batch and blocks of a batch when labelling.
 TRAIN_PAGES, ROUNDS, STEP_PAGES, BATCH_PAGES = 1500, 4, 20, 256
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Quotes hold a ">" only as an attribute's value; a stray one does not.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:\s|^)(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[A-Za-z]+")
 
 
+class Path:
+    """Tokens of the open elements around a block, as a chain that blocks share: nesting costs each element once."""
+
+    __slots__ = ("parent", "tokens", "size", "total", "of")
+
+    def __init__(self, parent: Path | None, tokens: tuple[str, ...]):
+        self.parent, self.tokens = parent, tokens
+        self.size = len(tokens) + (parent.size if parent else 0)
+        self.total, self.of = None, None
+
+    def all(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at is not None:
+            out.append(at.tokens)
+            at = at.parent
+        return tuple(t for tokens in reversed(out) for t in tokens)
+
+    def mean(self, table: np.ndarray) -> np.ndarray:
+        """Mean of the tokens' vectors, by sums kept along the chain; vector 0 of the table if there are none."""
+        chain, at = [], self
+        while at is not None and at.of is not table:
+            chain.append(at)
+            at = at.parent
+        total = at.total if at is not None else np.zeros(table.shape[1], np.float64)
+        for p in reversed(chain):
+            total = total + sum(table[_tags[t]].astype(np.float64) for t in p.tokens)
+            p.total, p.of = total, table
+        return total / self.size if self.size else table[0]
+
+
 @dataclass
 class Block:
-    """A run of text, its tag path's tokens, and how much of it is in links."""
+    """A run of text, its tag path, and how much of it is in links."""
 
-    path: tuple[str, ...]
+    path: Path
     text: str
     linked: int
 
@@ -52,7 +85,7 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    tokens: tuple[str, ...] = ()
+    path: Path
 
 
 @dataclass
@@ -76,6 +109,9 @@ def _path_tokens(tag: str, attributes: str) -> tuple[str, ...]:
 def blocks_of(page: str) -> Iterator[Block]:
     """The blocks of a page in order; those without text are left out. Character references are decoded."""
     stack: list[_Open] = []
+    spots: dict[str, list[int]] = {}  # depths of the open elements of each tag
+    outer: list[int] = []  # depths of those that are not inline
+    root = Path(None, ())
     run, links, at, end = _Run(), 0, 0, len(page)
 
     def cut():
@@ -83,7 +119,7 @@ def blocks_of(page: str) -> Iterator[Block]:
         text = " ".join("".join(run.parts).split())
         done, run = run, _Run()
         if text:
-            yield Block(tuple(t for o in stack if o.tag not in INLINE for t in o.tokens), text, min(done.linked, len(text)))
+            yield Block(stack[-1].path if stack else root, text, min(done.linked, len(text)))
 
     def add(raw: str):
         text = html.unescape(raw) if "&" in raw else raw
@@ -91,6 +127,15 @@ def blocks_of(page: str) -> Iterator[Block]:
         if links:
             run.linked += len(text)
 
+    def shut(depth: int):
+        nonlocal links
+        while len(stack) > depth:
+            o = stack.pop()
+            links -= o.tag == "a"
+            spots[o.tag].pop()
+            if o.tag not in INLINE:
+                outer.pop()
+
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -106,13 +151,11 @@ def blocks_of(page: str) -> Iterator[Block]:
             run.parts.append(" ")
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
             if tag not in INLINE:
                 yield from cut()
-            if depth is not None and (tag not in INLINE or all(o.tag in INLINE for o in stack[depth:])):
-                gone = stack[depth:]
-                links -= sum(o.tag == "a" for o in gone)
-                del stack[depth:]
+            depth = spots[tag][-1] if spots.get(tag) else None
+            if depth is not None and (tag not in INLINE or not outer or depth > outer[-1]):
+                shut(depth)
             continue
         if tag in RAW:
             yield from cut()
@@ -122,16 +165,21 @@ def blocks_of(page: str) -> Iterator[Block]:
         if tag not in INLINE:
             yield from cut()
             # An open inline element reaches into the new block; an open paragraph or item may end here.
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in INLINE:
-                    continue
-                if (stack[i].tag == "p" and tag in ENDS_P) or (stack[i].tag == tag and tag in SAME_ENDS):
-                    links -= sum(o.tag == "a" for o in stack[i:])
-                    del stack[i:]
-                break
+            near = stack[outer[-1]].tag if outer else ""
+            if (near == "p" and tag in ENDS_P) or (near == tag and tag in SAME_ENDS):
+                shut(outer[-1])
         if tag not in VOID:
-            stack.append(_Open(tag, _path_tokens(tag, m[2])))
+            path = stack[-1].path if stack else root
+            spots.setdefault(tag, []).append(len(stack))
+            if tag not in INLINE:
+                outer.append(len(stack))
+                path = Path(path, _path_tokens(tag, m[2]))
+            stack.append(_Open(tag, path))
             links += tag == "a"
+        if tag in LITERAL:
+            close = re.compile(rf"</{tag}\b|\Z", re.I).search(page, at)
+            add(page[at : close.start()])
+            at = close.start()
     yield from cut()
 
 
@@ -154,15 +202,18 @@ class _Remember(dict):
 _tags, _words = _Remember(TAG_BUCKETS), _Remember(WORD_BUCKETS)
 
 
-def _inputs(blocks: list[Block]) -> tuple[list[list[int]], list[np.ndarray], np.ndarray]:
-    """Tag buckets, word buckets and shapes of a page's blocks."""
-    tags = [[_tags[t] for t in b.path] or [0] for b in blocks]
+def _inputs(blocks: list[Block], table: np.ndarray | None = None) -> tuple:
+    """Tag buckets, word buckets and shapes of a page's blocks; with a table of tag vectors, their means in place of buckets."""
+    if table is None:
+        tags = [[_tags[t] for t in b.path.all()] or [0] for b in blocks]
+    else:
+        tags = np.array([b.path.mean(table) for b in blocks], np.float32)
     words, shapes = [], np.zeros((len(blocks), SHAPES), np.float32)
     for i, b in enumerate(blocks):
         ws = b.text.split(" ")
         words.append(np.fromiter(map(_words.__getitem__, map(str.lower, ws)), np.int64, len(ws)))
         n = len(b.text)
-        shapes[i] = (np.log1p(len(ws)) / 5, b.linked / n, len(ws) < 4, b.text[-1] in ".!?:;\"'", len(b.path) / 10, i / len(blocks), (len(blocks) - i) / len(blocks), 1)
+        shapes[i] = (np.log1p(len(ws)) / 5, b.linked / n, len(ws) < 4, b.text[-1] in ".!?:;\"'", b.path.size / 10, i / len(blocks), (len(blocks) - i) / len(blocks), 1)
     return tags, words, shapes
 
 
@@ -221,7 +272,10 @@ class Labeller:
     def forward(self, pages, keep: bool = False):
         """Chances of main text of the blocks of some pages (each given by _inputs()), in a row."""
         sizes = [len(s) for _, _, s in pages]
-        tv, tag_flat, tag_n = _means(self.p["tags"], [t for tags, _, _ in pages for t in tags])
+        if keep or not isinstance(pages[0][0], np.ndarray):
+            tv, tag_flat, tag_n = _means(self.p["tags"], [t for tags, _, _ in pages for t in tags])
+        else:
+            tv, tag_flat, tag_n = np.concatenate([tags for tags, _, _ in pages]), None, None
         wv, word_flat, word_n = _means(self.p["words"], [w for _, words, _ in pages for w in words])
         flat = np.concatenate([tv, wv, np.concatenate([s for _, _, s in pages])], axis=1)
         steps = max(sizes)
@@ -448,7 +502,7 @@ def main_texts(net: Labeller, pages: list[str | None]) -> list[str]:
         while b > a + 1 and (b - a) * len(blocks[order[b - 1]]) > 40_000:
             b -= max(1, (b - a) // 4)
         part = order[a:b]
-        chance, _ = net.forward([_inputs(blocks[i]) for i in part])
+        chance, _ = net.forward([_inputs(blocks[i], net.p["tags"]) for i in part])
         at = 0
         for i in part:
             own = chance[at : at + len(blocks[i])]
@@ -469,7 +523,7 @@ def extract(pages: DataFrame) -> DataFrame:
     net = pages.sparkSession.sparkContext.broadcast(labeller())
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             texts = main_texts(net.value, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

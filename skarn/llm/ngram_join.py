@@ -9,10 +9,12 @@
 3. In a tile, differing bits of two signatures bound the overlap from above. Tiles of few classes give
    the pairs that pass the bound. Larger ones are covered by canopies: differing bits obey the triangle
    inequality, so a pivot takes everything within 2 D bits, and what is within D bits needs no pivot of
-   its own. Each linked pair of a tile shares a canopy, and no tile gives all its pairs.
+   its own. Each linked pair of a tile shares a canopy, and no tile gives all its pairs. A task sends
+   only edges between classes that a first look at a few tiles hasn't connected yet.
 4. Components of these candidate edges are groups in which sorted arrays are intersected exactly, with
    union-find so that sets already connected are not compared again. Groups that are too large for
-   one task are cut into blocks by size, and each pair of blocks within reach is one task.
+   one task are cut into slices, each compared within and with pivots that all slices have; only what
+   that leaves apart from the largest part of its group is compared block by block.
 """
 
 from __future__ import annotations
@@ -25,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import connected_components, materialize, roots, select_as, small_batches, tidy
+from .common import connected_components, discard, materialize, roots, select_as, small_batches, tidy, with_least
 
 #: Entries of tiles that one task groups, shingles that one task compares, and classes of a tile whose pairs are all tested.
 BUCKET_ENTRIES, GROUP_SHINGLES, PAIRS_UP_TO = 500_000, 500_000, 24
-#: One in so many tiles is looked at before the others.
-EARLY = 16
+#: One in so many tiles is looked at before the others. Bits of a signature for each shingle: with few, unrelated
+#: sets that share a tile would pass the bound and candidate groups would run together.
+EARLY, BITS = 16, 4
+#: Classes of a size band of a large group that all its slices are compared with.
+PIVOTS = 8
 _NO_ID = -(1 << 63)  # stands for a null doc_id within
 
 
@@ -112,8 +117,8 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def width_of(size: int) -> int:
-    """64-bit words of a signature: a power of two, about a bit for each shingle."""
-    return 1 << max(0, (size - 1) // 64).bit_length()
+    """64-bit words of a signature: a power of two, BITS bits or more for each shingle."""
+    return 1 << max(0, (BITS * size - 1) // 64).bit_length()
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -198,8 +203,9 @@ def _blobs(keys, owner, classes, buckets):
     for b in range(buckets):
         pick = order[edges[b] : edges[b + 1]]
         if len(pick):
-            used, local = np.unique(own[pick], return_inverse=True)
-            rows.append((b, short[pick].tobytes(), local.astype(np.uint32).tobytes(), cls[used].tobytes()))
+            # Keys of a class follow each other: its number goes once, with how many keys it has here.
+            head = np.flatnonzero(np.concatenate([[True], np.diff(own[pick]) != 0]))
+            rows.append((b, short[pick].tobytes(), np.diff(np.append(head, len(pick))).astype(np.uint32).tobytes(), cls[own[pick[head]]].tobytes()))
     for a in range(0, len(rows), 64):
         part = list(zip(*rows[a : a + 64]))
         yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *[pa.array(c, pa.binary()) for c in part[1:]]], ["bucket", "k", "o", "c"])
@@ -209,9 +215,9 @@ def _join_tiles(table: pa.Table) -> pa.Table:
     """(tile, cls) of a bucket's tiles with two classes or more; tiles of the same classes are one."""
     tidy()
     keys, classes = [], []
-    for key, own, cls in zip(*(table.column(c).to_pylist() for c in ("k", "o", "c"))):
+    for key, count, cls in zip(*(table.column(c).to_pylist() for c in ("k", "o", "c"))):
         keys.append(np.frombuffer(key, np.uint32))
-        classes.append(np.frombuffer(cls, np.int64)[np.frombuffer(own, np.uint32)])
+        classes.append(np.repeat(np.frombuffer(cls, np.int64), np.frombuffer(count, np.uint32)))
     key, cls = np.concatenate(keys), np.concatenate(classes)
     order = np.argsort(cls, kind="stable")
     key, cls = key[order], cls[order]
@@ -266,11 +272,13 @@ def _tile_edges(n: np.ndarray, sigs: list[np.ndarray], num: int, den: int) -> tu
 
 
 def _candidates(num: int, den: int):
+    """Edges (a, b) that connect the groups of classes with candidate edges in tiles (tile, cls, grp, n, sig)."""
+
     def run(table: pa.Table) -> pa.Table:
         tidy()
-        tile, cls, n = (table.column(c).to_numpy() for c in ("tile", "cls", "n"))
+        tile, cls, grp, n = (table.column(c).to_numpy() for c in ("tile", "cls", "grp", "n"))
         order = np.lexsort((cls, tile))
-        tile, cls, n = tile[order], cls[order], n[order]
+        tile, cls, grp, n = tile[order], cls[order], grp[order], n[order]
         sigs = [np.frombuffer(x, np.uint64) for x in table.column("sig").take(pa.array(order)).to_pylist()]
         fresh = np.ones(len(tile), bool)
         fresh[1:] = (tile[1:] != tile[:-1]) | (cls[1:] != cls[:-1])
@@ -281,29 +289,30 @@ def _candidates(num: int, den: int):
             if e - s > 1:
                 at = keep[s:e]
                 a, b = _tile_edges(n[at], [sigs[x] for x in at], num, den)
-                found_a.append(cls[at[a]])
-                found_b.append(cls[at[b]])
-        # Only what connects classes is needed of the task's edges: a forest, of fewer edges than classes.
-        nodes, low = roots(np.concatenate(found_a), np.concatenate(found_b)) if len(found_a) > 1 else (found_a[0], found_b[0])
+                a, b = grp[at[a]], grp[at[b]]
+                found_a.append(a[a != b])
+                found_b.append(b[a != b])
+        # Only what connects groups is needed of the task's edges: a forest, of fewer edges than groups.
+        nodes, low = roots(np.concatenate(found_a), np.concatenate(found_b))
         keep = nodes != low
-        return pa.table({"a": pa.array(nodes[keep]), "b": pa.array(low[keep])})
+        return pa.table({"a": pa.array(nodes[keep], pa.int64()), "b": pa.array(low[keep], pa.int64())})
 
     return run
 
 
-def link_sets(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
+def link_sets(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | None = None, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that connect whatever links of Jaccard num / den or more connect among the sets.
 
     apart: a side for each set; pairs within side 1, or within side 2, are left to other calls.
+    joined: a number for each set; sets of the same number are known to be connected.
     """
     n = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(n, kind="stable")
     n, sets = n[order], [sets[i] for i in order]
     side = apart[order] if apart is not None else np.zeros(len(n), int)
-    tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    start = np.concatenate([[0], np.cumsum(n)])
+    group = np.unique(joined[order], return_inverse=True)[1] if joined is not None else np.arange(len(n))
     sigs = _folded([signature(s) for s in sets], min(width_of(int(x)) for x in n)) if len(n) else None
-    group, mark, edges = np.arange(len(n)), np.zeros(len(tokens), bool), []
+    edges = []
     for i in range(len(n)):
         low = int(np.searchsorted(n[:i], -(-n[i] * num // den), "left"))
         other = np.arange(low, i)
@@ -314,17 +323,17 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, apart: np.ndarray | No
         need = -(-num * (n[other] + n[i]) // (den + num))
         other, slack = other[bound >= need], (bound - need)[bound >= need]
         other = other[np.argsort(-slack, kind="stable")]
-        mark[ids[start[i] : start[i + 1]]] = True
         while len(other):
             now, other = other[:16], other[16:]
-            spots = np.concatenate([ids[start[j] : start[j + 1]] for j in now])
-            overlap = np.add.reduceat(mark[spots].astype(np.int64), np.concatenate([[0], np.cumsum(n[now])[:-1]]))
+            # Intersection of sorted arrays: places of all their items in the sorted array of this set.
+            items = np.concatenate([sets[j] for j in now])
+            same = sets[i][np.minimum(np.searchsorted(sets[i], items), n[i] - 1)] == items
+            overlap = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], np.cumsum(n[now])[:-1]]))
             for j in now[overlap * den >= num * (n[now] + n[i] - overlap)]:
                 if group[j] != group[i]:
                     edges.append((int(order[j]), int(order[i])))
                     group[group == group[j]] = group[i]
             other = other[group[other] != group[i]]
-        mark[ids[start[i] : start[i + 1]]] = False
     return edges
 
 
@@ -332,12 +341,12 @@ def _link_group(k: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         tidy()
         table = table.combine_chunks().sort_by("part")  # one group after another, so that one is held at a time
-        cls, part, side = (table.column(c).to_numpy() for c in ("cls", "part", "side"))
+        cls, part, side, comp = (table.column(c).to_numpy() for c in ("cls", "part", "side", "comp"))
         edges = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0, [True]]))
         found = []
         for lo, hi in zip(edges[:-1], edges[1:]):
             data, starts = tx.texts(table.column("text").slice(lo, hi - lo).combine_chunks())
-            names, sets, sides, seen = [], [], [], set()
+            names, sets, sides, comps, seen = [], [], [], [], set()
             for a, b in tx.chunks(starts):
                 for i, s in zip(range(a, b), shingle_sets(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], k)):
                     if len(s) and set_hash(s) == cls[lo + i] and cls[lo + i] not in seen:
@@ -345,8 +354,9 @@ def _link_group(k: int, num: int, den: int):
                         names.append(int(cls[lo + i]))
                         sets.append(s)
                         sides.append(int(side[lo + i]))
+                        comps.append(int(comp[lo + i]))
             if len(sets) > 1:
-                found += [(names[x], names[y]) for x, y in link_sets(sets, num, den, np.array(sides))]
+                found += [(names[x], names[y]) for x, y in link_sets(sets, num, den, np.array(sides), np.array(comps))]
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -365,9 +375,11 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, num: int = 85, de
     spark = documents.sparkSession
     small_batches(spark)
     docs = select_as(documents, doc_id="long", text="string")
-    rows = materialize(docs.mapInArrow(_describe(shingle), "doc_id long, n long, cls long, sig binary"), "sets")
+    described = materialize(docs.mapInArrow(_describe(shingle), "doc_id long, n long, cls long, sig binary"), "sets")
     # Whatever names a class goes by it alone: a class of a third of all rows is one row from here on.
-    classes = materialize(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = materialize(described.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    rows = materialize(described.select("doc_id", "n", "cls"), "rows")
+    discard(described)
     shingles = classes.agg(F.sum("n")).first()[0] or 0
     per_shingle = 1.8 * (den - num) / num + 0.02
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shingles * per_shingle / BUCKET_ENTRIES))
@@ -379,56 +391,100 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, num: int = 85, de
         return full.groupBy("bin").applyInArrow(_candidates(num, den), "a long, b long")
 
     # A few of the tiles connect most of a large group; the other tiles matter only where they hold
-    # classes that aren't connected by then.
+    # classes that aren't connected by then, and only for the edges between these.
     early = F.pmod(F.col("tile"), F.lit(EARLY)) == 0
-    before = materialize(connected_components(candidates(tiles.where(early)), "early", forests=True).select(F.col("node").alias("cls"), F.col("comp").alias("grp")), "early")
+    before = connected_components(candidates(tiles.where(early).withColumn("grp", F.col("cls"))), "early", forests=True)
+    before = materialize(before.select(F.col("node").alias("cls"), F.col("comp").alias("grp")), "early")
     late = tiles.where(~early).join(before, "cls", "left").select("tile", "cls", F.coalesce("grp", "cls").alias("grp"))
     open_ = late.groupBy("tile").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("tile")
-    pairs = candidates(tiles.join(open_, "tile")).unionByName(before.select(F.col("cls").alias("a"), F.col("grp").alias("b")))
-    groups = materialize(connected_components(pairs, "groups", forests=True).select(F.col("node").alias("cls"), F.col("comp").alias("grp")), "grp")
-
-    members = groups.join(classes.select("cls", "rep", "n"), "cls")
-    sizes = members.groupBy("grp").agg(F.sum("n").alias("total"))
-    members = members.join(sizes, "grp")
-    small = members.where(F.col("total") <= GROUP_SHINGLES).select("cls", "rep", F.col("grp").alias("part"), F.lit(0).alias("side"), "n")
-    parts = small.unionByName(_blocks(members.where(F.col("total") > GROUP_SHINGLES), num, den))
-    compared = members.agg(F.sum("n")).first()[0] or 0
-    n_bins = F.lit(max(buckets, math.ceil(compared / GROUP_SHINGLES)))
-    parts = parts.select("cls", F.coalesce("rep", F.lit(_NO_ID)).alias("rep"), "part", "side", F.pmod(F.xxhash64("part", F.lit(1)), n_bins).alias("bin"))
+    cross = materialize(connected_components(candidates(late.join(open_, "tile")), "groups", forests=True), "cross")
+    known = before.union(cross.select(F.col("node").alias("cls"), F.col("node").alias("grp"))).distinct()
+    groups = known.join(cross.select(F.col("node").alias("grp"), "comp"), "grp", "left").select("cls", F.coalesce("comp", "grp").alias("grp"))
+    groups = materialize(groups.join(classes.select("cls", "rep", "n"), "cls"), "grp")
+    names = materialize(classes.select("cls", "rep"), "names")
+    for done in (tiles, before, cross, classes):
+        discard(done)
+
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep"), "text")
-    links = parts.join(texts, "rep").select("bin", "part", "side", "cls", "text").groupBy("bin").applyInArrow(_link_group(shingle, num, den), "a long, b long")
-    comps = connected_components(links, "links", forests=True).join(classes.select(F.col("cls").alias("node"), "rep"), "node")
-    comps = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("low")), "comp")
-    names = classes.select("cls", "rep").join(comps.select(F.col("node").alias("cls"), "low"), "cls", "left").select("cls", F.coalesce("low", "rep").alias("low"))
-    return rows.join(names, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+    def links(parts: DataFrame) -> DataFrame:
+        """Links found within the parts (cls, rep, part, side, comp, n)."""
+        compared = parts.agg(F.sum("n")).first()[0] or 0
+        bins = F.lit(max(buckets, math.ceil(compared / GROUP_SHINGLES)))
+        parts = parts.select("cls", F.coalesce("rep", F.lit(_NO_ID)).alias("rep"), "part", "side", "comp", F.pmod(F.xxhash64("part", F.lit(1)), bins).alias("bin"))
+        parts = parts.join(texts, "rep").select("bin", "part", "side", "comp", "cls", "text")
+        return parts.groupBy("bin").applyInArrow(_link_group(shingle, num, den), "a long, b long")
+
+    members = materialize(with_least(groups, "grp", F.sum("n"), "total"), "members")
+    discard(groups)
+    small = members.where(F.col("total") <= GROUP_SHINGLES).select("cls", "rep", F.col("grp").alias("part"), F.lit(0).alias("side"), F.col("cls").alias("comp"), "n")
+    large = members.where(F.col("total") > GROUP_SHINGLES).select("cls", "rep", "grp", "n")
+    found = links(small)
+    if not large.isEmpty():
+        large = materialize(large, "large")
+        first = materialize(links(_slices(large, num, den)), "first")
+        comps = connected_components(first, "slices", forests=True).select(F.col("node").alias("cls"), "comp")
+        placed = materialize(large.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "placed")
+        found = found.union(first).union(links(_blocks(placed, num, den)))
+    comps = materialize(connected_components(found, "links", forests=True).join(names.select(F.col("cls").alias("node"), "rep"), "node"), "comps")
+    comps = with_least(comps, "comp", F.min("rep"), "low")
+    low = names.join(comps.select(F.col("node").alias("cls"), "low"), "cls", "left").select("cls", F.coalesce("low", "rep").alias("low"))
+    low = materialize(low, "low")  # so that the join with rows is a plain one, of which Spark splits a class of many copies
+    discard(names)
+    return rows.join(low, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _band(num: int, den: int):
+    """Number of a range of sizes: two linked sets lie in the same range or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("long") if num < den else F.col("n")
+
+
+def _slices(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Parts of the groups that are too large for one task: slices by size and hash, each with the pivots of its range and the next."""
+    half = GROUP_SHINGLES // 2
+    rows = members.withColumn("band", _band(num, den)).withColumn("spot", F.xxhash64("cls", F.lit(3)))
+    heads = rows.groupBy("grp", "band").agg(F.ceil(F.sum("n") / half).cast("long").alias("slices"))
+    # Pivots are the least by hash of PIVOTS shares of a range: no task sorts a whole group for them.
+    share = F.pmod(F.col("spot"), F.lit(PIVOTS))
+    pivots = rows.groupBy("grp", "band", share.alias("k")).agg(F.min_by(F.struct("cls", "rep", "n"), "spot").alias("p"))
+    slices = rows.join(heads, ["grp", "band"]).select("cls", "rep", "n", F.xxhash64("grp", "band", F.pmod("spot", "slices")).alias("part"))
+    spread = heads.select("grp", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    own = spread.withColumn("part", F.xxhash64("grp", "band", "slice"))
+    led = own.join(pivots, ["grp", "band"]).unionByName(own.withColumn("band", F.col("band") + 1).join(pivots, ["grp", "band"]))
+    led = led.select("p.cls", "p.rep", "p.n", "part")
+    out = slices.unionByName(led).distinct()
+    return out.select("cls", "rep", "part", F.lit(0).alias("side"), F.col("cls").alias("comp"), "n")
 
 
 def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Blocks of the groups that are too large for one task: each pair of blocks within reach is a part.
+    """Blocks of large groups (cls, rep, grp, n, comp), where comp is what slices have connected.
 
-    A block is a range of sizes (two linked sets lie in the same range or in neighbouring ones) and a
-    slice of it by hash. A block with itself is a part of side 0; two blocks are sides 1 and 2 of a part.
+    A block is a range of sizes and a slice of it by hash, of the group's largest comp or of the others;
+    each pair of blocks within reach is a part, but for two of the largest comp, which is connected
+    already. A block with itself is a part of side 0; two blocks are sides 1 and 2 of a part.
     """
     half = GROUP_SHINGLES // 2
-    rows = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("long") if num < den else F.col("n"))
-    cells = rows.groupBy("grp", "band").agg(F.ceil(F.sum("n") / half).cast("long").alias("slices"))
-    near = cells.select("grp", (F.col("band") - 1).alias("band"), F.col("slices").alias("above")).join(cells.select("grp", "band"), ["grp", "band"])
-    below = cells.select("grp", (F.col("band") + 1).alias("band"), F.col("slices").alias("under")).join(cells.select("grp", "band"), ["grp", "band"])
-    rows = rows.join(cells, ["grp", "band"]).join(near, ["grp", "band"], "left").join(below, ["grp", "band"], "left")
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("slices")))
-
-    def upto(count, make):
-        return F.when(F.coalesce(count, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count - 1, F.lit(0))), make)).otherwise(F.array().cast("array<struct<key:string,side:int>>"))
-
-    def part(b1, s1, b2, s2, side):
-        return F.struct(F.concat_ws(":", b1.cast("string"), s1.cast("string"), b2.cast("string"), s2.cast("string")).alias("key"), side.cast("int").alias("side"))
-
-    band, own = F.col("band"), F.col("slice")
-    same = upto(F.col("slices"), lambda s: part(band, F.least(s, own), band, F.greatest(s, own), F.when(s < own, 2).when(s > own, 1).otherwise(0)))
-    up = upto(F.col("above"), lambda s: part(band, own, band + 1, s, F.lit(1)))
-    down = upto(F.col("under"), lambda s: part(band - 1, s, band, own, F.lit(2)))
-    out = rows.withColumn("p", F.explode(F.concat(same, up, down)))
-    return out.select("cls", "rep", F.xxhash64("grp", "p.key").alias("part"), F.col("p.side").alias("side"), "n")
+    sizes = members.groupBy("grp", "comp").agg(F.count("*").alias("held"))
+    most = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("held", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    rows = members.join(most, "grp").withColumn("rest", (F.col("comp") != F.col("most")).cast("int")).withColumn("band", _band(num, den))
+    cells = rows.groupBy("grp", "band", "rest").agg(F.ceil(F.sum("n") / half).cast("long").alias("slices"))
+    rows = rows.join(cells, ["grp", "band", "rest"]).withColumn("slice", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("slices")))
+    near = [cells.select("grp", (F.col("band") - step).alias("band"), F.struct(F.col("rest").alias("rest"), F.lit(step).alias("step"), F.col("slices").alias("slices")).alias("cell")) for step in (-1, 0, 1)]
+    near = near[0].union(near[1]).union(near[2]).groupBy("grp", "band").agg(F.collect_list("cell").alias("cells"))  # six at most
+    rows = rows.join(near, ["grp", "band"])
+    mine = F.struct(F.col("band").alias("band"), F.col("rest").alias("rest"), F.col("slice").alias("slice"))
+
+    def parts(cell):
+        def part(s):
+            other = F.struct((F.col("band") + cell["step"]).alias("band"), cell["rest"].alias("rest"), s.alias("slice"))
+            side = F.when(other == mine, 0).when(mine < other, 1).otherwise(2)
+            return F.struct(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"), side.alias("side"))
+
+        return F.transform(F.sequence(F.lit(0).cast("long"), cell["slices"] - 1), part)
+
+    wanted = F.filter("cells", lambda c: (c["rest"] == 1) | (F.col("rest") == 1))
+    out = rows.withColumn("p", F.explode(F.flatten(F.transform(wanted, parts))))
+    return out.select("cls", "rep", F.xxhash64("grp", "p.x", "p.y").alias("part"), F.col("p.side").alias("side"), "comp", "n")
 
 
 def keep_one(documents: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:

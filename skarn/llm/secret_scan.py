@@ -4,6 +4,10 @@ Pattern spans come from split() and regexp_extract_all() of one pattern: both fi
 matches, so the running length of the pieces gives each match's place in code points. Entropy spans
 come from candidate strings: a window slides over each, and Shannon entropy per character class is
 kept by counts to which one character is added and from which one is taken at each step.
+
+Texts may be long and hold many spans, so nothing is worked out again for each of them: what a lambda
+needs is bound to a variable first, and running sums go over blocks of about the square root of their
+number, as an array that grows by one is copied each time.
 """
 
 from __future__ import annotations
@@ -30,28 +34,55 @@ ALLOW = [r"^[a-z/_-]+$", r"^[A-Z/_-]+$", r"^[A-Z]?[a-z]+$", r"(?i)example|sample
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 
 
+_SPANS = "array<struct<start:int,end:int,kind:string,hit:string,inner:string>>"
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, combine) -> Column:
+    """For each place of an array of ints >= 0, combine (a sum or a maximum) over all places before it; 0 for the first."""
+
+    def fold(part, item):
+        start = F.struct(F.lit(0).alias("all"), F.expr("cast(array() as array<int>)").alias("before"))
+        return F.aggregate(part, start, lambda s, x: F.struct(combine(s["all"], item(x)).alias("all"), F.concat(s["before"], F.array(s["all"])).alias("before")))
+
+    def blocks(vs):
+        side = F.ceil(F.sqrt(F.size(vs))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(vs), side), lambda i: fold(F.slice(vs, i, side), lambda x: x))
+
+    def joined(parts):
+        heads = fold(parts, lambda p: p["all"])["before"]
+        return F.flatten(F.zip_with(parts, heads, lambda p, h: F.transform(p["before"], lambda x: combine(h, x))))
+
+    return _bound(values, lambda vs: F.when(F.size(vs) == 0, F.expr("cast(array() as array<int>)")).otherwise(_bound(blocks(vs), joined)))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def spans_of(text: Column, pattern: str, kind: str, keep, wide: int | None = None) -> Column:
     """Array of (start, end, kind, text) of the matches of pattern that keep(match, group) lets pass."""
-    pieces = F.split(text, pattern, -1)
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(wide)) if wide else found
-    rows = F.arrays_zip(pieces.alias("piece"), found.alias("hit"), inner.alias("inner"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,kind:string,hit:string,inner:string>>)").alias("spans"))
 
-    def step(state, row):
-        begin = state["at"] + F.length(row["piece"])
-        end = begin + F.coalesce(F.length(row["hit"]), F.lit(0))
-        new = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), row["hit"].alias("hit"), row["inner"].alias("inner"))
-        return F.struct(end.alias("at"), F.when(row["hit"].isNull(), state["spans"]).otherwise(F.concat(state["spans"], F.array(new))).alias("spans"))
+    def placed(rows):
+        length = lambda r: F.coalesce(F.length(r["hit"]), F.lit(0))  # noqa: E731  the last piece has no match behind it
+        before = running(F.transform(rows, lambda r: r["gap"] + length(r)), _plus)
+        start = lambda r, at: at + r["gap"]
+        return F.zip_with(rows, before, lambda r, at: F.struct(start(r, at).alias("start"), (start(r, at) + length(r)).alias("end"), F.lit(kind).alias("kind"), r["hit"].alias("hit"), r["inner"].alias("inner")))
 
-    spans = F.aggregate(rows, start, step, lambda s: s["spans"])
-    return F.filter(spans, lambda s: keep(s["hit"], s["inner"]))
+    spans = _bound(F.arrays_zip(gaps.alias("gap"), found.alias("hit"), inner.alias("inner")), placed)
+    return F.filter(spans, lambda s: s["hit"].isNotNull() & keep(s["hit"], s["inner"]))
 
 
 def _guarded(text: Column, probe: str, spans: Column) -> Column:
     """spans, worked out only for texts in which probe occurs."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,hit:string,inner:string>>)")
-    return F.when(text.rlike(probe), spans).otherwise(none)
+    return F.when(text.rlike(probe), spans).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def base_spans(text: Column) -> tuple[Column, Column, Column]:
@@ -80,25 +111,30 @@ def highest_entropy(s: Column, window: int = WINDOW) -> Column:
         return F.concat(F.slice(counts, 1, at), F.array(F.element_at(counts, at + 1) + by), F.slice(counts, at + 2, size))
 
     def step(state, c):
-        i = state["i"] + 1
+        i, gone = state["i"] + 1, place(c["gone"])
         out = i > window
-        gone = place(F.coalesce(F.get(chars, i - window - 1), F.lit("")))
         n_gone = F.element_at(state["counts"], gone + 1)
         kept = F.struct(
             F.when(out, change(state["counts"], gone, F.lit(-1))).otherwise(state["counts"]).alias("counts"),
             F.when(out, state["sum"] - F.element_at(xlogx, n_gone + 1) + F.element_at(xlogx, F.greatest(n_gone, F.lit(1)))).otherwise(state["sum"]).alias("sum"),
         )
-        return _add(kept, place(c), i, state["best"])
+        return _bound(kept, lambda k: add(k, place(c["come"]), i, state["best"]))
 
-    def _add(kept, at, i, best):
+    def add(kept, at, i, best):
         n = F.element_at(kept["counts"], at + 1)
         total = kept["sum"] - F.element_at(xlogx, n + 1) + F.element_at(xlogx, n + 2)
-        held = F.least(i, F.lit(window)).cast("double")
-        bits = F.log2(held) - total / held
-        full = (i >= window) | (i == F.size(chars))
-        return F.struct(change(kept["counts"], at, F.lit(1)).alias("counts"), total.alias("sum"), i.alias("i"), F.when(full, F.greatest(best, bits)).otherwise(best).alias("best"))
+        return F.struct(change(kept["counts"], at, F.lit(1)).alias("counts"), total.alias("sum"), i.alias("i"), F.when(i >= window, F.greatest(best, bits(total, F.lit(float(window))))).otherwise(best).alias("best"))
 
-    return F.aggregate(chars, start, step, lambda s: s["best"])
+    def bits(total, held):
+        return F.log2(held) - total / held
+
+    def steps(chars):
+        # Character after character, each with the one that leaves the window as it comes.
+        gone = F.concat(F.array_repeat(F.lit(""), window), F.slice(chars, 1, F.greatest(F.size(chars) - window, F.lit(0))))
+        return F.zip_with(chars, F.slice(gone, 1, F.greatest(F.size(chars), F.lit(1))), lambda c, g: F.struct(c.alias("come"), F.coalesce(g, F.lit("")).alias("gone")))
+
+    rows = F.when(s == "", F.expr("cast(array() as array<struct<come:string,gone:string>>)")).otherwise(_bound(F.filter(F.split(s, ""), lambda c: c != ""), steps))
+    return F.aggregate(rows, start, step, lambda x: F.when((x["i"] >= window) | (x["i"] == 0), x["best"]).otherwise(bits(x["sum"], x["i"].cast("double"))))
 
 
 def looks_random(hit: Column) -> Column:
@@ -111,61 +147,86 @@ def looks_random(hit: Column) -> Column:
     return F.when(allowed | ~mixed, F.lit(False)).otherwise(highest_entropy(hit) >= least)
 
 
+#: Order of kinds that start at one place.
+_KINDS = ("assign", "access", "hex", "entropy")
+
+
 def _listed(spans: Column) -> Column:
-    """kind:start:end by start, then kind as listed, comma-joined."""
-    order = F.create_map(*[F.lit(x) for pair in (("assign", 1), ("access", 2), ("hex", 3), ("entropy", 4)) for x in pair])
-    rows = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(order, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["kind"], r["start"].cast("string"), r["end"].cast("string"))), ",")
+    """kind:start:end of sorted spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda r: F.concat_ws(":", r["kind"], r["start"].cast("string"), r["end"].cast("string"))), ",")
+
+
+def _sorted(spans: list[Column]) -> Column:
+    """Spans (start, k, end, kind) by start, then kind as listed."""
+    order = F.create_map(*[F.lit(x) for pair in zip(_KINDS, range(len(_KINDS))) for x in pair])
+    return F.array_sort(F.transform(F.concat(*spans), lambda s: F.struct(s["start"].alias("start"), F.element_at(order, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+
+def _uncovered(spans: Column) -> Column:
+    """Sorted spans without entropy spans that lie within a base span."""
+
+    def free(spans):
+        # A base span of the same start comes first, so the farthest end before a span is of those that could hold it.
+        ends = running(F.transform(spans, lambda s: F.when(s["kind"] == "entropy", 0).otherwise(s["end"])), F.greatest)
+        pairs = F.arrays_zip(spans.alias("s"), ends.alias("far"))
+        return F.transform(F.filter(pairs, lambda p: (p["s"]["kind"] != "entropy") | (p["far"] < p["s"]["end"])), lambda p: p["s"])
+
+    return _bound(spans, free)
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """Adds __skarn_assign, _access, _hexes and _entropy (arrays of spans) to all columns of documents.
+    """Adds __skarn_spans, the sorted array of spans (start, k, end, kind), to all columns of documents.
 
     Null text counts as empty: no spans. Spans of several kinds may overlap; entropy spans that a base
-    span covers are left out. Repeated rows are scanned one by one.
+    span covers are left out. Repeated rows are scanned one by one. Time is about linear in a text's
+    length, and grows with the power 1.5 of the number of its spans.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    assign, access, hexes = base_spans(text)
-    out = documents.withColumns({"__skarn_assign": assign, "__skarn_access": access, "__skarn_hexes": hexes})
     entropy = _guarded(text, f"[A-Za-z0-9+/_-]{{{CANDIDATE_LEAST}}}", spans_of(text, CANDIDATE, "entropy", lambda m, g: looks_random(m)))
-    out = out.withColumn("__skarn_entropy", entropy)
-    based = F.concat("__skarn_assign", "__skarn_access", "__skarn_hexes")
-    free = F.filter(F.col("__skarn_entropy"), lambda e: ~F.exists(based, lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
-    return out.withColumn("__skarn_entropy", free)
+    return documents.withColumn("__skarn_spans", _uncovered(_sorted([*base_spans(text), entropy])))
 
 
 def scan_secrets(documents: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row; see scan()."""
     found = scan(select_as(documents, doc_id="long", text="string"))
-    base = F.concat("__skarn_assign", "__skarn_access", "__skarn_hexes")
+    count = lambda kind: F.size(F.filter("__skarn_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        F.size("__skarn_assign").cast("long").alias("n_assign"),
-        F.size("__skarn_access").cast("long").alias("n_access"),
-        F.size("__skarn_hexes").cast("long").alias("n_hex"),
-        F.sha2(_listed(base), 256).alias("base_sha256"),
-        _listed(F.concat(base, F.col("__skarn_entropy"))).alias("spans"),
+        *[count(kind).alias(f"n_{kind}") for kind in _KINDS[:3]],
+        F.sha2(_listed(F.filter("__skarn_spans", lambda s: s["kind"] != "entropy")), 256).alias("base_sha256"),
+        _listed(F.col("__skarn_spans")).alias("spans"),
     )
 
 
+#: Code points of a piece that a long text is cut into, so that a part of it is found without walking from its start.
+PIECE = 4096
+
+
 def mask_secrets(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """documents with every span replaced by mask, overlapping spans by one; n_chars follows if there is one.
 
     Rows without spans are unchanged, null text stays null.
     """
-    columns = documents.columns
-    found = scan(documents)
-    spans = F.array_sort(F.transform(F.concat("__skarn_assign", "__skarn_access", "__skarn_hexes", "__skarn_entropy"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    text = F.col("text")
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def step(state, s):
-        fresh = s["start"] >= state["at"]
-        piece = F.when(fresh, F.concat(text.substr(state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.concat(state["done"], piece).alias("done"), F.greatest(state["at"], s["end"]).alias("at"))
-
-    clean = F.aggregate(spans, start, step, lambda s: F.concat(s["done"], text.substr(s["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text))
+    text, columns = F.col("text"), documents.columns
+
+    def part(pieces, start, end):
+        """Code points from start up to end."""
+        first = F.floor(start / PIECE).cast("int")
+        held = F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+        return F.substring(F.array_join(held, ""), start - first * PIECE + 1, F.greatest(end - start, F.lit(0)))
+
+    def masked(row):
+        """The text before each span that starts beyond all earlier ones, with the mask behind it, and the rest."""
+        far = running(F.transform(row["spans"], lambda s: s["end"]), F.greatest)
+        cuts = F.filter(F.arrays_zip(row["spans"].alias("s"), far.alias("far")), lambda p: p["s"]["start"] >= p["far"])
+        last = F.array_max(F.transform(row["spans"], lambda s: s["end"]))
+        kept = F.transform(cuts, lambda p: F.concat(part(row["pieces"], p["far"], p["s"]["start"]), F.lit(mask)))
+        return F.concat(F.array_join(kept, ""), part(row["pieces"], last, F.length(text)))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    clean = _bound(F.struct(pieces.alias("pieces"), F.col("__skarn_spans").alias("spans")), masked)
+    hit = F.size("__skarn_spans") > 0
+    out = scan(documents).withColumn("text", F.when(hit, clean).otherwise(text))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*columns)

@@ -62,6 +62,14 @@ def chunks(starts: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         i = min(j, n)
 
 
+def slices(batches, at: int, size: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that column at has about size bytes in each, unless a single row has more."""
+    for batch in batches:
+        starts = texts(batch.column(at))[1]
+        for a, b in chunks(starts, size):
+            yield batch.slice(a, b - a)
+
+
 def words(data: np.ndarray, starts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row, hash) of every word of the rows."""
     n = len(data)

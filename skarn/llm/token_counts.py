@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import select_as, small_batches
+from .common import materialize, select_as, small_batches
 
 #: Lengths of one block of the histogram: suffix sums are taken within blocks, and over blocks.
 BLOCK = 1024
-QUANTILES = (0.5, 0.9, 0.99)
+QUANTILES = (50, 90, 99)  # percent
 _encoders: dict = {}
 
 
@@ -88,11 +88,15 @@ def answers(histogram: DataFrame) -> DataFrame:
     )
     cut = F.col("total_tokens") - F.col("tokens_longer") + F.col("docs_longer") * F.col("context_limit")
     out = out.withColumns({"truncated_total": cut, "lost_total": F.col("total_tokens") - cut, "share_kept": 1 - F.col("docs_longer") / F.col("total_docs")})
-    # The q-quantile is the first length at which at most (1 - q) of the documents are longer.
-    quantiles = out.agg(*[F.min(F.when(F.col("docs_longer") <= F.floor(F.col("total_docs") * (1 - q) + 1e-9), F.col("context_limit"))).alias(f"quantile_p{round(q * 100)}") for q in QUANTILES])
+    # The quantile of q percent is the first length at which at most 100 - q percent of the documents are longer, in whole numbers.
+    quantiles = out.agg(*[F.min(F.when(F.col("docs_longer") * 100 <= F.col("total_docs") * (100 - q), F.col("context_limit"))).alias(f"quantile_p{q}") for q in QUANTILES])
     return out.crossJoin(F.broadcast(quantiles))  # one row of three numbers
 
 
 def count_tokens(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """answers() of the lengths of all whole texts; see there for empty tables and null texts."""
-    return answers(length_histogram(encoded_lengths(documents, path, pattern)))
+    """answers() of the lengths of all whole texts; see there for empty tables and null texts.
+
+    Repeated rows count one by one; only the column text is read, whatever others are named. The
+    histogram is a table of its own, as several branches of the answers read it: texts are encoded once.
+    """
+    return answers(materialize(length_histogram(encoded_lengths(documents, path, pattern)), "lengths"))

@@ -4,8 +4,10 @@ Level 0 encodes the listed keys. Level 1 encodes the keys of the corpus's key un
 takes wrongly; level 2 the listed keys that level 1 takes, and so on until a level has no such keys.
 A key of the universe is listed exactly if the first level that doesn't take it is an odd one. The
 universe is complete (every key that any url of the corpus can ask for), so membership is exact and
-no join is needed. All of it is DataFrame functions; a level is an array of longs in the plan, whose
-size is bounded by MAX_BITS.
+no join is needed. Level 0 is made so large that what it takes wrongly is no more than the listed keys,
+however many keys the universe has, so all levels are of the size of the list. All of it is DataFrame
+functions; a level is an array of longs in the plan, of at most MAX_BITS bits: that bounds the list (some
+eight million keys), not the universe.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, select_as
+from .common import discard, materialize, select_as
 
-#: Bits for each key of a level, hashes of a key, and the largest level.
-BITS_PER_KEY, HASHES, MAX_BITS = 8, 4, 1 << 26
+#: Bits for each key of a level, hashes of a key, the largest level, and keys that level 0 may always take wrongly.
+BITS_PER_KEY, HASHES, MAX_BITS, SPARE = 8, 4, 1 << 26, 1000
 
 
 @dataclass(frozen=True)
@@ -39,13 +41,11 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every (host suffix + path prefix) that a rule with a path of one of these lengths could have."""
-    labels = F.split(host, r"\.", -1)
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    prefixes = F.array(*[F.when(F.length(path) >= k, path.substr(1, k)) for k in lengths])
-    prefixes = F.filter(prefixes, lambda p: p.isNotNull())
+def keys_of(host: Column, path: Column, lengths: list[int], labels: list[int]) -> Column:
+    """Every (host suffix + path prefix) that a rule with a path of one of these lengths and a host of so many labels could have."""
+    dots = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+    suffixes = F.filter(F.array(*[F.when(dots + 1 >= k, F.substring_index(host, ".", -k)) for k in labels]), lambda s: s.isNotNull())
+    prefixes = F.filter(F.array(*[F.when(F.length(path) >= k, path.substr(1, k)) for k in lengths]), lambda p: p.isNotNull())
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(F.concat(s, p).alias("key"), F.length(s).alias("host_len")))))
     return F.array_distinct(pairs)
 
@@ -54,13 +54,15 @@ def _places(key: Column, bits: int, seed: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
 
 
-def _level(keys: DataFrame, n: int, seed: int) -> tuple[int, int, list[int]]:
-    """A level that takes all n keys (a column key of distinct strings), with hashes of its own."""
+def _level(keys: DataFrame, n: int, seed: int, others: int) -> tuple[int, int, list[int]]:
+    """A level that takes all n keys (a column key of distinct strings), with hashes of its own; others: keys that it should not take."""
+    # Of keys that aren't its own, a level takes a share of about (HASHES * n / bits) ** HASHES.
+    need = max(BITS_PER_KEY * n, HASHES * n * (others / max(n, SPARE)) ** (1 / HASHES))
     bits = 64
-    while bits < BITS_PER_KEY * n:
+    while bits < min(need, MAX_BITS):
         bits *= 2
-    if bits > MAX_BITS:
-        raise ValueError(f"{n} keys need more than {MAX_BITS} bits")
+    if BITS_PER_KEY * n > MAX_BITS:
+        raise ValueError(f"{n} listed keys need more than {MAX_BITS} bits")
     places = keys.select(F.explode(F.array(*_places(F.col("key"), bits, seed))).alias("p"))
     words = places.groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
     out = [0] * (bits // 64)
@@ -87,12 +89,16 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> list[tuple[int, int
     shrink by a constant factor until one is empty.
     """
     mine = materialize(listed.where("key is not null").select("key").distinct(), "urlin")
-    levels = [_level(mine, mine.count(), 0)]
+    n, others = mine.count(), universe.agg(F.approx_count_distinct("key")).first()[0]
+    levels = [_level(mine, n, 0, others)]
     outside = universe.where("key is not null").where(takes(F.col("key"), levels[0])).select("key").distinct()
     other = materialize(outside.join(mine, "key", "left_anti"), "urlout")
-    while n := other.count():
-        levels.append(_level(other, n, len(levels)))
-        mine, other = other, materialize(mine.where(takes(F.col("key"), levels[-1])), "urlnext")
+    while wrong := other.count():
+        levels.append(_level(other, wrong, len(levels), n))
+        mine, n, other, spent = other, wrong, materialize(mine.where(takes(F.col("key"), levels[-1])), "urlnext"), mine
+        discard(spent)
+    discard(mine)
+    discard(other)
     return levels
 
 
@@ -110,7 +116,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_c
     A null url, or one without ://, has an empty host and path and gets the default verdict, like any
     url that no rule fits; rule is null there. Of several rules that fit, the longest wins, and of
     equally long ones the longer host. Repeated rows are judged one by one; other columns are dropped.
-    Without rules, every url gets the default verdict; an empty table gives an empty result.
+    Without rules, every url gets the default verdict; an empty table gives an empty result. Time is
+    linear in a url's length, however many labels its host has.
     """
     rows = select_as(pages, **{id_col: "long", url_col: "string"})
     host, path = host_path(F.col(url_col))
@@ -118,13 +125,16 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_c
     if not rules:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     lengths = sorted({len(r.path) for r in rules})
-    keys = keys_of(F.col("host"), F.col("path"), lengths)
+    labels = sorted({r.host.count(".") + 1 for r in rules})
+    keys = keys_of(F.col("host"), F.col("path"), lengths, labels)
     verdicts = {r.host + r.path: r.verdict for r in rules}
     listed = rows.sparkSession.createDataFrame([(k,) for k in sorted(verdicts)], "key string")
     # Distinct hosts and path heads first: a host with a third of all rows is one row from here on.
-    heads = rows.select("host", F.expr(f"substring(path, 1, {max(lengths)})").alias("path")).distinct()
+    end = F.substring_index("host", ".", -max(labels) - 1).alias("host")  # with one label more, so that dots tell where a suffix starts
+    heads = materialize(rows.select(end, F.expr(f"substring(path, 1, {max(lengths)})").alias("path")).distinct(), "heads")
     universe = heads.select(F.explode(F.transform(keys, lambda k: k["key"])).alias("key"))
     levels = build_cascade(listed, universe)
+    discard(heads)
     fits = F.filter(keys, lambda k: listed_in(k["key"], levels))
     best = F.get(F.sort_array(F.transform(fits, lambda k: F.struct(F.length(k["key"]), k["host_len"], k["key"].alias("key"))), asc=False), F.lit(0))
     out = rows.withColumn("rule", best["key"])

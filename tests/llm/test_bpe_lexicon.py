@@ -96,3 +96,18 @@ def test_encode_and_decode_tables(documents, path):
 
 def test_empty(empty, path):
     assert B.round_trip(empty, path).collect() == []
+
+
+def test_pieces_of_long_texts_change_nothing(monkeypatch):
+    """Texts cut into pieces have the ids that whole ones have."""
+    import tokenizers
+
+    monkeypatch.setattr(B, "PIECE_CHARS", 40)
+    path = tokenizer_file("byte_bpe_50k.json")
+    rng = random.Random(21)
+    bits = ["word", "it's", "x" * 70, "  ", " ", "\n", "123", "é", "ü", "!?", "<|endoftext|>", "a b c", "日本"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(n)) for n in (1, 10, 100, 400)] + ["", None]
+    ids, edge = B.Encoder(B.Tokenizer(path), B.Lexicon(B.compile_lexicon({}))).encode(texts)
+    library = tokenizers.Tokenizer.from_file(path)
+    for t, a, b in zip(texts, edge, edge[1:]):
+        assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids

@@ -21,16 +21,36 @@ def test_main_text(net):
 
 
 def test_blocks():
-    blocks = list(H.blocks_of("<div class='A b'>x <b>y</b>z<p>q<p>r &nbsp; s</div>t <script>no</script><textarea>no</textarea> u <img> v < 3 <!-- <p> --> w"))
-    assert [b.text for b in blocks] == ["x yz", "q", "r s", "t", "u v < 3 w"] or [b.text for b in blocks] == ["x yz", "q", "r s", "t", "u", "v < 3 w"]
-    assert blocks[0].path == ("div", ".a", ".b") and blocks[2].path == ("div", ".a", ".b", "p")
+    blocks = list(H.blocks_of("<div class='A b'>x <b>y</b>z<p>q<p>r &nbsp; s</div>t <script>no</script> <textarea>a <b>c</textarea> u <img> v < 3 <!-- <p> --> w"))
+    assert [b.text for b in blocks] == ["x yz", "q", "r s", "t", "a <b>c", "u", "v < 3 w"]
+    assert blocks[0].path.all() == ("div", ".a", ".b") and blocks[2].path.all() == ("div", ".a", ".b", "p")
 
 
-@pytest.mark.parametrize("page", ["<", "<p", "<!--", "<a href='", "</p></p>", "<script>", "&", "&#x;&#99999999999;", "<p>" * 2000 + "x", "x" * 100_000, "<p>a" * 3000])
+@pytest.mark.parametrize("page", ["<", "<p", "<!--", "<a href='", "</p></p>", "<script>", "&", "&#x;&#99999999999;", "<p>" * 2000 + "x", "x" * 100_000, "<p>a" * 3000, "<div>x" * 20_000, "<b><div>" * 20_000 + "</b>" * 20_000 + "</q>" * 20_000])
 def test_broken_pages(net, page):
     assert isinstance(H.main_texts(net, [page])[0], str)
 
 
+def test_nesting_costs_each_element_once(net):
+    """Paths are shared; their means are those of all their tokens."""
+    blocks = list(H.blocks_of("<div class='a b'>x" * 3000 + "<section>" * 10 + "<p>y"))
+    table = net.p["tags"]
+    for b in (blocks[0], blocks[500], blocks[-1]):
+        assert b.path.mean(table) == pytest.approx(np.mean([table[H._tags[t]] for t in b.path.all()], axis=0, dtype=np.float64), abs=1e-5)
+    assert blocks[-1].path.size == 3 * 3000 + 11
+
+
+def test_stray_quotes_and_literal_elements():
+    texts = [b.text for b in H.blocks_of("<p class=a\">one</p><p title=\"x > y\">two</p><p \"'>three</p><noscript><p>four</p></noscript><template>five</template>")]
+    assert texts == ["one", "two", "three", "four", "five"]
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE)], "page_id long, url string, html string")
+    a, b = H.extract(df).collect()
+    assert a == b
+
+
 def test_held_out_pages(net):
     maker, right, total = H._Pages(seed=4242), 0, 0
     for _ in range(60):

@@ -64,5 +64,37 @@ def test_masking(spark):
     assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, "a [SECRET] b", 12, "z"), (2, None, None, "z"), (3, "clean", 5, None)]
 
 
+def test_masking_of_many_overlapping_spans_in_long_texts(spark):
+    """Against the same done on strings, over pieces of 4096 code points."""
+    rng = random.Random(12)
+    bits = ["token=" + "ab12" * 6, "deadbeef" * 4, "password: xyz123", "é" * 50, "plain words " * 30, "😀\n", "Zm9vYmFy9XqLw7Rk2TtPz4VsN1"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", "", "\n"]) for _ in range(n)) for n in (1, 5, 40, 300, 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x] for r in S.scan_secrets(df).collect()}
+    for r in S.mask_secrets(df).collect():
+        text, out, at = texts[r["doc_id"]], "", 0
+        for s, e in spans[r["doc_id"]]:
+            if s >= at:
+                out += text[at:s] + "[SECRET]"
+            at = max(at, e)
+        assert r["text"] == out + text[at:]
+
+
+def test_long_candidates_and_many_secrets_end_soon(spark):
+    """Time is about linear: a run of 100,000 characters and 10,000 secrets in one text."""
+    import time
+
+    rng = random.Random(13)
+    run = "".join(rng.choice("GHIJKLMNghijklmn01234567+/") for _ in range(100_000))
+    many = " ".join(f"token=abc{i:06d}" for i in range(10_000))
+    df = spark.createDataFrame([(0, run), (1, many), (2, "Zm9vYmFy9XqLw7Rk2TtPz4VsN1 " * 2000)], "doc_id long, text string").repartition(3)
+    began = time.time()
+    got = {r["doc_id"]: r for r in S.scan_secrets(df).collect()}
+    assert got[0]["spans"] == "entropy:0:100000" and got[1]["n_assign"] == 10_000 and got[2]["spans"].count(",") == 1999
+    masked = {r["doc_id"]: r["text"] for r in S.mask_secrets(df).collect()}
+    assert masked[1] == " ".join(["[SECRET]"] * 10_000) and masked[0] == "[SECRET]"
+    assert time.time() - began < 120
+
+
 def test_messy(documents, empty):
     assert S.scan_secrets(documents).count() == documents.count() and S.scan_secrets(empty).collect() == []

@@ -38,6 +38,7 @@ def test_against_direct_reading(spark):
 def test_cascade_is_exact(spark, monkeypatch):
     """With small levels there are false positives at every level, and membership is exact all the same."""
     monkeypatch.setattr(U, "BITS_PER_KEY", 4)
+    monkeypatch.setattr(U, "SPARE", 10**9)
     from pyspark.sql import functions as F
 
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
@@ -52,3 +53,20 @@ def test_no_rules_and_no_rows(spark):
     assert judged(spark, ["http://a.com/"], []) == [("a.com", "/", None, "allow")]
     assert judged(spark, ["http://a.com/"], [])[0][3] == "allow"
     assert U.judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).collect() == []
+
+
+def test_long_hosts_and_repeated_rows(spark):
+    """A host of 100,000 labels, a path of a million characters, each twice."""
+    urls = ["http://" + "a." * 100_000 + "example.com/en/", "http://x.net/es/" + "y" * 1_000_000] * 2
+    got = judged(spark, urls, RULES)
+    assert [g[2:] for g in got] == [("example.com/en/", "block"), ("net/es/", "block")] * 2 and got[0][0] == "a." * 100_000 + "example.com"
+
+
+def test_levels_follow_the_list_not_the_universe(spark):
+    from pyspark.sql import functions as F
+
+    universe = spark.range(300_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = universe.where("key in ('k1', 'k77', 'k4000')")
+    levels = U.build_cascade(listed, universe)
+    assert sum(bits for bits, *_ in levels) < 100_000
+    assert {r["key"] for r in universe.where(U.listed_in(F.col("key"), levels)).collect()} == {"k1", "k77", "k4000"}
