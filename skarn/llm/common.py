@@ -120,6 +120,33 @@ def with_least(rows: DataFrame, key: str, aggregate, name: str) -> DataFrame:
     return rows.join(materialize(rows.groupBy(key).agg(aggregate.alias(name)), f"{name}-of"), key)
 
 
+#: Most bits of a sieve: its size is bounded however many keys there are.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(keys: DataFrame, n: int):
+    """A test Column -> Column that is true for all of the n long keys (column key) and false for most others.
+
+    It is a bitmap of hashes, one row of SIEVE_BITS bits at most: rows that can't find a partner in a
+    join needn't be exchanged. With very many keys it lets more rows pass, and the join still decides.
+    """
+    bits = 1 << min(SIEVE_BITS.bit_length() - 1, max(10, (8 * n).bit_length()))
+
+    def place(key):
+        return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(bits))
+
+    at = keys.select(place(F.col("key")).alias("p"))
+    words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
+    all_words = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w")).join(words, "w", "left").select(F.struct("w", F.coalesce("v", F.lit(0)).alias("v")).alias("s"))
+    table = materialize(all_words.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]).alias("bitmap")), "sieve")
+
+    def test(key):
+        p = place(key)
+        return F.call_function("getbit", F.element_at(table.scalar(), (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1
+
+    return test
+
+
 def _is_stars(edges: DataFrame) -> bool:
     """Whether each node of edges (u, v), v < u, either has one edge to a smaller node or is only such a node."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import connected_components, discard, materialize, roots, select_as, small_batches, tidy, with_least
+from .common import connected_components, discard, materialize, roots, select_as, sieve, small_batches, tidy, with_least
 
 #: Entries of tiles that one task groups, shingles that one task compares, and classes of a tile whose pairs are all tested.
 BUCKET_ENTRIES, GROUP_SHINGLES, PAIRS_UP_TO = 500_000, 500_000, 24
@@ -412,7 +412,8 @@ def jaccard_components(documents: DataFrame, shingle: int = 4, num: int = 85, de
         compared = parts.agg(F.sum("n")).first()[0] or 0
         bins = F.lit(max(buckets, math.ceil(compared / GROUP_SHINGLES)))
         parts = parts.select("cls", F.coalesce("rep", F.lit(_NO_ID)).alias("rep"), "part", "side", "comp", F.pmod(F.xxhash64("part", F.lit(1)), bins).alias("bin"))
-        parts = parts.join(texts, "rep").select("bin", "part", "side", "comp", "cls", "text")
+        wanted = sieve(parts.select(F.col("rep").alias("key")), parts.count())
+        parts = parts.join(texts.where(wanted(F.col("rep"))), "rep").select("bin", "part", "side", "comp", "cls", "text")
         return parts.groupBy("bin").applyInArrow(_link_group(shingle, num, den), "a long, b long")
 
     members = materialize(with_least(groups, "grp", F.sum("n"), "total"), "members")
@@ -493,5 +494,9 @@ def keep_one(documents: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
     Rows without text, and rows without doc_id, stay. All columns are as they were.
     """
     found = jaccard_components(documents, shingle, num, den)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    gone = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    # Only rows that may go are exchanged; the others stay where they are.
+    doubtful = sieve(gone.select(F.col("_gone").alias("key")), gone.count())(documents["doc_id"].cast("long"))
+    stay = documents.where(documents["doc_id"].isNull() | ~doubtful)
+    rest = documents.where(documents["doc_id"].isNotNull() & doubtful)
+    return stay.union(rest.join(gone, rest["doc_id"].cast("long") == gone["_gone"], "left_anti"))
