@@ -100,7 +100,10 @@ def check(value) -> tuple[dict | None, int]:
 
 def _load(text: str):
     try:
-        return check(json.loads(text))
+        value = json.loads(text)
+        if "\\ud" in text.lower():
+            json.dumps(value, ensure_ascii=False).encode()  # a lone surrogate is no text: UnicodeEncodeError is a ValueError
+        return check(value)
     except (ValueError, RecursionError):
         return None, 1
 

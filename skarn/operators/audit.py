@@ -12,6 +12,18 @@ from skarn.schemas import RISK_CATEGORIES
 BLIND, UNINFORMATIVE, REVISED = r"blind verdict was '([a-z_]+)'", r"\bUNINFORMATIVE\b\s*:", r"\brevised\b"
 
 
+def risk_rows(filings: DataFrame) -> DataFrame:
+    """A row for each risk of filings (accession_no, ..., risks): its place, title, category and summary beside the filing's other columns."""
+    others = [c for c in filings.columns if c != "risks"]
+    return filings.select(*others, F.posexplode("risks").alias("risk_index", "risk")).select(*others, "risk_index", "risk.*")
+
+
+def with_filings(rows: DataFrame, filings: DataFrame) -> DataFrame:
+    """Risk rows with the row of their filing; rows of no filing go."""
+    more = [c for c in filings.columns if c not in rows.columns]
+    return rows.join(filings.select("accession_no", *more), "accession_no")
+
+
 def is_uninformative(note: Column) -> Column:
     return F.coalesce(note.rlike(UNINFORMATIVE), F.lit(False))
 

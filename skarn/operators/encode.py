@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.tables import materialize
+
 IGNORE, EOS, PAD = -100, 2, 0
 
 
@@ -48,6 +50,23 @@ def encode(rows: DataFrame, prompt: Column, completion: Column, max_len: int, eo
     ).drop("_p", "_c", "_b", "_t")
 
 
+def rejects(encoded: DataFrame, key: list[str]) -> DataFrame:
+    """(key, reason) of rows whose completion leaves no room for any of the prompt."""
+    return encoded.where(~F.col("fits")).select(*key, F.lit("completion_too_long").alias("reason"))
+
+
+def subset(rows: DataFrame, order: list[str], limit: int | None = None, tickers: list[str] | None = None, ticker: str = "ticker") -> DataFrame:
+    """rows of some companies, and of these the first limit by order; taken before anything costly is done with them."""
+    if tickers is not None:
+        rows = rows.where(F.col(ticker).isin([t.upper() for t in tickers]) | F.col(ticker).isin(tickers))
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
+
+
+def measured(rows: DataFrame, prompt: Column, completion: Column, special: int = 0) -> DataFrame:
+    """rows with prompt, completion and total, their lengths in ids: special ids are added to each prompt, and one for the end to each completion."""
+    return rows.withColumns({"prompt": F.size(prompt) + special, "completion": F.size(completion) + 1}).withColumn("total", F.col("prompt") + F.col("completion"))
+
+
 def encoding_stats(encoded: DataFrame, by: list[str]) -> DataFrame:
     """(n, truncated, max_tokens, prompt_tokens, completion_tokens, supervised_share) of rows that fit."""
     own = F.size(F.filter("labels", lambda x: x != IGNORE))
@@ -62,7 +81,9 @@ def pad_batches(encoded: DataFrame, order: list[str], size: int, multiple: int =
     Batches are runs of size rows by order. Numbering all rows in order takes one sort into ranges,
     counts by range, and their running sum, so no task gets all rows.
     """
-    ranged = encoded.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    # Written, as its ranges are read twice: a second run might draw their bounds otherwise.
+    parts = int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(encoded.repartitionByRange(parts, *[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()), "ranges")
     within = Window.partitionBy("_part").orderBy(*order)
     ranged = ranged.withColumn("_i", F.row_number().over(within))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))

@@ -86,6 +86,16 @@ def latest_n(filings: DataFrame, company: str, date: str, key: str, n: int) -> D
     return filings.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def latest_filings(filings: DataFrame, company: str, date: str, key: str, n: int, form: str = "10-K", form_col: str = "form_type") -> DataFrame:
+    """The n newest filings of one form of each company; amendments have a form of their own (10-K/A) and don't count."""
+    return latest_n(filings.where(F.col(form_col) == form), company, date, key, n)
+
+
+def unknown_overrides(overrides: DataFrame, universe: DataFrame, company: str = "ticker") -> DataFrame:
+    """Overrides whose key is no company of the universe: must be empty."""
+    return overrides.join(universe.select(F.col(company).cast("string").alias("key")), "key", "left_anti")
+
+
 def with_override(rows: DataFrame, key: str, overrides: DataFrame, into: str) -> DataFrame:
     """rows with the identifier that overrides (key, identifier) has for key, else key itself."""
     o = overrides.select(F.col("key").alias(key), F.col("identifier").cast("string").alias("_o"))
@@ -106,6 +116,23 @@ def refresh_diff(old: DataFrame, new: DataFrame, fields: tuple[str, ...] = SCORE
     return changed.withColumn("failed", F.lit(False)).unionByName(nothing)
 
 
+def refreshed(filings: DataFrame, fresh: DataFrame, fields: tuple[str, ...] = SCORED_FIELDS) -> DataFrame:
+    """filings with the figures and fact warnings of fresh (accession_no, the fields, fact_warnings); all else stays as it was.
+
+    Warnings that aren't about facts are kept, before the new ones. A filing that fresh lacks keeps its
+    figures and warnings. sinks.staged_overwrite() puts the result in the place of the old table.
+    """
+    new = fresh.select("accession_no", F.struct(*fields).alias("_new"), F.col("fact_warnings").alias("_warned"))
+    rows = filings.join(new, "accession_no", "left")
+    money = F.col("financials")
+    for f in fields:
+        money = money.withField(f, F.when(F.col("_new").isNull(), F.col(f"financials.{f}")).otherwise(number_or_null(F.col(f"_new.{f}"))))
+    none = F.array().cast("array<string>")
+    old = F.coalesce("parse_warnings", none)
+    warned = F.when(F.col("_new").isNull(), old).otherwise(F.concat(kept_warnings(old), F.coalesce("_warned", none)))
+    return rows.withColumns({"financials": money, "parse_warnings": warned}).select(*filings.columns)
+
+
 def kept_warnings(warnings: Column) -> Column:
     """Warnings that a refresh of facts leaves: those that aren't about facts."""
     markers = F.array(*[F.lit(m) for m in FACT_WARNINGS])

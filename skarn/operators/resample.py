@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from skarn.functions.numeric import ratio
 from skarn.functions.text import draw
 
 RESAMPLES, CONFIDENCE, SEED, LEAST_CLUSTERS = 10_000, 0.95, 0, 3
+#: Clusters up to which places are drawn; beyond, every cluster draws how often it is taken.
+PLACES_UPTO = 20_000
+_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 
 
 def bootstrap(stats: DataFrame, key: str, metrics: list[str], resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE, least: int = 1, gaps: dict[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -18,16 +23,24 @@ def bootstrap(stats: DataFrame, key: str, metrics: list[str], resamples: int = R
     denominator is 0 doesn't count; a metric without draws, or fewer than least clusters, has no row.
     gaps names differences of two metrics, taken within the draw. Draws are hashes of seed, resample and
     place, so they are the same in any partitioning.
+
+    Up to PLACES_UPTO clusters, n places of each resample draw a cluster. With more, each cluster draws
+    from a Poisson law of mean 1 how often each resample has it (the usual stand-in for many clusters):
+    no cluster is numbered, and sums are partial ones of each task, a row for each resample.
     """
-    # Numbered clusters are few (documents or companies of an evaluation set), whatever the data's size.
-    numbered = stats.withColumn("slot", F.row_number().over(Window.orderBy(key)) - 1)
     n = stats.count()
-    spark = stats.sparkSession
+    spark, names = stats.sparkSession, [f"{m}_{x}" for m in metrics for x in ("num", "den")]
     if n < max(1, least) or resamples <= 0:
         return spark.createDataFrame([], "metric string, low double, high double, draws long")
-    places = spark.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    drawn = places.select("r", draw(F.lit(seed), F.col("r"), F.col("k"), n=n).cast("int").alias("slot"))
-    sums = drawn.join(numbered, "slot").groupBy("r").agg(*[F.sum(f"{m}_{x}").alias(f"{m}_{x}") for m in metrics for x in ("num", "den")])
+    if n <= PLACES_UPTO:
+        numbered = stats.withColumn("slot", F.row_number().over(Window.orderBy(key)) - 1)  # PLACES_UPTO rows at most
+        places = spark.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+        drawn = places.select("r", draw(F.lit(seed), F.col("r"), F.col("k"), n=n).cast("int").alias("slot")).join(numbered, "slot").withColumn("times", F.lit(1))
+    else:
+        each = stats.select(key, *names, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+        u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("r")), F.lit(1 << 40)) / float(1 << 40)
+        drawn = each.withColumn("times", sum(((u >= p).cast("int") for p in _POISSON), F.lit(0))).where("times > 0")
+    sums = drawn.groupBy("r").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in names])
     values = {m: ratio(F.col(f"{m}_num"), F.col(f"{m}_den")) for m in metrics}
     values |= {g: values[a] - values[b] for g, (a, b) in (gaps or {}).items()}
     long = sums.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()]))).where("value is not null")

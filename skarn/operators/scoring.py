@@ -31,15 +31,29 @@ def verdict_tally(rows: DataFrame) -> DataFrame:
     return rows.groupBy("field").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS])
 
 
-def join_predictions(examples: DataFrame, predictions: DataFrame) -> DataFrame:
-    """examples with their answers by accession_no; an example without one has an empty answer."""
-    p = predictions.select("accession_no", F.coalesce("raw", F.lit("")).alias("raw"))
+def alignment_faults(examples: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(accession_no, fault): examples with no answer (missing), answers of no example (orphan), keys that occur more than once (repeated)."""
+    sides = [df.groupBy("accession_no").agg(F.count("*").alias(name)) for df, name in ((examples, "e"), (predictions, "p"))]
+    both = sides[0].join(sides[1], "accession_no", "full").fillna(0, ["e", "p"])
+    faults = F.array_compact(F.array(F.when(F.col("p") == 0, F.lit("missing")), F.when(F.col("e") == 0, F.lit("orphan")), F.when(F.greatest("e", "p") > 1, F.lit("repeated"))))
+    return both.select("accession_no", F.explode(faults).alias("fault"))
+
+
+def join_predictions(examples: DataFrame, predictions: DataFrame, strict: bool = False) -> DataFrame:
+    """examples with their answers by accession_no; an example without one has an empty answer.
+
+    Of several answers to one example the first in order counts, so that examples aren't multiplied. With
+    strict, any fault of alignment_faults() ends the job instead.
+    """
+    if strict and (found := alignment_faults(examples, predictions).orderBy("accession_no").limit(5).collect()):
+        raise ValueError("examples and answers don't match: " + ", ".join(f"{r['accession_no']} {r['fault']}" for r in found))
+    p = predictions.groupBy("accession_no").agg(F.min(F.coalesce("raw", F.lit(""))).alias("raw"))
     return examples.join(p, "accession_no", "left").withColumn("raw", F.coalesce("raw", F.lit("")))
 
 
-def score_examples(examples: DataFrame, predictions: DataFrame) -> DataFrame:
+def score_examples(examples: DataFrame, predictions: DataFrame, strict: bool = False) -> DataFrame:
     """One row for each example: validity, verdicts by field, and risk counts (null by reference)."""
-    rows = join_predictions(examples, predictions).withColumn("p", validate_target(F.col("raw")))
+    rows = join_predictions(examples, predictions, strict).withColumn("p", validate_target(F.col("raw")))
     gold = F.from_json(F.element_at("messages", -1)["content"], TARGET_DDL)
     rows = rows.withColumn("gold", gold)
     none = F.array().cast("array<struct<title:string,category:string,summary:string>>")

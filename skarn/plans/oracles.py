@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from skarn.functions.text import STOPWORDS
 
-_RESAMPLES = 1000
+_RESAMPLES = 10_000
 
 
 def _variants(x: str) -> str:
@@ -154,6 +154,18 @@ _SIM = f"""
 WITH t AS (SELECT p_partkey, p_brand, {_tokens("p_name")} AS n, {_tokens("p_type")} AS s, p_type FROM part)
 """
 
+_GREEDY = _SIM + f""", nth AS (SELECT t.*, substr(part.p_name, 1, 2) AS c, part.p_type AS kind, part.p_size AS size, row_number() OVER (PARTITION BY part.p_brand, part.p_type, part.p_size ORDER BY t.p_partkey) - 1 AS i FROM t JOIN part ON part.p_partkey = t.p_partkey
+), pairs AS (
+  SELECT a.p_brand, a.kind, a.size, a.i // 2 AS g, b.i // 2 AS p, 0.7::DOUBLE * ({_dice('a.n', 'b.n')}) + (1 - 0.7::DOUBLE) * ({_dice('a.s', 'b.s')}) AS score, a.c = b.c AS same
+  FROM nth a JOIN nth b ON a.p_brand = b.p_brand AND a.kind = b.kind AND a.size = b.size AND a.i % 2 = 0 AND b.i % 2 = 1
+), ranked AS (
+  SELECT p_brand, kind, size, list({{'g': g, 'p': p, 'score': score, 'same': same}} ORDER BY score DESC, g, p) AS l FROM pairs WHERE score >= 0.3::DOUBLE GROUP BY p_brand, kind, size
+), folded AS (
+  SELECT p_brand, kind, size, list_reduce(list_transform(l, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.g = x[1].g OR k.p = x[1].p)) = 0 THEN list_concat(kept, x) ELSE kept END) AS m FROM ranked
+)
+"""
+
+
 ORACLES = {
     "verdict_accuracy": _VERDICTS
     + """SELECT field, count(*) AS n, sum((verdict NOT IN ('not_scored', 'spurious'))::INT)::BIGINT AS scorable, sum((verdict IN ('exact', 'close'))::INT)::BIGINT AS hits,
@@ -193,7 +205,7 @@ FROM events GROUP BY 1""",
   SELECT l_orderkey AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth,
     replace('Part $0.00' || l_partkey || ': ' || format('{:,.2f}', floor(l_extendedprice) + CASE WHEN l_partkey % 2 = 0 THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END), '.00', '') AS line
   FROM lineitem WHERE l_linenumber <> 7 AND NOT (l_discount >= 0.09::DOUBLE) AND l_partkey % 13 <> 0
-), texts AS (SELECT a, count(*)::INT AS n, '## Income Statement (period ending 2025-01-01)' || chr(10) || string_agg(line, chr(10) ORDER BY nth) AS t FROM lines WHERE nth <= 3 GROUP BY a)
+), texts AS (SELECT a, count(*)::INT AS n, '## Income Statement (period ending 2025-01-01)' || chr(10) || string_agg(line, chr(10) ORDER BY nth) AS t FROM lines WHERE nth <= 60 GROUP BY a)
 SELECT a AS accession_no, n AS n_lines, md5(t) AS text_md5, length(t)::INT AS n_chars FROM texts""",
     "statement_pair_warnings": """SELECT concat_ws(',', CASE WHEN o_orderkey % 3 = 0 THEN 'missing_income_statement' END, CASE WHEN o_orderkey % 4 = 0 THEN 'missing_balance_sheet' END) AS warnings, count(*) AS n
 FROM orders GROUP BY 1""",
@@ -236,30 +248,7 @@ FROM events GROUP BY 1""",
 ), t AS (SELECT count(*) AS n, sum(g)::BIGINT AS g, sum(p)::BIGINT AS p, sum(tp)::BIGINT AS tp, avg(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0::DOUBLE END) AS m FROM s)
 SELECT n, g AS n_gold, p AS n_pred, tp AS category_tp, round(m, 6) AS macro_category_f1, round(2 * (tp::DOUBLE / p) * (tp::DOUBLE / g) / (tp::DOUBLE / p + tp::DOUBLE / g), 6) AS micro_category_f1, NULL::DOUBLE AS macro_category_accuracy FROM t""",
     "token_dice": _SIM + f"SELECT a.p_partkey, round(0.7::DOUBLE * ({_dice('a.n', 'b.n')}) + (1 - 0.7::DOUBLE) * ({_dice('a.s', 'b.s')}), 6) AS similarity FROM t a JOIN t b ON b.p_partkey = a.p_partkey + 1",
-    "greedy_match": _SIM
-    + f""", nth AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM t
-), pairs AS (
-  SELECT a.p_brand, a.i - 1 AS g, b.i - (SELECT count(*) FROM nth z WHERE z.p_brand = a.p_brand AND z.i <= 6) - 1 AS p, 0.7::DOUBLE * ({_dice('a.n', 'b.n')}) + (1 - 0.7::DOUBLE) * ({_dice('a.s', 'b.s')}) AS score
-  FROM nth a JOIN nth b ON a.p_brand = b.p_brand AND a.i <= 6 AND b.i > 6 AND b.i <= 12
-), ranked AS (
-  SELECT p_brand, list({{'g': g, 'p': p, 'score': score}} ORDER BY score DESC, g, p) AS l FROM pairs WHERE score >= 0.3::DOUBLE GROUP BY p_brand
-), folded AS (
-  SELECT p_brand, list_reduce(list_transform(l, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.g = x[1].g OR k.p = x[1].p)) = 0 THEN list_concat(kept, x) ELSE kept END) AS m FROM ranked
-)
-SELECT b.p_brand, coalesce(len(m), 0)::INT AS matched, coalesce(array_to_string(list_transform(m, lambda x: x.g::VARCHAR || '-' || x.p::VARCHAR), ','), '') AS pairs,
-  round(coalesce(list_sum(list_transform(m, lambda x: x.score)), 0.0::DOUBLE), 6) AS score_sum
-FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN folded ON folded.p_brand = b.p_brand""",
-    "greedy_match_all": _SIM
-    + f""", nth AS (SELECT t.*, part.p_type AS kind, part.p_size AS size, row_number() OVER (PARTITION BY part.p_brand, part.p_type, part.p_size ORDER BY t.p_partkey) - 1 AS i FROM t JOIN part ON part.p_partkey = t.p_partkey
-), pairs AS (
-  SELECT a.p_brand, a.kind, a.size, a.i // 2 AS g, b.i // 2 AS p, 0.7::DOUBLE * ({_dice('a.n', 'b.n')}) + (1 - 0.7::DOUBLE) * ({_dice('a.s', 'b.s')}) AS score
-  FROM nth a JOIN nth b ON a.p_brand = b.p_brand AND a.kind = b.kind AND a.size = b.size AND a.i % 2 = 0 AND b.i % 2 = 1
-), ranked AS (
-  SELECT p_brand, kind, size, list({{'g': g, 'p': p, 'score': score}} ORDER BY score DESC, g, p) AS l FROM pairs WHERE score >= 0.3::DOUBLE GROUP BY p_brand, kind, size
-), folded AS (
-  SELECT p_brand, kind, size, list_reduce(list_transform(l, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.g = x[1].g OR k.p = x[1].p)) = 0 THEN list_concat(kept, x) ELSE kept END) AS m FROM ranked
-)
-SELECT b.p_brand, b.p_type, b.p_size, b.n_parts, coalesce(len(m), 0)::INT AS matched, coalesce(array_to_string(list_transform(m, lambda x: x.g::VARCHAR || '-' || x.p::VARCHAR), ','), '') AS pairs,
+    "greedy_match": _GREEDY + """SELECT b.p_brand, b.p_type, b.p_size, b.n_parts, coalesce(len(m), 0)::INT AS matched, coalesce(array_to_string(list_transform(m, lambda x: x.g::VARCHAR || '-' || x.p::VARCHAR), ','), '') AS pairs,
   round(coalesce(list_sum(list_transform(m, lambda x: x.score)), 0.0::DOUBLE), 6) AS score_sum
 FROM (SELECT p_brand, p_type, p_size, count(*) AS n_parts FROM part GROUP BY ALL) b LEFT JOIN folded ON folded.p_brand = b.p_brand AND folded.kind = b.p_type AND folded.size = b.p_size""",
     "bootstrap_ci": _bootstrap(
@@ -344,5 +333,56 @@ SELECT model, calls, i AS input_tokens, o AS output_tokens, r AS cache_read_toke
     sum((stop IN ('max_tokens', 'length'))::INT)::BIGINT AS truncated, sum((stop = 'refusal')::INT)::BIGINT AS refused,
     sum(CASE WHEN s <> 'failed' THEN k % 100 ELSE 0 END)::BIGINT AS input_tokens, sum(CASE WHEN s <> 'failed' THEN k % 10 ELSE 0 END)::BIGINT AS output_tokens FROM e GROUP BY 1)
 SELECT *, CASE WHEN input_tokens <> 0 OR output_tokens <> 0 THEN round(input_tokens / 1e6 * 2.0::DOUBLE + output_tokens / 1e6 * 10.0::DOUBLE, 6) END AS cost_usd FROM a""",
+    "statement_cap": """WITH lines AS (
+  SELECT l_suppkey AS a, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS nth, replace('Part ' || l_partkey || ': ' || format('{:,.2f}', floor(l_quantity)::DOUBLE), '.00', '') AS line FROM lineitem
+)
+SELECT a AS accession_no, count(*)::INT AS n_lines, md5('## Income Statement (period ending 2025-01-01)' || chr(10) || string_agg(line, chr(10) ORDER BY nth)) AS text_md5 FROM lines WHERE nth <= 60 GROUP BY a""",
+    "latest_filings": """SELECT o_custkey, o_orderkey, '10-K' AS form_type, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INT AS rank
+FROM orders WHERE o_orderkey % 4 NOT IN (1, 2)) WHERE rank <= 2""",
+    "section_projection": """SELECT doc_id, CASE WHEN doc_id % 6 > 1 THEN (2000 + doc_id % 25)::INT END AS fiscal_year,
+  concat_ws(',', CASE WHEN doc_id % 2 = 0 THEN 'old' END, CASE WHEN doc_id % 3 < 2 THEN 'missing_business' END, CASE WHEN doc_id % 4 < 2 THEN 'missing_risk_factors' END, CASE WHEN doc_id % 5 < 2 THEN 'missing_management_discussion' END) AS warnings,
+  doc_id % 3 < 2 AS no_business, doc_id % 4 < 2 AS no_risk_factors, doc_id % 5 < 2 AS no_management_discussion FROM documents""",
+    "fact_periods": """WITH r AS (
+  SELECT CASE WHEN l_partkey % 5 > 1 THEN l_shipdate::DATE END AS e, CASE WHEN l_partkey % 3 > 0 THEN l_shipdate::DATE - (l_partkey % 50 - 10)::INT END AS i, CASE WHEN l_partkey % 7 > 1 THEN l_shipdate::DATE - (l_partkey % 50 - 10)::INT END AS s FROM lineitem
+), p AS (SELECT coalesce(strftime(coalesce(e, i), '%Y-%m'), '') AS month, coalesce(date_diff('day', s, e), 0)::INT AS days FROM r)
+SELECT month, count(*) AS n, sum(days)::BIGINT AS days, min(days) AS least, max(days) AS most FROM p GROUP BY month""",
+    "period_columns": """SELECT o_orderkey, '2024-12-31' AS period, 0 AS period_pos, o_totalprice::DOUBLE AS value FROM orders UNION ALL SELECT o_orderkey, '2023-12-31 (FY)', 1, o_custkey::DOUBLE FROM orders""",
+    "facts_refresh": """SELECT o_orderkey AS accession_no, o_orderstatus AS business, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE o_totalprice * 2 END AS revenue, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 THEN o_totalprice END AS net_income,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS total_assets, 'USD' AS unit, CASE WHEN o_orderkey % 3 = 0 THEN 'missing_business,xbrl_unavailable: x' ELSE 'missing_business,revenue_from_metrics_fallback' END AS warnings FROM orders""",
+    "override_check": "SELECT * FROM (VALUES ('-5', 13::BIGINT), ('nobody', 14::BIGINT)) AS v(key, identifier)",
+    "grounded_projection": f"""WITH o AS (SELECT o_orderkey, o_totalprice AS v, o_totalprice * 2 AS w, CASE WHEN o_orderkey % 3 = 0 THEN 'total of ' || format('{{:,.2f}}', o_totalprice) ELSE 'nothing here' END AS x FROM orders)
+SELECT o_orderkey, CASE WHEN len(list_filter({_variants("v")}, lambda y: contains(x, y))) > 0 THEN v END AS revenue, CASE WHEN len(list_filter({_variants("w")}, lambda y: contains(x, y))) > 0 THEN w END AS net_income, NULL::DOUBLE AS total_assets FROM o""",
+    "target_json": f"""SELECT doc_id::VARCHAR AS accession_no, {_split("lang")} AS split, 3 AS turns, source AS company, (2020 + doc_id % 5)::VARCHAR AS year, CASE WHEN doc_id % 2 = 0 THEN source END AS title,
+  CASE WHEN doc_id % 2 = 0 THEN 'a "quoted" line' END AS summary, true AS keeps_nulls FROM documents WHERE doc_id % 5 <> 0""",
+    "labeled_filings": f"SELECT source AS ticker, doc_id::VARCHAR AS accession_no, {_split('source')} AS split, (doc_id % 4)::INT AS n_risks FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 4 <> 0",
+    "risk_rows": """SELECT l_orderkey AS accession_no, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) - 1)::INT AS risk_index, 'risk ' || l_partkey AS title, l_returnflag AS category, l_linestatus AS summary, o_orderstatus
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 2 = 0""",
+    "risk_report": _GREEDY
+    + """, lists AS (
+  SELECT p_brand, p_type, p_size, count(*) FILTER (WHERE i % 2 = 0) AS ng, count(*) FILTER (WHERE i % 2 = 1) AS np
+  FROM (SELECT p_brand, kind AS p_type, size AS p_size, i FROM nth) GROUP BY ALL
+), cats AS (
+  SELECT p_brand, kind AS p_type, size AS p_size, c, least(count(*) FILTER (WHERE i % 2 = 0), count(*) FILTER (WHERE i % 2 = 1)) AS tp FROM nth GROUP BY ALL
+), rows AS (
+  SELECT ng, np, (SELECT sum(tp) FROM cats WHERE cats.p_brand = l.p_brand AND cats.p_type = l.p_type AND cats.p_size = l.p_size) AS tp, coalesce(len(m), 0) AS mt, coalesce(len(list_filter(m, lambda x: x.same)), 0) AS ms
+  FROM lists l LEFT JOIN folded f ON f.p_brand = l.p_brand AND f.kind = l.p_type AND f.size = l.p_size
+), sums AS (SELECT count(*) AS n, sum(ng)::BIGINT AS g, sum(np)::BIGINT AS p, sum(tp)::BIGINT AS t, sum(mt)::BIGINT AS m, sum(ms)::BIGINT AS s,
+  avg(CASE WHEN np > 0 AND ng > 0 AND tp > 0 THEN 2 * (tp::DOUBLE / np) * (tp::DOUBLE / ng) / (tp::DOUBLE / np + tp::DOUBLE / ng) ELSE 0.0::DOUBLE END) AS mc, avg(CASE WHEN np > 0 AND ng > 0 AND mt > 0 THEN 2 * (mt::DOUBLE / np) * (mt::DOUBLE / ng) / (mt::DOUBLE / np + mt::DOUBLE / ng) ELSE 0.0::DOUBLE END) AS mm, avg(CASE WHEN mt > 0 THEN ms::DOUBLE / mt END) AS ma FROM rows)
+SELECT n, g AS n_gold, p AS n_pred, t AS category_tp, m AS matched, s AS matched_same_category, round(mc, 6) AS macro_category_f1, round(mm, 6) AS macro_match_f1, round(ma, 6) AS macro_category_accuracy,
+  round(CASE WHEN p > 0 AND g > 0 AND t > 0 THEN 2 * (t::DOUBLE / p) * (t::DOUBLE / g) / (t::DOUBLE / p + t::DOUBLE / g) ELSE 0.0::DOUBLE END, 6) AS micro_category_f1, round(CASE WHEN p > 0 AND g > 0 AND m > 0 THEN 2 * (m::DOUBLE / p) * (m::DOUBLE / g) / (m::DOUBLE / p + m::DOUBLE / g) ELSE 0.0::DOUBLE END, 6) AS micro_match_f1 FROM sums""",
+    "prediction_join": """SELECT o_orderstatus, count(*) AS n, sum((o_orderkey % 10 = 3)::INT)::BIGINT AS empty, count(DISTINCT CASE WHEN o_orderkey % 10 = 3 THEN '' ELSE 'a' || o_custkey END) AS answers FROM orders GROUP BY 1""",
+    "prediction_alignment": """SELECT CASE o_orderkey % 10 WHEN 3 THEN 'missing' WHEN 5 THEN 'repeated' ELSE 'orphan' END AS fault, count(*) AS n FROM orders WHERE o_orderkey % 10 IN (3, 5, 7) GROUP BY 1""",
+    "validity_rates": """SELECT count(*) AS n, round(avg((event_id % 8 IN (0, 7))::INT), 6) AS strict_rate, round(avg((event_id % 8 IN (0, 1, 2, 3, 7))::INT), 6) AS lenient_rate FROM events""",
+    "filing_stats": """WITH o AS (SELECT o_orderkey AS k, (o_orderkey % 7 <> 0)::INT AS g, o_totalprice AS p FROM orders
+), v AS (SELECT k, 1 * g AS revenue_num, g AS revenue_den, 0 AS net_income_num, g AS net_income_den, (k % 5 <> 0)::INT * g AS total_assets_num, g AS total_assets_den, 0 AS eps_diluted_num, g AS eps_diluted_den,
+  (k % 3 <> 0)::INT AS has, k % 4 AS ng, k % 5 AS np, least(k % 4, k % 5) AS tp, least(k % 2, k % 5, k % 4) AS mt FROM o)
+SELECT k::VARCHAR AS accession_no, (k % 2 = 0)::INT::DOUBLE AS strict_valid_rate_num, 1.0::DOUBLE AS strict_valid_rate_den, (k % 4 <> 1)::INT::DOUBLE AS lenient_valid_rate_num, 1.0::DOUBLE AS lenient_valid_rate_den,
+  (revenue_num + total_assets_num)::DOUBLE AS numeric_accuracy_num, (4 * revenue_den)::DOUBLE AS numeric_accuracy_den,
+  revenue_num::DOUBLE AS numeric_revenue_num, revenue_den::DOUBLE AS numeric_revenue_den, net_income_num::DOUBLE AS numeric_net_income_num, net_income_den::DOUBLE AS numeric_net_income_den,
+  total_assets_num::DOUBLE AS numeric_total_assets_num, total_assets_den::DOUBLE AS numeric_total_assets_den, eps_diluted_num::DOUBLE AS numeric_eps_diluted_num, eps_diluted_den::DOUBLE AS numeric_eps_diluted_den,
+  round(CASE WHEN has = 1 THEN CASE WHEN np > 0 AND ng > 0 AND tp > 0 THEN 2 * (tp::DOUBLE / np) * (tp::DOUBLE / ng) / (tp::DOUBLE / np + tp::DOUBLE / ng) ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END, 6) AS macro_category_f1_num, has::DOUBLE AS macro_category_f1_den, round(CASE WHEN has = 1 THEN CASE WHEN np > 0 AND ng > 0 AND mt > 0 THEN 2 * (mt::DOUBLE / np) * (mt::DOUBLE / ng) / (mt::DOUBLE / np + mt::DOUBLE / ng) ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END, 6) AS macro_match_f1_num, has::DOUBLE AS macro_match_f1_den FROM v""",
+    "encode_rejects": _CHATS + "SELECT conv_id, 'completion_too_long' AS reason FROM rendered WHERE length(c) + 1 >= 512",
+    "subset_first": "SELECT doc_id, source AS ticker FROM documents WHERE source IN ('src1', 'src2', 'src3') ORDER BY doc_id LIMIT 50",
+    "measured_lengths": "SELECT doc_id, (length(coalesce(text, '')) + 2)::INT AS prompt, (length(source) + 1)::INT AS completion, (length(coalesce(text, '')) + length(source) + 3)::INT AS total FROM documents",
     "cache_keys": """SELECT doc_id, source || '-a-b/' || doc_id || '_' || substr(sha256('prompt ' || text), 1, 12) AS cache_key, doc_id % 4 = 0 AS cache_hit FROM documents""",
 }

@@ -11,9 +11,6 @@ from skarn.functions.validate import validate_target
 from skarn.operators import audit, dataset, encode, facts, resample, sampling, scoring, usage
 from skarn.sources import readers, sinks
 
-#: Resamples of the interval queries; the operators' own default is 10,000.
-RESAMPLES = 1000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -147,7 +144,7 @@ def statement_render(spark, d):
         F.when(F.col("l_partkey") % 13 != 0, F.floor("l_extendedprice") + F.when(F.col("l_partkey") % 2 == 0, 0.0).otherwise(0.25)).alias("value"),
         F.lit("2025-01-01").alias("period"),
     )
-    return facts.render_statements(lines, F.lit("Income Statement"), 3).select("accession_no", "n_lines", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+    return facts.render_statements(lines, F.lit("Income Statement")).select("accession_no", "n_lines", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 
 def statement_pair_warnings(spark, d):
@@ -156,6 +153,67 @@ def statement_pair_warnings(spark, d):
     return o.select(F.array_join(facts.statement_warnings(income, balance), ",").alias("warnings")).groupBy("warnings").agg(F.count("*").alias("n"))
 
 
+def statement_cap(spark, d):
+    """Statements of more lines than the cap: those of a supplier."""
+    li = table(spark, d, "lineitem")
+    lines = li.select(
+        F.col("l_suppkey").alias("accession_no"),
+        F.lit("income").alias("stmt"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("line_no"),
+        F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("label"),
+        F.lit(None).cast("boolean").alias("abstract"),
+        F.lit(False).alias("dimension"),
+        F.floor("l_quantity").cast("double").alias("value"),
+        F.lit("2025-01-01").alias("period"),
+    )
+    return facts.render_statements(lines, F.lit("Income Statement")).select("accession_no", "n_lines", F.md5("text").alias("text_md5"))
+
+
+def latest_filings(spark, d):
+    o = table(spark, d, "orders").withColumn("form_type", F.when(F.col("o_orderkey") % 4 == 1, "10-K/A").when(F.col("o_orderkey") % 4 == 2, "10-Q").otherwise("10-K"))
+    return facts.latest_filings(o, "o_custkey", "o_orderdate", "o_orderkey", 2).select("o_custkey", "o_orderkey", "form_type", "rank")
+
+
+def section_projection(spark, d):
+    docs, k = table(spark, d, "documents").select("doc_id", "source"), F.col("doc_id")
+    sections = {n: F.when(k % m == 1, F.lit("")).when(k % m != 0, F.col("source")) for n, m in (("business", 3), ("risk_factors", 4), ("management_discussion", 5))}
+    period = F.when(k % 6 == 0, F.lit(None).cast("string")).when(k % 6 == 1, F.lit("n/a")).otherwise(F.concat((2000 + k % 25).cast("string"), F.lit("-12-31")))
+    raw = docs.select("doc_id", *[c.alias(n) for n, c in sections.items()], period.alias("period_of_report"), F.when(k % 2 == 0, F.array(F.lit("old"))).alias("parse_warnings"))
+    return readers.parse_sections(raw).select("doc_id", "fiscal_year", F.array_join("parse_warnings", ",").alias("warnings"), *[F.col(n).isNull().alias(f"no_{n}") for n in sections])
+
+
+def fact_periods(spark, d):
+    """Periods and durations as texts give them: blanks, instants and dates that are none."""
+    li = table(spark, d, "lineitem")
+    day, k = (lambda c: F.date_format(c, "yyyy-MM-dd")), F.col("l_partkey")
+    before = F.date_sub("l_shipdate", (k % 50 - 10).cast("int"))
+    end = F.when(k % 5 == 0, F.lit("  ")).when(k % 5 == 1, F.lit(None).cast("string")).otherwise(day("l_shipdate"))
+    instant = F.when(k % 3 == 0, F.lit("")).otherwise(day(before))
+    start = F.when(k % 7 == 0, F.lit("soon")).when(k % 7 != 1, day(before))
+    rows = li.select(facts.period_of(end, instant).alias("period"), facts.duration_days(start, end).alias("days"))
+    return rows.groupBy(F.substring("period", 1, 7).alias("month")).agg(F.count("*").alias("n"), F.sum("days").alias("days"), F.min("days").alias("least"), F.max("days").alias("most"))
+
+
+def period_columns(spark, d):
+    o = table(spark, d, "orders")
+    wide = o.select("o_orderkey", F.col("o_totalprice").alias("2024-12-31"), F.col("o_custkey").alias("2023-12-31 (FY)"), F.col("o_orderstatus").alias("2024-1-1"), F.lit("x").alias("label"))
+    return facts.unpivot_periods(wide, ["o_orderkey"]).select("o_orderkey", "period", "period_pos", F.col("value").try_cast("double").alias("value"))
+
+
+def facts_refresh(spark, d):
+    o = table(spark, d, "orders")
+    k, p, none = F.col("o_orderkey"), F.col("o_totalprice"), F.lit(None).cast("double")
+    warned = F.array(F.lit("missing_business"), F.lit("xbrl_unavailable: x"))
+    old = o.select(k.alias("accession_no"), F.col("o_orderstatus").alias("business"), F.struct(p.alias("revenue"), none.alias("net_income"), p.alias("total_assets"), none.alias("eps_diluted"), F.lit("USD").alias("unit")).alias("financials"), warned.alias("parse_warnings"))
+    new = o.where(k % 3 != 0).select(k.alias("accession_no"), (p * 2).alias("revenue"), F.when(k % 2 == 0, p).otherwise(F.lit(float("nan"))).alias("net_income"), none.alias("total_assets"), none.alias("eps_diluted"), F.array(F.lit("revenue_from_metrics_fallback")).alias("fact_warnings"))
+    return facts.refreshed(old, new).select("accession_no", "business", "financials.revenue", "financials.net_income", "financials.total_assets", "financials.unit", F.array_join("parse_warnings", ",").alias("warnings"))
+
+
+def override_check(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("ticker"))
+    return facts.unknown_overrides(readers.overrides(spark, {"1": 11, "2": 12, "-5": 13, "nobody": 14}), c)
+
+
 # --- excerpts and grounding
 
 
@@ -172,6 +230,42 @@ def grounding_rate(spark, d):
     return dataset.grounding_rates(rows, ("revenue", "net_income")).withColumn("rate", r6(F.col("rate")))
 
 
+def grounded_projection(spark, d):
+    o = table(spark, d, "orders")
+    p, none = F.col("o_totalprice"), F.lit(None).cast("double")
+    shown = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("total of "), F.format_number(p, 2))).otherwise(F.lit("nothing here"))
+    rows = o.select("o_orderkey", shown.alias("excerpt"), F.struct(p.alias("revenue"), (p * 2).alias("net_income"), none.alias("total_assets"), none.alias("eps_diluted")).alias("financials"))
+    return dataset.with_grounded(rows).select("o_orderkey", "financials.revenue", "financials.net_income", "financials.total_assets")
+
+
+def target_json(spark, d):
+    """Targets of examples, read again: what the JSON holds, nulls included."""
+    docs = _filings(spark, d).where("fiscal_year is not null").withColumn("accession_no", F.col("doc_id").cast("string"))
+    risks = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.col("source").alias("title"), F.lit("legal").alias("category"), F.lit('a "quoted" line').alias("summary")))).otherwise(F.array().cast("array<struct<title:string,category:string,summary:string>>"))
+    labels = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("accession_no"), risks.alias("risks"))
+    target = F.element_at("messages", -1)["content"]
+    found = dataset.build_examples(docs, labels)
+    return found.select("accession_no", "split", F.size("messages").alias("turns"), *[F.get_json_object(target, f"$.{p}").alias(n) for n, p in (("company", "company"), ("year", "fiscal_year"), ("title", "risk_factors[0].title"), ("summary", "risk_factors[0].summary"))], F.contains(target, F.lit('"revenue":null')).alias("keeps_nulls"))
+
+
+def labeled_filings(spark, d):
+    docs, k = table(spark, d, "documents").select("doc_id", "source"), F.col("doc_id")
+    risk = F.concat(F.lit('{"title": "t", "category": "legal", "summary": "'), F.col("source"), F.lit('"}'))
+    risks = F.array_join(F.array_repeat(risk, (k % 4).cast("int")), ", ")
+    message = F.concat(F.lit('{"company": "c", "risk_factors": ['), risks, F.lit("]}"))
+    rows = docs.select(F.col("source").alias("ticker"), k.cast("string").alias("accession_no"), (k % 5 == 0).alias("risk_factors_by_reference"), tx.assign_split(F.col("source")).alias("split"), F.array(F.struct(F.lit("assistant").alias("role"), message.alias("content"))).alias("messages"))
+    return readers.labeled_filings(rows).select("ticker", "accession_no", "split", "n_risks")
+
+
+def risk_rows(spark, d):
+    """Risks of filings, a row for each, with their filings again."""
+    p = table(spark, d, "lineitem")
+    risk = F.struct("l_linenumber", "l_partkey", F.concat(F.lit("risk "), F.col("l_partkey").cast("string")).alias("title"), F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("summary"))
+    risks = p.groupBy(F.col("l_orderkey").alias("accession_no")).agg(F.transform(F.array_sort(F.collect_list(risk)), lambda r: F.struct(r["title"], r["category"], r["summary"])).alias("risks"))
+    filings = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("accession_no"), "o_orderstatus")
+    return audit.with_filings(audit.risk_rows(risks), filings).select("accession_no", "risk_index", "title", "category", "summary", "o_orderstatus")
+
+
 def _filings(spark, d):
     docs = table(spark, d, "documents")
     k = F.col("doc_id")
@@ -231,7 +325,7 @@ def theme_modal_share(spark, d):
 # --- validation and agreement
 
 
-def json_validity(spark, d):
+def _answers(spark, d):
     ev = table(spark, d, "events").select("event_id", "value")
     k = F.col("event_id") % 8
     body = F.concat(F.lit('{"company": "a } b", "ticker": "T", "form_type": "10-K", "fiscal_year": 2024, "financials": {"revenue": '), F.round(F.abs("value"), 2).cast("string"), F.lit("}}"))
@@ -246,6 +340,11 @@ def json_validity(spark, d):
         .otherwise(F.replace(body, F.lit('"2024"'), F.lit("2024")))
     )
     rows = ev.withColumn("body_", body).withColumn("p", validate_target(raw)).withColumn("shape", k)
+    return rows
+
+
+def json_validity(spark, d):
+    rows = _answers(spark, d)
     return rows.groupBy("shape").agg(F.count("*").alias("n"), F.count_if("p.strict").alias("strict"), F.count_if("p.lenient").alias("lenient"), F.max("p.error").alias("error"), F.count("p.target.financials.revenue").alias("with_revenue"))
 
 
@@ -273,30 +372,60 @@ def token_dice(spark, d):
     return p.join(other, "p_partkey").select("p_partkey", r6(sim).alias("similarity"))
 
 
-def greedy_match(spark, d):
-    from pyspark.sql import Window
-
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    p = p.withColumn("nth", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("nth <= 12")  # as its SQL; greedy_match_all takes every part
-    risk = F.struct("nth", F.col("p_name").alias("title"), F.substring("p_type", 1, 3).alias("category"), F.col("p_type").alias("summary"))
-    rows = p.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.when(F.col("nth") <= 6, risk))).alias("g"), F.array_sort(F.collect_list(F.when(F.col("nth") > 6, risk))).alias("p"))
-    m = scoring.greedy_matches(F.col("g"), F.col("p"))
-    shown = F.array_join(F.transform(m, lambda x: F.concat_ws("-", x["g"].cast("string"), x["p"].cast("string"))), ",")
-    return rows.select("p_brand", F.size(m).alias("matched"), shown.alias("pairs"), r6(F.aggregate(m, F.lit(0.0), lambda s, x: s + x["score"])).alias("score_sum"))
-
-
-def greedy_match_all(spark, d):
-    """Every part takes part: those of a brand, type and size, in turn gold and predicted."""
+def _risk_lists(spark, d):
     from pyspark.sql import Window
 
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
     p = p.withColumn("nth", F.row_number().over(Window.partitionBy("p_brand", "p_type", "p_size").orderBy("p_partkey")))
-    risk = F.struct("nth", F.col("p_name").alias("title"), F.substring("p_type", 1, 3).alias("category"), F.col("p_type").alias("summary"))
+    risk = F.struct("nth", F.col("p_name").alias("title"), F.substring("p_name", 1, 2).alias("category"), F.col("p_type").alias("summary"))
     side = [F.array_sort(F.collect_list(F.when(F.col("nth") % 2 == odd, risk))).alias(name) for odd, name in ((1, "g"), (0, "p"))]
-    rows = p.groupBy("p_brand", "p_type", "p_size").agg(*side, F.count("*").alias("n_parts"))
+    return p.groupBy("p_brand", "p_type", "p_size").agg(*side, F.count("*").alias("n_parts"))
+
+
+def greedy_match(spark, d):
+    """Every part takes part: those of a brand, type and size, in turn gold and predicted."""
     m = scoring.greedy_matches(F.col("g"), F.col("p"))
     shown = F.array_join(F.transform(m, lambda x: F.concat_ws("-", x["g"].cast("string"), x["p"].cast("string"))), ",")
-    return rows.select("p_brand", "p_type", "p_size", "n_parts", F.size(m).alias("matched"), shown.alias("pairs"), r6(F.aggregate(m, F.lit(0.0), lambda s, x: s + x["score"])).alias("score_sum"))
+    return _risk_lists(spark, d).select("p_brand", "p_type", "p_size", "n_parts", F.size(m).alias("matched"), shown.alias("pairs"), r6(F.aggregate(m, F.lit(0.0), lambda s, x: s + x["score"])).alias("score_sum"))
+
+
+def risk_report(spark, d):
+    rows = _risk_lists(spark, d).select(scoring.risk_score(F.col("g"), F.col("p")).alias("r")).select("r.*")
+    out = scoring.risk_report(rows)
+    return out.select("n", "n_gold", "n_pred", "category_tp", "matched", "matched_same_category", *[r6(F.col(c)).alias(c) for c in ("macro_category_f1", "macro_match_f1", "macro_category_accuracy", "micro_category_f1", "micro_match_f1")])
+
+
+def _examples(spark, d):
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    answers = o.where(k % 10 != 3).select(k.cast("string").alias("accession_no"), F.concat(F.lit("a"), F.col("o_custkey").cast("string")).alias("raw"))
+    answers = answers.union(answers.where("accession_no % 10 = 5").select("accession_no", F.lit("zz"))).union(o.where(k % 10 == 7).select((-k).cast("string"), F.lit("x")))
+    return o.select(k.cast("string").alias("accession_no"), "o_orderstatus"), answers
+
+
+def prediction_join(spark, d):
+    return scoring.join_predictions(*_examples(spark, d)).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(F.col("raw") == "").alias("empty"), F.countDistinct("raw").alias("answers"))
+
+
+def prediction_alignment(spark, d):
+    return scoring.alignment_faults(*_examples(spark, d)).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+def validity_rates(spark, d):
+    out = scoring.validity_rates(_answers(spark, d).select("p.strict", "p.lenient"))
+    return out.select("n", r6(F.col("strict_rate")).alias("strict_rate"), r6(F.col("lenient_rate")).alias("lenient_rate"))
+
+
+def filing_stats(spark, d):
+    """Statistics by filing of four fields and of risks that every third filing has only by reference."""
+    o = table(spark, d, "orders")
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    given = {"revenue": p, "net_income": F.when(k % 3 != 0, p / 1000), "total_assets": F.when(k % 5 != 0, p * 1.005), "eps_diluted": -p}
+    gold = F.when(k % 7 != 0, p)
+    risk = F.struct((k % 4).cast("int").alias("n_gold"), (k % 5).cast("int").alias("n_pred"), F.least(k % 4, k % 5).cast("int").alias("category_tp"), F.least(k % 2, k % 5, k % 4).cast("int").alias("matched"))
+    rows = o.select(k.cast("string").alias("accession_no"), (k % 2 == 0).alias("strict"), (k % 4 != 1).alias("lenient"), *[verdict(gold, v).alias(f) for f, v in given.items()], F.when(k % 3 != 0, risk).alias("risk"))
+    out = scoring.filing_stats(rows)
+    return out.select("accession_no", *[r6(F.col(f"{m}_{x}")).alias(f"{m}_{x}") for m in scoring.METRICS for x in ("num", "den")])
 
 
 # --- resampling and sampling
@@ -309,7 +438,7 @@ def _label_stats(spark, d):
 
 def bootstrap_ci(spark, d):
     stats = _label_stats(spark, d).groupBy("source").agg(F.sum("quality").cast("double").alias("quality_num"), F.count("*").cast("double").alias("quality_den"), F.sum("toxic").cast("double").alias("toxic_num"), F.sum("quality").cast("double").alias("toxic_den"))
-    out = resample.bootstrap(stats, "source", ["quality", "toxic"], RESAMPLES)
+    out = resample.bootstrap(stats, "source", ["quality", "toxic"])
     return out.select("metric", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "draws")
 
 
@@ -318,7 +447,7 @@ def paired_gap_ci(spark, d):
     agree = (F.col("quality") == F.col("toxic")).cast("double")
     recorded = F.when(F.col("doc_id") % 4 == 0, F.lit(1.0)).otherwise(agree)
     stats = rows.groupBy("source").agg(F.sum(agree).alias("blind_num"), F.count("*").cast("double").alias("blind_den"), F.sum(recorded).alias("recorded_num"), F.count("*").cast("double").alias("recorded_den"))
-    out = resample.bootstrap(stats, "source", ["blind", "recorded"], RESAMPLES, least=resample.LEAST_CLUSTERS, gaps={"anchoring_gap": ("recorded", "blind")})
+    out = resample.bootstrap(stats, "source", ["blind", "recorded"], least=resample.LEAST_CLUSTERS, gaps={"anchoring_gap": ("recorded", "blind")})
     return out.select("metric", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "draws")
 
 
@@ -382,7 +511,7 @@ def audit_confusions(spark, d):
 def audit_ci(spark, d):
     stats = audit.cluster_stats(audit.reviewed(_sheet(spark, d)))
     names = ["category_agreement", "category_agreement_recorded", "grounded_rate", "summary_ok_rate"]
-    out = resample.bootstrap(stats, "accession_no", names, RESAMPLES, least=resample.LEAST_CLUSTERS, gaps={"anchoring_gap": (names[1], names[0])})
+    out = resample.bootstrap(stats, "accession_no", names, least=resample.LEAST_CLUSTERS, gaps={"anchoring_gap": (names[1], names[0])})
     return out.select("metric", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "draws")
 
 
@@ -462,6 +591,20 @@ def length_distribution(spark, d):
     return encode.length_distribution(_lengths(spark, d), "total", "completion").withColumn("supervised_share", r6(F.col("supervised_share")))
 
 
+def encode_rejects(spark, d):
+    return encode.rejects(_encoded(spark, d), ["conv_id"])
+
+
+def subset_first(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("ticker"))
+    return encode.subset(rows, ["doc_id"], 50, ["src1", "src2", "src3"])
+
+
+def measured_lengths(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
+    return encode.measured(docs, encode.code_points(F.col("text")), encode.code_points(F.col("source")), 2).select("doc_id", "prompt", "completion", "total")
+
+
 def window_fit(spark, d):
     return encode.window_fit(_lengths(spark, d), "total", "completion", [256, 512, 1024, 2048])
 
@@ -503,8 +646,10 @@ QUERIES = {
         verdict_accuracy, verdict_tally_pivot, split_assignment, split_leak_check, split_freshness, latest_n_per_company, fact_selection, fact_fallback_eps,
         refresh_diff, kept_warnings, incremental_anti, cik_override, statement_render, statement_pair_warnings, numeric_variants, grounding_rate, excerpt_build,
         figure_window, risk_slice, by_reference_flag, category_distribution, risk_list_sizes, theme_modal_share, json_validity, first_object, category_multiset_f1,
-        token_dice, greedy_match, greedy_match_all, bootstrap_ci, paired_gap_ci, cluster_sample, stratified_sample, audit_agreement, audit_confusions, audit_ci, implied_recall,
+        token_dice, greedy_match, bootstrap_ci, paired_gap_ci, cluster_sample, stratified_sample, audit_agreement, audit_confusions, audit_ci, implied_recall,
         stale_rows, note_lint, population_meta, stratum_split_crosstab, render_prompt, encode_truncate_mask, encoding_stats, pad_batches, length_distribution,
-        window_fit, longest_examples, usage_cost, run_stats, cache_keys,
+        window_fit, longest_examples, usage_cost, run_stats, cache_keys, statement_cap, latest_filings, section_projection, fact_periods, period_columns, facts_refresh,
+        override_check, grounded_projection, target_json, labeled_filings, risk_rows, risk_report, prediction_join, prediction_alignment, validity_rates, filing_stats,
+        encode_rejects, subset_first, measured_lengths,
     )
 }

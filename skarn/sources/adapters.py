@@ -6,12 +6,16 @@ that row, and only an error of the permanent kind ends the job.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from skarn.schemas import RISK_CATEGORIES, TARGET_DDL
 
 
 class RowError(Exception):
@@ -22,6 +26,31 @@ class UnavailableError(Exception):
     """The service can't be used at all: the job ends."""
 
 
+#: How a prompt is made, part of a run's identity: as the model was trained, or with the schema told.
+PROMPT_MODES = ("trained", "schema")
+
+
+def schema_prompt() -> str:
+    """What the answer must look like, for a model that wasn't trained on it: field names and their kinds."""
+    target = T._parse_datatype_string(TARGET_DDL).jsonValue()
+    return "Answer with one JSON object and nothing else. Its fields:\n" + json.dumps(_kinds(target), indent=1) + f"\ncategory is one of: {', '.join(RISK_CATEGORIES)}."
+
+
+def _kinds(kind):
+    if isinstance(kind, str):
+        return {"double": "number or null", "integer": "whole number or null"}.get(kind, kind)
+    if kind["type"] == "array":
+        return [_kinds(kind["elementType"])]
+    return {f["name"]: _kinds(f["type"]) for f in kind["fields"]}
+
+
+def system_prompt(mode: str, trained: str) -> str:
+    """The system turn of a prompt mode: the trained one, followed by the schema in mode schema."""
+    if mode not in PROMPT_MODES:
+        raise ValueError(f"the prompt mode is one of {PROMPT_MODES}")
+    return trained if mode == "trained" else f"{trained}\n{schema_prompt()}"
+
+
 class Predictor(Protocol):
     name: str
     system_prompt: str
@@ -43,8 +72,12 @@ def with_retry(call: Callable, tries: int = 3, first_wait: float = 1.5, permanen
             sleep(first_wait * 2**k)
 
 
-def predict(rows: DataFrame, make: Callable[[], Predictor], key: str = "accession_no", text: str = "excerpt") -> DataFrame:
-    """(key, raw, stop_reason, input_tokens, output_tokens, status): an answer for each row, '' if it failed."""
+def predict(rows: DataFrame, make: Callable[[], Predictor], key: str = "accession_no", text: str = "excerpt", tries: int = 3, first_wait: float = 1.5) -> DataFrame:
+    """(key, raw, stop_reason, input_tokens, output_tokens, status): an answer for each row, '' if it failed.
+
+    Calls are tried again (see with_retry()) unless the row or the service is said not to be served; what
+    fails every time ends the job.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
@@ -52,7 +85,7 @@ def predict(rows: DataFrame, make: Callable[[], Predictor], key: str = "accessio
             out = []
             for k, t in zip(frame[key], frame[text]):
                 try:
-                    p = model.predict(t)
+                    p = with_retry(lambda t=t: model.predict(t), tries, first_wait, (RowError, UnavailableError))
                     out.append((k, p["raw"], p.get("stop_reason"), p.get("input_tokens"), p.get("output_tokens"), "generated"))
                 except RowError:
                     out.append((k, "", None, None, None, "failed"))
@@ -62,8 +95,8 @@ def predict(rows: DataFrame, make: Callable[[], Predictor], key: str = "accessio
     return rows.select(key, text).mapInPandas(run, f"{key} string, raw string, stop_reason string, input_tokens long, output_tokens long, status string")
 
 
-def label(rows: DataFrame, make: Callable[[], Callable[[str], list[dict]]], key: str = "accession_no", text: str = "risk_text") -> DataFrame:
-    """(key, risks, status): labels of each row's text; a row whose labeler fails has null risks."""
+def label(rows: DataFrame, make: Callable[[], Callable[[str], list[dict]]], key: str = "accession_no", text: str = "risk_text", tries: int = 3, first_wait: float = 1.5) -> DataFrame:
+    """(key, risks, status): labels of each row's text; a row whose labeler fails has null risks. Calls are tried again as in predict()."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeler = make()
@@ -71,7 +104,7 @@ def label(rows: DataFrame, make: Callable[[], Callable[[str], list[dict]]], key:
             out = []
             for k, t in zip(frame[key], frame[text]):
                 try:
-                    out.append((k, labeler(t), "generated"))
+                    out.append((k, with_retry(lambda t=t: labeler(t), tries, first_wait, (RowError, UnavailableError)), "generated"))
                 except RowError:
                     out.append((k, None, "failed"))
             yield pd.DataFrame(out, columns=[key, "risks", "status"])

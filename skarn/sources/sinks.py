@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.schemas import SPLITS
+
 from .readers import path_exists
 
 
@@ -41,9 +43,11 @@ def log_failures(failures: DataFrame, path: str) -> None:
 
 
 def staged_overwrite(rows: DataFrame, path: str, failures: int = 0, allow_partial: bool = False, partition_by: str | None = None) -> None:
-    """Replaces the table at path in one rename, after all of it is written beside it.
+    """Replaces the table at path, after all of it is written beside it.
 
-    With failures, and without allow_partial, nothing is written.
+    With failures, and without allow_partial, nothing is written. The old table is moved aside and the
+    new one into its place: two renames, between which readers find no table. If the second fails, the
+    old one is put back; it is deleted only when the new one stands.
     """
     if failures and not allow_partial:
         raise RefusedError(f"{failures} rows failed; the table at {path} stays as it is")
@@ -52,10 +56,26 @@ def staged_overwrite(rows: DataFrame, path: str, failures: int = 0, allow_partia
     writer.parquet(stage)
     fs, target = _fs(spark, path)
     old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex[:8]}")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(_fs(spark, stage)[1], target)
-    fs.delete(old, True)
+    new, had = _fs(spark, stage)[1], fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise RefusedError(f"the table at {path} can't be moved; the new one is at {stage}")
+    if not fs.rename(new, target):
+        if had and not fs.rename(old, target):
+            raise RefusedError(f"the new table at {stage} can't be moved, nor the old one back from {old}")
+        raise RefusedError(f"the new table at {stage} can't be moved; the table at {path} is as it was")
+    if had:
+        fs.delete(old, True)
+
+
+def write_splits(examples: DataFrame, folder: str) -> None:
+    """JSON lines of each split, as a folder <split>.jsonl; every split is written whole, empty ones too."""
+    for split in SPLITS:
+        examples.where(F.col("split") == split).drop("split").write.mode("overwrite").json(f"{folder}/{split}.jsonl")
+
+
+def cache_answers(answers: DataFrame, path: str) -> DataFrame:
+    """Adds answers (cache_key, raw, ...) that the cache at path lacks; failed ones (null raw) aren't kept."""
+    return append_new(answers.where(F.col("raw").isNotNull()), path, "cache_key")
 
 
 def write_once(rows: DataFrame, path: str, force: bool = False) -> None:
@@ -84,5 +104,14 @@ def markdown(report: DataFrame, title: str) -> str:
     return "\n".join(lines)
 
 
+def field_report(rates: DataFrame, title: str, notes: dict[str, str] | None = None) -> str:
+    """A table of fields (field, n, scorable, hits, accuracy), all fields last, with footnotes and what the run was."""
+    rows = sorted(rates.limit(200).collect(), key=lambda r: (r["field"] == "ALL", r["field"]))
+    lines = [f"# {title}", "", "| field | filings | scorable | right | accuracy |", "| --- | ---: | ---: | ---: | ---: |"]
+    lines += [f"| {r['field']} | {r['n']} | {r['scorable']} | {r['hits']} | {percent(r['accuracy'])} |" for r in rows]
+    lines += ["", "Right: exact or close. Rows without a gold figure don't count as scorable; a figure off by a power of ten is wrong."]
+    return "\n".join(lines + [f"{k}: {v}" for k, v in (notes or {}).items()])
+
+
 def report_json(report: DataFrame) -> str:
     return json.dumps([r.asDict(recursive=True) for r in report.limit(200).collect()], default=str)
