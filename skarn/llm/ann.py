@@ -31,8 +31,8 @@ COPIES, BOUNDARY = 4, 1.3
 DEGREE, BEAM, RANK_FROM, RECALL = 24, 64, 256, 0.98
 #: Queries that recall is measured with; one in so many rows of the sample is kept out of the fit for that.
 MEASURED, HELD_OUT = 400, 4
-#: Vectors of a slice of a list: longer lists are read by several tasks.
-SLICE = 20_000
+#: Vectors of a slice of a list: longer lists are read by several tasks. Bytes of vectors that a task holds.
+SLICE, BIN_BYTES = 20_000, 32 << 20
 
 
 def _spread(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
@@ -323,9 +323,10 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, fit_rows: int =
     firsts = firsts.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     lists = materialize(firsts.select("vec_id", "v").mapInArrow(_assign(index, dim), "list int, vec_id long, v binary"), "lists")
     asked = parsed.where(F.col("vec_id") % every == 0).select("vec_id", "key", "v")
-    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sizes = dict(lists.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int")).collect())  # MOST_LISTS rows at most
-    per = np.array([sizes.get(i, 0) for i in range(len(index.value.centroids))], np.int64)
+    sizes = dict(lists.groupBy("list").count().collect())  # MOST_LISTS rows at most
+    held_in = np.array([sizes.get(i, 0) for i in range(len(index.value.centroids))], np.int64)
+    per = -(-held_in // SLICE)
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(held_in.sum()) * dim * 8 // BIN_BYTES))
     start = np.concatenate([[0], np.cumsum(per)])
     parts = np.repeat(np.arange(len(per)), per) << 32 | np.arange(start[-1]) - np.repeat(start[:-1], per)
     # Parts are dealt in turn, so that bins have about as many each; a query is sent once to each bin that it reads of.

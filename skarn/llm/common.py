@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import itertools
-import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,27 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.session import ship_code
+from skarn.tables import shared_dir
 
 #: Rows and bytes in an Arrow batch: long texts come in batches that stay in a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-_counter = itertools.count()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    On one machine (master local) a new folder does where none is named; a cluster must name one, as
-    its executors share no local folders.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="skarn-")
-    return own
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -47,10 +27,9 @@ def small_batches(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skarn-{name}-{next(_counter)}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(df.sparkSession)}/skarn-{name}-{uuid.uuid4().hex[:16]}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._skarn_path = path
     return out
 

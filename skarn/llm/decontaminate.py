@@ -58,27 +58,41 @@ def letters(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _walk() -> np.ndarray:
-    """The shared random walk: whether a byte moves on, for each step and byte."""
+    """The shared random walk, two steps at a time: for each pair of steps and pair of bytes (here and next), the
+    bytes that the walk reads, and how far it moves on, as moves << 16 | first << 8 | second."""
     made = getattr(_walk, "made", None)
     if made is None:
-        made = _walk.made = np.random.default_rng(11).integers(0, 2, (STEPS[0], 256), dtype=np.int64)
+        moves = np.random.default_rng(11).integers(0, 2, (STEPS[0], 256), dtype=np.uint32)
+        here, after = np.divmod(np.arange(1 << 16, dtype=np.uint32), np.uint32(256))
+        tables = []
+        for n in range(0, STEPS[0], 2):
+            second = np.where(moves[n][here] == 1, after, here)
+            tables.append((moves[n][here] + moves[n + 1][second]) << 16 | here << 8 | second)
+        made = _walk.made = np.array(tables, np.uint32)
     return made
 
 
-def keys_of(chars: np.ndarray, wanted: tuple[int, ...] = STEPS) -> dict[int, np.ndarray]:
-    """Steps -> key of the walk of so many steps from each character on; 0s follow the last one."""
-    data = np.concatenate([chars, np.zeros(max(wanted) + 1, np.uint8)])
-    out, walk = {s: np.zeros(len(chars), np.uint64) for s in wanted}, _walk()
+def _walks(chars: np.ndarray, wanted: tuple[int, ...]):
+    """(steps, first character, keys) of the walks of so many steps from each character on, block by block; 0s follow the last one."""
+    data = np.concatenate([chars, np.zeros(max(wanted) + 2, np.uint8)]).astype(np.uint16)
+    pairs, walk = data[:-1] << 8 | data[1:], _walk()
     for a in range(0, len(chars), 1 << 14):  # what a core's cache holds
         b = min(len(chars), a + (1 << 14))
-        part, at, key = data[a : b + max(wanted) + 1], np.arange(b - a), np.zeros(b - a, np.uint64)
-        for n in range(max(wanted)):
-            byte = part.take(at, mode="clip")
+        part, at, key = pairs[a : b + max(wanted) + 1], np.arange(b - a), np.zeros(b - a, np.uint64)
+        for n in range(max(wanted) // 2):
+            read = walk[n].take(part.take(at, mode="clip"), mode="clip")
             key *= np.uint64(0x9E3779B97F4A7C15)
-            key += byte
-            if n + 1 in out:
-                out[n + 1][a:b] = key ^ (key >> np.uint64(31))
-            at += walk[n].take(byte, mode="clip")
+            key += read
+            at += read >> 16
+            if 2 * n + 2 in wanted:
+                yield 2 * n + 2, a, key ^ (key >> np.uint64(31))
+
+
+def keys_of(chars: np.ndarray, wanted: tuple[int, ...] = STEPS) -> dict[int, np.ndarray]:
+    """Steps (even numbers) -> key of the walk of so many steps from each character on."""
+    out = {s: np.zeros(len(chars), np.uint64) for s in wanted}
+    for s, a, keys in _walks(chars, wanted):
+        out[s][a : a + len(keys)] = keys
     return out
 
 
@@ -147,17 +161,19 @@ def best_end(pattern: str, text: str) -> tuple[int, int]:
 
 def within(masks: np.ndarray, size: np.ndarray, limit: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Whether a part of each row of text is within limit edits of its pattern of up to 64 characters (masks by byte)."""
-    one, rows = np.uint64(1), np.arange(len(text))
+    one, flat, at = np.uint64(1), np.ascontiguousarray(masks).reshape(-1), np.arange(len(text)) * masks.shape[1]
     plus, minus = np.full(len(text), ~np.uint64(0)), np.zeros(len(text), np.uint64)
     high, score = (size - 1).astype(np.uint64), size.astype(np.int64)
     best = score.copy()
     for c in np.ascontiguousarray(text.T):
-        eq = masks[rows, c]
+        eq = flat.take(at + c)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
         ph, mh = minus | ~(xh | plus), plus & xh
-        score += ((ph >> high) & one).astype(np.int64) - ((mh >> high) & one).astype(np.int64)
-        ph, mh = ph << one, mh << one
+        score += ((ph >> high) & one).view(np.int64)
+        score -= ((mh >> high) & one).view(np.int64)
+        ph <<= one
+        mh <<= one
         plus, minus = mh | ~(xv | ph), ph & xv
         np.minimum(best, score, out=best)
     return best <= limit
@@ -214,12 +230,11 @@ class Items:
 
     def places(self, chars: np.ndarray) -> np.ndarray:
         """(item, first character about where it would start) of every place that a key and the part around it show."""
-        walks = tuple(s for s in self.tables if s > 0)
-        keys = keys_of(chars, walks) if walks else {}
-        groups = []
-        for steps, (values, part, at, marks) in self.tables.items():
-            seen = keys[steps] if steps > 0 else tx.sequences(chars.astype(np.uint64), -steps)
-            hit = np.flatnonzero(marks[seen >> np.uint64(46)])
+        walks, groups = tuple(s for s in self.tables if s > 0), []
+
+        def seek(steps, base, seen):
+            values, part, at, marks = self.tables[steps]
+            hit = np.flatnonzero(marks.take((seen >> np.uint64(46)).astype(np.int64)))
             low = np.searchsorted(values, seen[hit])
             same = values[np.minimum(low, len(values) - 1)] == seen[hit]
             hit, low = hit[same], low[same]
@@ -227,8 +242,14 @@ class Items:
             for a, b in _even(n, 1 << 20):
                 m = n[a:b]
                 s = np.repeat(low[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                start = (np.repeat(hit[a:b], m) - at[s] + PART) // NEAR
+                start = (np.repeat(base + hit[a:b], m) - at[s] + PART) // NEAR
                 groups.append(np.unique(part[s] << 32 | start))
+
+        for steps, base, seen in _walks(chars, walks) if walks else ():
+            seek(steps, base, seen)
+        for steps in self.tables:
+            if steps < 0:
+                seek(steps, 0, tx.sequences(chars.astype(np.uint64), -steps))
         groups = np.unique(np.concatenate(groups)) if groups else np.zeros(0, np.int64)
         part, start = groups >> 32, (groups & 0xFFFFFFFF) * NEAR - PART
         around = int((self.share + PART_SHARE) * PART) + 2
