@@ -15,8 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import materialize, select_as, small_batches
 
@@ -33,6 +35,8 @@ DEGREE, BEAM, RANK_FROM, RECALL = 24, 64, 256, 0.98
 MEASURED, HELD_OUT = 400, 4
 #: Vectors of a slice of a list: longer lists are read by several tasks. Bytes of vectors that a task holds.
 SLICE, BIN_BYTES = 20_000, 32 << 20
+#: Bytes of the sample's vectors in the driver, as doubles.
+FIT_BYTES = 128 << 20
 
 
 def _spread(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
@@ -166,14 +170,16 @@ def fit(sample: np.ndarray, n: int, recall: float = RECALL) -> Index:
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows that take part, their vectors): dim finite components that aren't null, and not all zero."""
-    keep, out = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == dim and None not in v:
-            keep.append(i)
-            out.append(v)
-    x = np.array(out, np.float64).reshape(len(out), dim)
-    ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1) if dim else np.zeros(len(x), bool)
-    return np.array(keep, np.int64)[ok], x[ok]
+    keep = np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False) == dim)
+    flat = pc.list_flatten(column.take(pa.array(keep))).cast(pa.float64())
+    x = pc.fill_null(flat, np.nan).to_numpy(zero_copy_only=False).reshape(len(keep), dim)
+    ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    return keep[ok], x[ok]
+
+
+def _vectors(blobs, dim: int, kind: str) -> np.ndarray:
+    """Rows of doubles from the bytes of vectors."""
+    return np.frombuffer(b"".join(blobs), kind).astype(np.float64).reshape(-1, dim)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -187,22 +193,23 @@ def _cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (v * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum(axis=1)))
 
 
-def _parse(dim: int):
+def _parse(dim: int, kind: str):
     def run(batches):
         for batch in batches:
             keep, x = _matrix(batch.column(1), dim)
-            keys = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in x + 0.0]
+            x = (x + 0.0).astype(kind)
+            keys = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in x]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(keys, pa.binary())], ["vec_id", "v", "key"])
 
     return run
 
 
-def _assign(index, dim: int):
+def _assign(index, dim: int, kind: str):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim)
+            x = _vectors(batch.column(1).to_pylist(), dim, kind)
             found = index.value.lists_of(_unit(x))
             n = np.array([len(f) for f in found])
             rows = pa.array(np.repeat(np.arange(len(found)), n))
@@ -211,7 +218,7 @@ def _assign(index, dim: int):
     return run
 
 
-def _ask(index, dim: int, slices):
+def _ask(index, dim: int, kind: str, slices):
     """A row for each query and bin that it reads of, with the parts (list and slice) that it reads there."""
 
     def run(batches):
@@ -219,7 +226,7 @@ def _ask(index, dim: int, slices):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim)
+            x = _vectors(batch.column(1).to_pylist(), dim, kind)
             rows, bin_of, read = [], [], []
             for i, found in enumerate(index.value.lists_for(_unit(x))):
                 at = np.concatenate([np.arange(start[j], start[j + 1]) for j in found])
@@ -247,7 +254,7 @@ def _best(found: list, top: int) -> list:
     return [(q[keep], ids[keep], score[keep])]
 
 
-def _search(dim: int, top: int):
+def _search(dim: int, kind: str, top: int):
     """Best rows of each bin for each query that reads lists there."""
 
     def run(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
@@ -261,8 +268,8 @@ def _search(dim: int, top: int):
             by_part = np.argsort(v_part, kind="stable")
             v_part = v_part[by_part]
             ids = rows.column("vec_id").to_numpy()
-            q = np.frombuffer(b"".join(queries.column("v").to_pylist()), np.float64).reshape(-1, dim)
-            v = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64).reshape(-1, dim)
+            q = _vectors(queries.column("v").to_pylist(), dim, kind)
+            v = _vectors(rows.column("v").to_pylist(), dim, kind)
             q_unit, v_unit, held = _unit(q), _unit(v), 0
             for part in np.unique(part_of):
                 qs = asks[slice(*np.searchsorted(part_of, [part, part + 1]))]
@@ -296,7 +303,7 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, fit_rows: int =
     Rows with a null vec_id, and vectors that are null, zero, of another length than most, or with null or non-finite
     components take no part. Rows with the same vec_id count as one, the query's own id is no candidate.
     fit_rows bounds the sample that centroids are fitted on (more if lists need it: FIT_PER_LIST rows
-    each); every vector is indexed. Too few rows give what there is; an empty table gives an empty result.
+    each, of FIT_BYTES bytes at most); every vector is indexed. Too few rows give what there is; an empty table gives an empty result.
     """
     spark = embeddings.sparkSession
     small_batches(spark)
@@ -306,22 +313,24 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, fit_rows: int =
     if common is None or not common["d"]:
         return empty
     dim = common["d"]
-    parsed = materialize(rows.mapInArrow(_parse(dim), "vec_id long, v binary, key binary"), "vectors")
+    # Floats go as floats: doubles would only make what is exchanged twice as large.
+    kind = "f4" if embeddings.schema["embedding"].dataType.elementType == FloatType() else "f8"
+    parsed = materialize(rows.mapInArrow(_parse(dim, kind), "vec_id long, v binary, key binary"), "vectors")
     n = parsed.count()
     if not n:
         return empty
-    size = max(fit_rows, FIT_PER_LIST * min(MOST_LISTS, n // LIST_SIZE))
+    size = min(max(fit_rows, FIT_PER_LIST * min(MOST_LISTS, n // LIST_SIZE)), max(1, FIT_BYTES // (8 * dim)))
     chance = F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1_000_000)) / 1e6
     sample = parsed.where(chance < size / n).select("v").collect()  # about size rows, a stated bound
     if not sample:
         sample = parsed.select("v").limit(1).collect()
-    x = _unit(np.frombuffer(b"".join(r["v"] for r in sample), np.float64).reshape(-1, dim))
+    x = _unit(_vectors((r["v"] for r in sample), dim, kind))
     index = spark.sparkContext.broadcast(fit(x, n, recall))  # MOST_LISTS centroids at most
 
     # Of equal vectors only the first k + 1 by id can be among the k nearest of any query.
     firsts = parsed.groupBy("key", "vec_id").agg(F.first("v").alias("v"))
     firsts = firsts.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    lists = materialize(firsts.select("vec_id", "v").mapInArrow(_assign(index, dim), "list int, vec_id long, v binary"), "lists")
+    lists = materialize(firsts.select("vec_id", "v").mapInArrow(_assign(index, dim, kind), "list int, vec_id long, v binary"), "lists")
     asked = parsed.where(F.col("vec_id") % every == 0).select("vec_id", "key", "v")
     sizes = dict(lists.groupBy("list").count().collect())  # MOST_LISTS rows at most
     held_in = np.array([sizes.get(i, 0) for i in range(len(index.value.centroids))], np.int64)
@@ -332,10 +341,10 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, fit_rows: int =
     # Parts are dealt in turn, so that bins have about as many each; a query is sent once to each bin that it reads of.
     sent = spark.sparkContext.broadcast((np.arange(len(parts)) % bins, parts, start))
     firsts_of = spark.createDataFrame([(i, int(n), int(a)) for i, (n, a) in enumerate(zip(per, start)) if n], "list int, slices int, first long")
-    points = asked.groupBy("key").agg(F.first("v").alias("v")).select("key", "v").mapInArrow(_ask(index, dim, sent), "bin long, parts array<long>, key binary, v binary")
+    points = asked.groupBy("key").agg(F.first("v").alias("v")).select("key", "v").mapInArrow(_ask(index, dim, kind, sent), "bin long, parts array<long>, key binary, v binary")
     held = lists.join(F.broadcast(firsts_of), "list").withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")))
     held = held.select(((F.col("first") + F.col("slice")) % bins).alias("bin"), F.shiftleft(F.col("list").cast("long"), 32).bitwiseOR(F.col("slice")).alias("part"), "vec_id", "v")
-    found = points.groupBy("bin").cogroup(held.groupBy("bin")).applyInArrow(_search(dim, k + 1), "key binary, vec_id long, score double")
+    found = points.groupBy("bin").cogroup(held.groupBy("bin")).applyInArrow(_search(dim, kind, k + 1), "key binary, vec_id long, score double")
     found = found.dropDuplicates(["key", "vec_id"])
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") <= k + 1)
     pairs = asked.select(F.col("vec_id").alias("query_id"), "key").distinct().join(best.select("key", "vec_id", "score"), "key").where("query_id <> vec_id")
