@@ -95,8 +95,12 @@ def with_least(rows: DataFrame, key: str, aggregate, name: str) -> DataFrame:
 
     The values are a written table too, so this is a plain join of two scans, of which Spark splits
     the partition of a key that holds many rows; a window or an aggregate below the join would not let it.
+    discard() of the result removes the table of values, once nothing reads the result any more.
     """
-    return rows.join(materialize(rows.groupBy(key).agg(aggregate.alias(name)), f"{name}-of"), key)
+    values = materialize(rows.groupBy(key).agg(aggregate.alias(name)), f"{name}-of")
+    out = rows.join(values, key)
+    out._skarn_path = values._skarn_path
+    return out
 
 
 #: Most bits of a sieve: its size is bounded however many keys there are.
@@ -144,11 +148,11 @@ def connected_components(edges: DataFrame, name: str = "cc", forests: bool = Fal
     now = materialize(local.distinct(), name)
     while not _is_stars(now):
         both = materialize(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), name)
-        large = with_least(both, "u", F.least(F.min("v"), F.first("u")), "m")
-        large = materialize(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
-        small = with_least(large, "u", F.min("v"), "m")
-        small = materialize(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct(), name)
-        for done in (now, both, large):
+        least = with_least(both, "u", F.least(F.min("v"), F.first("u")), "m")
+        large = materialize(least.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
+        lower = with_least(large, "u", F.min("v"), "m")
+        small = materialize(lower.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct(), name)
+        for done in (now, both, least, large, lower):
             discard(done)
         now = small
     roots_of = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
