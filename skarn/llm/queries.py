@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_lexicon, decontaminate, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_counts, url_filter
+from . import ann, bpe_lexicon, centroid_clusters, decontaminate, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_counts, url_filter
 
 #: Rules of the URL query.
 RULES = [
@@ -68,6 +68,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
 OP5_SQL = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -130,6 +134,24 @@ FROM texts LEFT JOIN kept USING (doc_id)
 
 
 
+def _op13_sql(rounds: int = 10) -> str:
+    ctes = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64)""", """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, q FROM (SELECT sha256('3:' || vec_id) AS h, q FROM v ORDER BY h LIMIT 8))"""]
+    near = "a{0} AS MATERIALIZED (SELECT r, min((d, c)) AS m FROM (SELECT v.r, k.c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - k.q[i]) * (v.q[i] - k.q[i])))::BIGINT AS d FROM v, c{0} k) GROUP BY r)"
+    for k in range(rounds):
+        ctes.append(near.format(k))
+        sums = f"SELECT m[2] AS c, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM a{k} JOIN v USING (r), unnest(range(1, 65)) AS u(i) GROUP BY ALL"
+        ctes.append(f"c{k + 1} AS MATERIALIZED (SELECT c, coalesce(w.q, o.q) AS q FROM c{k} o LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q FROM ({sums}) GROUP BY c) w USING (c))")
+    return f"""
+WITH {", ".join([*ctes, near.format(rounds)])}
+SELECT vec_id, m[2]::INT AS cluster, m[1] AS distance, (sum(m[1]) OVER (PARTITION BY m[2]))::BIGINT AS cluster_inertia, (sum(m[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(k.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} k ON k.c = m[2]
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def _op9_sql() -> str:
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     entropy = secret_scan.CANDIDATE.removesuffix("+")
@@ -160,5 +182,5 @@ FROM t LEFT JOIN both_kinds ON both_kinds.doc_id = t.doc_id GROUP BY t.doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_html_extraction, op5_url_filters, op6_substring_dedup, op7_bpe_round_trip, op8_decontamination, op9_secret_scans, op10_token_counts)}
-ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op9_secret_scans": _op9_sql(), "op5_url_filters": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_html_extraction, op5_url_filters, op6_substring_dedup, op7_bpe_round_trip, op8_decontamination, op9_secret_scans, op10_token_counts, op13_centroid_clustering)}
+ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op9_secret_scans": _op9_sql(), "op5_url_filters": OP5_SQL, "op13_centroid_clustering": OP13_SQL}
