@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_lexicon, centroid_clusters, decontaminate, html_extract, language_id, ngram_join, secret_scan, substring_dedup, token_counts, url_filter
+from . import ann, bpe_lexicon, centroid_clusters, decontaminate, html_extract, language_id, ngram_join, prefix_trie, quality_mil, secret_scan, substring_dedup, token_counts, url_filter
 
 #: Rules of the URL query.
 RULES = [
@@ -68,6 +68,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
 
@@ -134,6 +142,35 @@ FROM texts LEFT JOIN kept USING (doc_id)
 
 
 
+OP12_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(3988292384, x // 2) ELSE x // 2 END)) AS t
+), turns AS (
+  SELECT conv_id AS c, x, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x) AS p
+  FROM (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT c, n, c - c % 5 AS base, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda x, b: xor(t[xor(x, b) % 256 + 1], x // 256))) % 9 AS h
+  FROM (SELECT c, count(*) AS n FROM turns GROUP BY c), crc
+), plan AS (SELECT convs.*, least(h, coalesce(o.n, 0)) AS lent FROM convs LEFT JOIN (SELECT c AS base, n FROM convs) o USING (base)
+), rebuilt AS (
+  SELECT plan.c, p AS d, x, size FROM plan JOIN turns ON turns.c = base AND p <= lent
+  UNION ALL SELECT plan.c, p - h + lent, x, size FROM plan JOIN turns ON turns.c = plan.c AND p > h
+), paths AS (SELECT c, d, size, list(x) OVER (PARTITION BY c ORDER BY d) AS path FROM rebuilt
+  UNION ALL SELECT c, 0, 0, [] FROM plan
+), members AS (SELECT c, d, size, min(c) OVER (PARTITION BY path) AS m, max(d) OVER (PARTITION BY c) AS n FROM paths
+), nodes AS (
+  SELECT m, d, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends_sha256 FROM members GROUP BY m, d
+), linked AS (SELECT nodes.*, up.m AS parent FROM nodes LEFT JOIN members up ON up.c = nodes.m AND up.d = nodes.d - 1
+), counted AS (SELECT linked.*, coalesce(k, 0) AS n_children FROM linked LEFT JOIN (SELECT parent AS m, d - 1 AS d, count(*) AS k FROM linked WHERE d > 0 GROUP BY ALL) USING (m, d)
+), sums AS (
+  SELECT up.m, up.d, sum((low.n_children = 0)::INT) AS n_leaves, sum((low.n_convs - 1) * low.size) AS saved_tokens
+  FROM counted low JOIN members up ON up.c = low.m AND up.d <= low.d GROUP BY up.m, up.d
+)
+SELECT m AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM counted JOIN sums USING (m, d)
+"""
+
+
 def _op13_sql(rounds: int = 10) -> str:
     ctes = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q
   FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64)""", """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, q FROM (SELECT sha256('3:' || vec_id) AS h, q FROM v ORDER BY h LIMIT 8))"""]
@@ -182,5 +219,5 @@ FROM t LEFT JOIN both_kinds ON both_kinds.doc_id = t.doc_id GROUP BY t.doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_html_extraction, op5_url_filters, op6_substring_dedup, op7_bpe_round_trip, op8_decontamination, op9_secret_scans, op10_token_counts, op13_centroid_clustering)}
-ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op9_secret_scans": _op9_sql(), "op5_url_filters": OP5_SQL, "op13_centroid_clustering": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_nearest_neighbours, op4_html_extraction, op5_url_filters, op6_substring_dedup, op7_bpe_round_trip, op8_decontamination, op9_secret_scans, op10_token_counts, op11_quality_classifier, op12_conversation_prefix_trie, op13_centroid_clustering)}
+ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op9_secret_scans": _op9_sql(), "op5_url_filters": OP5_SQL, "op12_conversation_prefix_trie": OP12_SQL, "op13_centroid_clustering": OP13_SQL}
