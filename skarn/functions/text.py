@@ -138,12 +138,6 @@ def assign_split(ticker: Column, train: float = 0.8, val: float = 0.1) -> Column
     return F.when(b < train, "train").when(b < train + val, "val").otherwise("test")
 
 
-def draw(*parts: Column, n: Column | int) -> Column:
-    """A number from 0 to n - 1 drawn by hash: the same in any partitioning and any engine."""
-    key = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint") % n
-
-
 def digest12(c: Column) -> Column:
     """The first twelve hexadecimal digits of SHA-256: the form of all content keys."""
     return F.substring(F.sha2(c, 256), 1, 12)

@@ -23,8 +23,11 @@ def _split(x: str) -> str:
     return f"CASE WHEN {b} < 0.8::DOUBLE THEN 'train' WHEN {b} < 0.9::DOUBLE THEN 'val' ELSE 'test' END"
 
 
-def _draw(seed: str, r: str, k: str, n: str) -> str:
-    return f"(('0x' || substr(md5(concat_ws('|', {seed}, {r}::VARCHAR, {k}::VARCHAR)), 1, 15))::BIGINT % {n})"
+def _mix(source: str, keep: str, x: str, name: str) -> str:
+    """CTEs that end with a table name (keep, x): x of source through the finalizer of resample.mix(), in 128-bit numbers."""
+    step = "SELECT {0}, (xor(x, x // {1}) * {2}) % 18446744073709551616::HUGEINT AS x FROM {3}"
+    first = step.format(keep, 1 << 30, 0x3F58476D1CE4E5B9, f"(SELECT {keep}, ({x}) % 18446744073709551616::HUGEINT AS x FROM {source})")
+    return f"{name}_a AS ({first}), {name}_b AS ({step.format(keep, 1 << 27, 0x14D049BB133111EB, f'{name}_a')}), {name} AS (SELECT {keep}, xor(x, x // {1 << 31}) AS x FROM {name}_b)"
 
 
 def _tokens(x: str) -> str:
@@ -114,18 +117,21 @@ def _checksum(c: str) -> str:
     return f"coalesce(list_sum(list_transform({c}, lambda x, i: x::BIGINT * ((i - 1) % 97 + 1))), 0)::BIGINT"
 
 
-def _bootstrap(stats: str, key: str, metrics: list[str], gaps: dict[str, tuple[str, str]] | None = None) -> str:
-    """Interval SQL over CTE text that ends with a table stats (key, <m>_num, <m>_den)."""
+def _bootstrap(stats: str, key: str, metrics: list[str], gaps: dict[str, tuple[str, str]] | None = None, digits: int = 6) -> str:
+    """Interval SQL over CTE text that ends with a table stats (key, <m>_num, <m>_den), of one block of clusters (4096 or fewer) and seed 0."""
     sums = ", ".join(f"sum({m}_{x}) AS {m}_{x}" for m in metrics for x in ("num", "den"))
     values = {m: f"CASE WHEN {m}_den <> 0 THEN {m}_num / {m}_den END" for m in metrics}
     values |= {g: f"({values[a]}) - ({values[b]})" for g, (a, b) in (gaps or {}).items()}
     union = " UNION ALL ".join(f"SELECT '{m}' AS metric, {v} AS value FROM sums" for m, v in values.items())
     return f"""{stats}, numbered AS (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS slot FROM stats
-), drawn AS (
-  SELECT r, {_draw("'0'", "r", "k", "(SELECT count(*) FROM stats)")} AS slot FROM range(0, {_RESAMPLES}) AS a(r), range(0, (SELECT count(*) FROM stats)) AS b(k)
+), resamples AS (SELECT r::HUGEINT AS r FROM range(0, {_RESAMPLES}) AS a(r)
+), {_mix("resamples", "r", "r", "once")}, {_mix("once", "r", "x", "keys")}
+, places AS (SELECT r, x, j FROM keys, range(0, (SELECT count(*) FROM stats)) AS b(j)
+), {_mix("places", "r", "x + j", "hashes")}
+, drawn AS (SELECT r, (x // 4294967296 * (SELECT count(*) FROM stats) // 4294967296)::BIGINT AS slot FROM hashes
 ), sums AS (SELECT r, {sums} FROM drawn JOIN numbered USING (slot) GROUP BY r
 ), long AS ({union})
-SELECT metric, round(quantile_cont(value, (1 - 0.95::DOUBLE) / 2), 6) AS low, round(quantile_cont(value, 1 - (1 - 0.95::DOUBLE) / 2), 6) AS high, count(*) AS draws
+SELECT metric, round(quantile_cont(value, (1 - 0.95::DOUBLE) / 2), {digits}) AS low, round(quantile_cont(value, 1 - (1 - 0.95::DOUBLE) / 2), {digits}) AS high, count(*) AS draws
 FROM long WHERE value IS NOT NULL GROUP BY metric"""
 
 
@@ -386,3 +392,9 @@ SELECT k::VARCHAR AS accession_no, (k % 2 = 0)::INT::DOUBLE AS strict_valid_rate
     "measured_lengths": "SELECT doc_id, (length(coalesce(text, '')) + 2)::INT AS prompt, (length(source) + 1)::INT AS completion, (length(coalesce(text, '')) + length(source) + 3)::INT AS total FROM documents",
     "cache_keys": """SELECT doc_id, source || '-a-b/' || doc_id || '_' || substr(sha256('prompt ' || text), 1, 12) AS cache_key, doc_id % 4 = 0 AS cache_hit FROM documents""",
 }
+
+_METRICS = ["strict_valid_rate", "lenient_valid_rate", "numeric_accuracy", "numeric_revenue", "numeric_net_income", "numeric_total_assets", "numeric_eps_diluted", "macro_category_f1", "macro_match_f1"]
+_EVALUATION = ", ".join(f"sum({m}_{x}) AS {m}_{x}" for m in _METRICS for x in ("num", "den"))
+ORACLES["evaluation_ci"] = _bootstrap(
+    f"WITH stats AS (SELECT o_custkey, {_EVALUATION} FROM ({ORACLES['filing_stats']}) JOIN orders ON o_orderkey::VARCHAR = accession_no GROUP BY o_custkey)", "o_custkey", _METRICS, digits=4
+)

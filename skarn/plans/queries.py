@@ -442,6 +442,15 @@ def bootstrap_ci(spark, d):
     return out.select("metric", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "draws")
 
 
+def evaluation_ci(spark, d):
+    """All metrics of an evaluation of filings, resampled by company."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("accession_no"), "o_custkey")
+    sums = [F.sum(f"{m}_{x}").alias(f"{m}_{x}") for m in scoring.METRICS for x in ("num", "den")]
+    stats = filing_stats(spark, d).join(o, "accession_no").groupBy("o_custkey").agg(*sums)
+    out = resample.bootstrap(stats, "o_custkey", list(scoring.METRICS))
+    return out.select("metric", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "draws")
+
+
 def paired_gap_ci(spark, d):
     rows = _label_stats(spark, d)
     agree = (F.col("quality") == F.col("toxic")).cast("double")
@@ -646,7 +655,7 @@ QUERIES = {
         verdict_accuracy, verdict_tally_pivot, split_assignment, split_leak_check, split_freshness, latest_n_per_company, fact_selection, fact_fallback_eps,
         refresh_diff, kept_warnings, incremental_anti, cik_override, statement_render, statement_pair_warnings, numeric_variants, grounding_rate, excerpt_build,
         figure_window, risk_slice, by_reference_flag, category_distribution, risk_list_sizes, theme_modal_share, json_validity, first_object, category_multiset_f1,
-        token_dice, greedy_match, bootstrap_ci, paired_gap_ci, cluster_sample, stratified_sample, audit_agreement, audit_confusions, audit_ci, implied_recall,
+        token_dice, greedy_match, bootstrap_ci, evaluation_ci, paired_gap_ci, cluster_sample, stratified_sample, audit_agreement, audit_confusions, audit_ci, implied_recall,
         stale_rows, note_lint, population_meta, stratum_split_crosstab, render_prompt, encode_truncate_mask, encoding_stats, pad_batches, length_distribution,
         window_fit, longest_examples, usage_cost, run_stats, cache_keys, statement_cap, latest_filings, section_projection, fact_periods, period_columns, facts_refresh,
         override_check, grounded_projection, target_json, labeled_filings, risk_rows, risk_report, prediction_join, prediction_alignment, validity_rates, filing_stats,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skarn import __main__ as commands
 from skarn.config import load_config
 from skarn.functions.validate import validate_target
-from skarn.operators import encode, facts, resample, scoring
+from skarn.operators import encode, facts, scoring
 from skarn.sources import adapters, sinks
 from tests.test_sources import filing
 
@@ -120,14 +120,6 @@ def test_answers_must_match_examples(spark):
         scoring.join_predictions(examples, answers, strict=True)
 
 
-def test_many_clusters_draw_how_often(spark, monkeypatch):
-    rows = spark.createDataFrame([(str(k), float(k % 2), 1.0) for k in range(200)], "k string, m_num double, m_den double")
-    near = resample.bootstrap(rows, "k", ["m"], 400).first()
-    monkeypatch.setattr(resample, "PLACES_UPTO", 100)
-    far = resample.bootstrap(rows, "k", ["m"], 400).first()
-    assert far["draws"] == 400 and abs(far["low"] - near["low"]) < 0.03 and abs(far["high"] - near["high"]) < 0.03
-
-
 def test_retries_reach_predictions(spark):
     class Shaky:
         def __init__(self):
