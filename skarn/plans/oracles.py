@@ -257,6 +257,15 @@ SELECT n, g AS n_gold, p AS n_pred, tp AS category_tp, round(m, 6) AS macro_cate
     "greedy_match": _GREEDY + """SELECT b.p_brand, b.p_type, b.p_size, b.n_parts, coalesce(len(m), 0)::INT AS matched, coalesce(array_to_string(list_transform(m, lambda x: x.g::VARCHAR || '-' || x.p::VARCHAR), ','), '') AS pairs,
   round(coalesce(list_sum(list_transform(m, lambda x: x.score)), 0.0::DOUBLE), 6) AS score_sum
 FROM (SELECT p_brand, p_type, p_size, count(*) AS n_parts FROM part GROUP BY ALL) b LEFT JOIN folded ON folded.p_brand = b.p_brand AND folded.kind = b.p_type AND folded.size = b.p_size""",
+    "match_long_lists": _SIM
+    + f""", pairs AS (
+  SELECT a.p_brand, a.p_partkey AS g, b.p_partkey AS p, 0.7::DOUBLE * ({_dice("a.n", "b.n")}) + (1 - 0.7::DOUBLE) * ({_dice("a.s", "b.s")}) AS score
+  FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey % 2 = 1 AND b.p_partkey % 2 = 0
+), ranked AS (SELECT p_brand, list({{'g': g, 'p': p, 'score': score}} ORDER BY score DESC, g, p) AS l FROM pairs WHERE score >= 0.3::DOUBLE GROUP BY p_brand
+), folded AS (
+  SELECT p_brand, list_reduce(list_transform(l, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: k.g = x[1].g OR k.p = x[1].p)) = 0 THEN list_concat(kept, x) ELSE kept END) AS m FROM ranked
+)
+SELECT p_brand AS accession_no, x.g AS g, x.p AS p, round(x.score, 6) AS score FROM folded, unnest(m) AS u(x)""",
     "bootstrap_ci": _bootstrap(
         """WITH stats AS (SELECT source, sum(quality)::DOUBLE AS quality_num, count(*)::DOUBLE AS quality_den, sum(toxic)::DOUBLE AS toxic_num, sum(quality)::DOUBLE AS toxic_den
 FROM documents JOIN labels ON documents.doc_id = labels.doc_id GROUP BY source)""",

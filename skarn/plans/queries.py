@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skarn.functions import text as tx
 from skarn.functions.numeric import verdict
 from skarn.functions.validate import validate_target
-from skarn.operators import audit, dataset, encode, facts, resample, sampling, scoring, usage
+from skarn.operators import audit, dataset, encode, facts, matching, resample, sampling, scoring, usage
 from skarn.sources import readers, sinks
 
 
@@ -389,6 +389,13 @@ def greedy_match(spark, d):
     return _risk_lists(spark, d).select("p_brand", "p_type", "p_size", "n_parts", F.size(m).alias("matched"), shown.alias("pairs"), r6(F.aggregate(m, F.lit(0.0), lambda s, x: s + x["score"])).alias("score_sum"))
 
 
+def match_long_lists(spark, d):
+    """Parts of a brand, those of odd numbers against those of even ones: lists that grow with the table."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("accession_no"), F.col("p_partkey").alias("place"), F.col("p_name").alias("title"), F.col("p_type").alias("summary"))
+    out = matching.match_lists(p.where("place % 2 = 1"), p.where("place % 2 = 0"))
+    return out.select("accession_no", "g", "p", r6(F.col("score")).alias("score"))
+
+
 def risk_report(spark, d):
     rows = _risk_lists(spark, d).select(scoring.risk_score(F.col("g"), F.col("p")).alias("r")).select("r.*")
     out = scoring.risk_report(rows)
@@ -655,7 +662,7 @@ QUERIES = {
         verdict_accuracy, verdict_tally_pivot, split_assignment, split_leak_check, split_freshness, latest_n_per_company, fact_selection, fact_fallback_eps,
         refresh_diff, kept_warnings, incremental_anti, cik_override, statement_render, statement_pair_warnings, numeric_variants, grounding_rate, excerpt_build,
         figure_window, risk_slice, by_reference_flag, category_distribution, risk_list_sizes, theme_modal_share, json_validity, first_object, category_multiset_f1,
-        token_dice, greedy_match, bootstrap_ci, evaluation_ci, paired_gap_ci, cluster_sample, stratified_sample, audit_agreement, audit_confusions, audit_ci, implied_recall,
+        token_dice, greedy_match, match_long_lists, bootstrap_ci, evaluation_ci, paired_gap_ci, cluster_sample, stratified_sample, audit_agreement, audit_confusions, audit_ci, implied_recall,
         stale_rows, note_lint, population_meta, stratum_split_crosstab, render_prompt, encode_truncate_mask, encoding_stats, pad_batches, length_distribution,
         window_fit, longest_examples, usage_cost, run_stats, cache_keys, statement_cap, latest_filings, section_projection, fact_periods, period_columns, facts_refresh,
         override_check, grounded_projection, target_json, labeled_filings, risk_rows, risk_report, prediction_join, prediction_alignment, validity_rates, filing_stats,
