@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions.numeric import ratio
-from skarn.schemas import RISK_CATEGORIES
+from skarn.operators import sampling
+from skarn.schemas import AUDIT_FILING_DDL, AUDIT_RISK_DDL, RISK_CATEGORIES
 
 # The grammar of notes.
 BLIND, UNINFORMATIVE, REVISED = r"blind verdict was '([a-z_]+)'", r"\bUNINFORMATIVE\b\s*:", r"\brevised\b"
@@ -100,6 +101,27 @@ def cluster_stats(rows: DataFrame) -> DataFrame:
     )
 
 
+def draw_sheet(filings: DataFrame, n: int, per_filing: int, test_filings: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(risk rows, filing rows) of a sheet to be reviewed, from filings of readers.labeled_filings().
+
+    n random filings and test_filings more of the test split, and per_filing risks of each (all, if
+    fewer). What a reviewer fills in is null; an id is the filing's key and the risk's place.
+    """
+    chosen = sampling.draw_strata(filings.drop("n_risks"), "accession_no", n, test_filings, seed=seed)
+    risks = sampling.draw_within(risk_rows(chosen), "accession_no", "risk_index", per_filing, seed)
+    names = {"title": "teacher_title", "category": "teacher_category", "summary": "teacher_summary"}
+    sheet = risks.withColumnsRenamed(names).withColumn("id", F.concat_ws("#", "accession_no", F.col("risk_index").cast("string")))
+    counts = sheet.groupBy("accession_no").agg(F.count("*").cast("int").alias("n_sampled"))
+    of = chosen.withColumn("n_teacher_risks", F.size("risks")).join(counts, "accession_no")
+    return _as(sheet, AUDIT_RISK_DDL), _as(of, AUDIT_FILING_DDL)
+
+
+def _as(rows: DataFrame, ddl: str) -> DataFrame:
+    """rows with the columns of a schema; those that rows lacks are null."""
+    fields = [part.strip().split(" ", 1) for part in ddl.split(",")]
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields])
+
+
 def crosstab(rows: DataFrame) -> DataFrame:
     """(stratum, split, n): counts of cells that aren't empty."""
     return rows.groupBy("stratum", "split").agg(F.count("*").alias("n"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions.numeric import ratio
 from skarn.functions.text import assign_split, excerpt, is_by_reference, is_grounded
-from skarn.schemas import SCORED_FIELDS, SPLITS
+from skarn.schemas import RISK_CATEGORIES, SCORED_FIELDS, SPLITS
 
 ANCHOR_FIELDS = ("revenue", "net_income", "total_assets")
 #: The system turn of an example; a parameter of the dataset, not of the operators.
@@ -36,15 +36,45 @@ def grounding_rates(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return long.groupBy("field").agg(F.count_if("ok").alias("hits"), F.count("*").alias("total")).withColumn("rate", ratio(F.col("hits"), F.col("total")))
 
 
-def build_examples(filings: DataFrame, labels: DataFrame, system_prompt: str = SYSTEM_PROMPT) -> DataFrame:
-    """(ticker, accession_no, split, risk_factors_by_reference, messages) of filings that have labels.
+def build_outcome(filings: DataFrame, labels: DataFrame, system_prompt: str = SYSTEM_PROMPT) -> DataFrame:
+    """(ticker, accession_no, split, risk_factors_by_reference, messages) of every filing, and what build_counters() counts.
 
-    labels: accession_no, risks array<struct<title, category, summary>>.
+    labels: accession_no, risks array<struct<title, category, summary>>; of several of one filing any counts. The
+    other columns are failed (no labels: such a row is no example), risks, and grounded (whether the excerpt
+    shows each scored figure; null without one).
     """
-    rows = with_grounded(with_excerpt(filings)).join(labels.select("accession_no", F.col("risks").alias("_risks")), "accession_no")
-    target = F.struct(F.col("company_name").alias("company"), "ticker", "fiscal_year", "form_type", "financials", F.col("_risks").alias("risk_factors"))
+    shown = F.struct(*[is_grounded(F.col("excerpt"), F.col(f"financials.{f}")).alias(f) for f in SCORED_FIELDS])
+    rows = with_excerpt(filings).withColumn("grounded", shown)
+    money = F.col("financials")
+    for f in SCORED_FIELDS:
+        money = money.withField(f, F.when(F.col(f"grounded.{f}"), F.col(f"financials.{f}")))
+    known = labels.where("risks is not null").select("accession_no", F.col("risks")).dropDuplicates(["accession_no"])
+    rows = rows.withColumn("financials", money).join(known, "accession_no", "left").withColumn("failed", F.col("risks").isNull())
+    target = F.struct(F.col("company_name").alias("company"), "ticker", "fiscal_year", "form_type", "financials", F.col("risks").alias("risk_factors"))
     turns = F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in (("system", F.lit(system_prompt)), ("user", F.col("excerpt")), ("assistant", F.to_json(target, {"ignoreNullFields": "false"})))])
-    return rows.select("ticker", "accession_no", assign_split(F.col("ticker")).alias("split"), is_by_reference(F.col("risk_factors")).alias("risk_factors_by_reference"), turns.alias("messages"))
+    return rows.select("ticker", "accession_no", assign_split(F.col("ticker")).alias("split"), is_by_reference(F.col("risk_factors")).alias("risk_factors_by_reference"), turns.alias("messages"), "failed", "risks", "grounded")
+
+
+def build_examples(filings: DataFrame, labels: DataFrame, system_prompt: str = SYSTEM_PROMPT) -> DataFrame:
+    """The rows of build_outcome() that are examples."""
+    return build_outcome(filings, labels, system_prompt).where("not failed").drop(*OUTCOME)
+
+
+#: Columns of build_outcome() beside those of an example.
+OUTCOME = ("failed", "risks", "grounded")
+
+
+def build_counters() -> dict[str, Column]:
+    """Counters of build_outcome(): rows, failures, examples by split, filings by reference, grounded figures, risks and their categories."""
+    made = ~F.col("failed")
+    out = {"n": F.count("*"), "failed": F.count_if("failed"), "by_reference": F.count_if("risk_factors_by_reference")}
+    out |= {f"split_{s}": F.count_if(made & (F.col("split") == s)) for s in SPLITS}
+    for f in SCORED_FIELDS:
+        out |= {f"grounded_{f}": F.count_if(F.col(f"grounded.{f}")), f"figures_{f}": F.count(F.col(f"grounded.{f}"))}
+    size = F.when(made, F.size("risks"))
+    out |= {"least_risks": F.min(size), "mean_risks": F.avg(size), "most_risks": F.max(size)}
+    of = lambda c: F.size(F.filter("risks", lambda r: r["category"] == c))
+    return out | {f"category_{c}": F.coalesce(F.sum(F.when(made, of(c))), F.lit(0)) for c in RISK_CATEGORIES}
 
 
 def split_counts(rows: DataFrame, ticker: str) -> DataFrame:

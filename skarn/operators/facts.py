@@ -116,21 +116,36 @@ def refresh_diff(old: DataFrame, new: DataFrame, fields: tuple[str, ...] = SCORE
     return changed.withColumn("failed", F.lit(False)).unionByName(nothing)
 
 
-def refreshed(filings: DataFrame, fresh: DataFrame, fields: tuple[str, ...] = SCORED_FIELDS) -> DataFrame:
+def refresh_outcome(filings: DataFrame, fresh: DataFrame, fields: tuple[str, ...] = SCORED_FIELDS) -> DataFrame:
     """filings with the figures and fact warnings of fresh (accession_no, the fields, fact_warnings); all else stays as it was.
 
     Warnings that aren't about facts are kept, before the new ones. A filing that fresh lacks keeps its
-    figures and warnings. sinks.staged_overwrite() puts the result in the place of the old table.
+    figures and warnings. Two columns tell what happened, for refresh_counters(): changed (the fields whose
+    figure is another one, none if there is no new version) and failed (fresh lacks the filing).
     """
     new = fresh.select("accession_no", F.struct(*fields).alias("_new"), F.col("fact_warnings").alias("_warned"))
     rows = filings.join(new, "accession_no", "left")
-    money = F.col("financials")
+    failed, money, changed = F.col("_new").isNull(), F.col("financials"), []
     for f in fields:
-        money = money.withField(f, F.when(F.col("_new").isNull(), F.col(f"financials.{f}")).otherwise(number_or_null(F.col(f"_new.{f}"))))
+        value = number_or_null(F.col(f"_new.{f}"))
+        changed.append(F.when(~failed & ~value.eqNullSafe(number_or_null(F.col(f"financials.{f}"))), F.lit(f)))
+        money = money.withField(f, F.when(failed, F.col(f"financials.{f}")).otherwise(value))
     none = F.array().cast("array<string>")
     old = F.coalesce("parse_warnings", none)
-    warned = F.when(F.col("_new").isNull(), old).otherwise(F.concat(kept_warnings(old), F.coalesce("_warned", none)))
-    return rows.withColumns({"financials": money, "parse_warnings": warned}).select(*filings.columns)
+    warned = F.when(failed, old).otherwise(F.concat(kept_warnings(old), F.coalesce("_warned", none)))
+    rows = rows.withColumns({"changed": F.array_compact(F.array(*changed)), "failed": failed})
+    return rows.withColumns({"financials": money, "parse_warnings": warned}).select(*filings.columns, "changed", "failed")
+
+
+def refresh_counters(fields: tuple[str, ...] = SCORED_FIELDS) -> dict[str, Column]:
+    """Counters of refresh_outcome(): rows, changed and failed ones, and changes by field."""
+    out = {"n": F.count("*"), "changed": F.count_if(F.size("changed") > 0), "failed": F.count_if("failed")}
+    return out | {f"changed_{f}": F.count_if(F.array_contains("changed", f)) for f in fields}
+
+
+def refreshed(filings: DataFrame, fresh: DataFrame, fields: tuple[str, ...] = SCORED_FIELDS) -> DataFrame:
+    """refresh_outcome() without what happened."""
+    return refresh_outcome(filings, fresh, fields).select(*filings.columns)
 
 
 def kept_warnings(warnings: Column) -> Column:

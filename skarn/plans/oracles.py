@@ -364,6 +364,12 @@ SELECT month, count(*) AS n, sum(days)::BIGINT AS days, min(days) AS least, max(
     "period_columns": """SELECT o_orderkey, '2024-12-31' AS period, 0 AS period_pos, o_totalprice::DOUBLE AS value FROM orders UNION ALL SELECT o_orderkey, '2023-12-31 (FY)', 1, o_custkey::DOUBLE FROM orders""",
     "facts_refresh": """SELECT o_orderkey AS accession_no, o_orderstatus AS business, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE o_totalprice * 2 END AS revenue, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 THEN o_totalprice END AS net_income,
   CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS total_assets, 'USD' AS unit, CASE WHEN o_orderkey % 3 = 0 THEN 'missing_business,xbrl_unavailable: x' ELSE 'missing_business,revenue_from_metrics_fallback' END AS warnings FROM orders""",
+    "refresh_counters": """WITH o AS (SELECT o_orderkey % 3 = 0 AS failed, o_orderkey % 2 = 0 AS even, o_totalprice AS p FROM orders), c AS (
+  SELECT count(*) AS n, sum((NOT failed)::INT) AS changed, sum(failed::INT) AS failed, sum((NOT failed AND p <> 0)::INT) AS revenue, sum((NOT failed AND even)::INT) AS net_income, sum((NOT failed)::INT) AS total_assets FROM o
+)
+SELECT 'n' AS counter, n::BIGINT AS value FROM c UNION ALL SELECT 'changed', changed::BIGINT FROM c UNION ALL SELECT 'failed', failed::BIGINT FROM c UNION ALL SELECT 'changed_revenue', revenue::BIGINT FROM c
+UNION ALL SELECT 'changed_net_income', net_income::BIGINT FROM c UNION ALL SELECT 'changed_total_assets', total_assets::BIGINT FROM c UNION ALL SELECT 'changed_eps_diluted', 0::BIGINT FROM c UNION ALL SELECT 'rows_of_version_2', n::BIGINT FROM c""",
+    "split_write": f"""SELECT {_split("doc_id::VARCHAR")} AS split, doc_id::VARCHAR AS accession_no, source AS ticker, doc_id % 2 = 0 AS risk_factors_by_reference, md5(coalesce(text, 'null')) AS content_md5 FROM documents""",
     "override_check": "SELECT * FROM (VALUES ('-5', 13::BIGINT), ('nobody', 14::BIGINT)) AS v(key, identifier)",
     "grounded_projection": f"""WITH o AS (SELECT o_orderkey, o_totalprice AS v, o_totalprice * 2 AS w, CASE WHEN o_orderkey % 3 = 0 THEN 'total of ' || format('{{:,.2f}}', o_totalprice) ELSE 'nothing here' END AS x FROM orders)
 SELECT o_orderkey, CASE WHEN len(list_filter({_variants("v")}, lambda y: contains(x, y))) > 0 THEN v END AS revenue, CASE WHEN len(list_filter({_variants("w")}, lambda y: contains(x, y))) > 0 THEN w END AS net_income, NULL::DOUBLE AS total_assets FROM o""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from skarn.functions import text as tx
 from skarn.functions.numeric import verdict
 from skarn.functions.validate import validate_target
 from skarn.operators import audit, dataset, encode, facts, matching, resample, sampling, scoring, usage
-from skarn.sources import readers, sinks
+from skarn.sources import readers, sinks, versions
+from skarn.tables import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -200,13 +203,36 @@ def period_columns(spark, d):
     return facts.unpivot_periods(wide, ["o_orderkey"]).select("o_orderkey", "period", "period_pos", F.col("value").try_cast("double").alias("value"))
 
 
-def facts_refresh(spark, d):
+def _refresh(spark, d):
     o = table(spark, d, "orders")
     k, p, none = F.col("o_orderkey"), F.col("o_totalprice"), F.lit(None).cast("double")
     warned = F.array(F.lit("missing_business"), F.lit("xbrl_unavailable: x"))
     old = o.select(k.alias("accession_no"), F.col("o_orderstatus").alias("business"), F.struct(p.alias("revenue"), none.alias("net_income"), p.alias("total_assets"), none.alias("eps_diluted"), F.lit("USD").alias("unit")).alias("financials"), warned.alias("parse_warnings"))
     new = o.where(k % 3 != 0).select(k.alias("accession_no"), (p * 2).alias("revenue"), F.when(k % 2 == 0, p).otherwise(F.lit(float("nan"))).alias("net_income"), none.alias("total_assets"), none.alias("eps_diluted"), F.array(F.lit("revenue_from_metrics_fallback")).alias("fact_warnings"))
-    return facts.refreshed(old, new).select("accession_no", "business", "financials.revenue", "financials.net_income", "financials.total_assets", "financials.unit", F.array_join("parse_warnings", ",").alias("warnings"))
+    return facts.refresh_outcome(old, new)
+
+
+def facts_refresh(spark, d):
+    return _refresh(spark, d).select("accession_no", "business", "financials.revenue", "financials.net_income", "financials.total_assets", "financials.unit", F.array_join("parse_warnings", ",").alias("warnings"))
+
+
+def refresh_counters(spark, d):
+    """What a refresh counts in the pass that writes, and what the version that it commits says of it."""
+    path = f"{shared_dir(spark)}/skarn-refresh-{uuid.uuid4().hex[:16]}"
+    base = versions.write(_refresh(spark, d).limit(0).drop("changed", "failed"), path, None)
+    made = versions.write(_refresh(spark, d), path, base, facts.refresh_counters(), sinks.refuse_failures(True, path), drop=("changed", "failed"))
+    said = spark.createDataFrame([(k, v) for k, v in versions.current(spark, path).counters.items()], "counter string, value long")
+    return said.union(versions.read(spark, path).agg(F.lit("rows_of_version_" + str(made.number)), F.count("*")))
+
+
+def split_write(spark, d):
+    """Examples written as one version of splits, and read again."""
+    path = f"{shared_dir(spark)}/skarn-splits-{uuid.uuid4().hex[:16]}"
+    turns = F.array(F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")))
+    docs = table(spark, d, "documents").select(F.col("source").alias("ticker"), F.col("doc_id").cast("string").alias("accession_no"), tx.assign_split(F.col("doc_id").cast("string")).alias("split"), (F.col("doc_id") % 2 == 0).alias("risk_factors_by_reference"), turns.alias("messages"))
+    sinks.write_splits(docs, path, None)
+    content = F.element_at("messages", -1)["content"]
+    return readers.read_splits(spark, path).select("split", "accession_no", "ticker", "risk_factors_by_reference", F.md5(F.coalesce(content, F.lit("null"))).alias("content_md5"))
 
 
 def override_check(spark, d):
@@ -664,7 +690,7 @@ QUERIES = {
         figure_window, risk_slice, by_reference_flag, category_distribution, risk_list_sizes, theme_modal_share, json_validity, first_object, category_multiset_f1,
         token_dice, greedy_match, match_long_lists, bootstrap_ci, evaluation_ci, paired_gap_ci, cluster_sample, stratified_sample, audit_agreement, audit_confusions, audit_ci, implied_recall,
         stale_rows, note_lint, population_meta, stratum_split_crosstab, render_prompt, encode_truncate_mask, encoding_stats, pad_batches, length_distribution,
-        window_fit, longest_examples, usage_cost, run_stats, cache_keys, statement_cap, latest_filings, section_projection, fact_periods, period_columns, facts_refresh,
+        window_fit, longest_examples, usage_cost, run_stats, cache_keys, statement_cap, latest_filings, section_projection, fact_periods, period_columns, facts_refresh, refresh_counters, split_write,
         override_check, grounded_projection, target_json, labeled_filings, risk_rows, risk_report, prediction_join, prediction_alignment, validity_rates, filing_stats,
         encode_rejects, subset_first, measured_lengths,
     )

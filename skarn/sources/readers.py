@@ -10,24 +10,42 @@ from pyspark.sql import functions as F
 from skarn.functions.text import blank_to_null, digest12, slug
 from skarn.schemas import EXAMPLE_DDL, FILING_DDL, SPLITS
 
+from . import versions
+
 CORRUPT = "_corrupt"
 
 
-def read_filings(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(filings, rejected) of a folder of JSON files, one filing each.
+REQUIRED = ("ticker", "cik", "company_name", "accession_no", "form_type", "financials")
+
+
+def parse_filings(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """A folder of JSON files, one filing each, with the name of the file and the reason why it is rejected (null if it isn't).
 
-    A file that can't be parsed, or lacks a required key, is rejected with its text and name; with
-    strict it ends the read instead.
+    A file that can't be parsed, or lacks a required key, is rejected; with strict it ends the read instead.
+    If just some of its other attributes can't be read, these are null and the row has a warning for each.
     """
     reader = spark.read.schema(FILING_DDL + f", {CORRUPT} string").option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT)
     rows = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").option("pathGlobFilter", "*.json").json(path)
-    rows = rows.withColumn("_file", F.input_file_name())
-    required = [F.col(c).isNotNull() for c in ("ticker", "cik", "company_name", "accession_no", "form_type", "financials")]
-    good = reduce(lambda a, b: a & b, required) & F.col(CORRUPT).isNull()
-    return rows.where(good).drop(CORRUPT, "_file"), rows.where(~good).select(F.col("_file").alias("file"), F.coalesce(F.col(CORRUPT), F.lit("a required key is missing")).alias("reason"))
+    rows = rows.withColumn("file", F.input_file_name())
+    required = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in REQUIRED])
+    # What the file says, each attribute as text: null if it is no JSON object.
+    said = F.from_json(F.col(CORRUPT), "map<string,string>")
+    optional = [c for c in rows.columns if c not in (*REQUIRED, CORRUPT, "file")]
+    failed = [F.when(F.col(c).isNull() & said[c].isNotNull(), F.lit(f"{c}_failed")) for c in optional if c != "parse_warnings"]
+    readable = F.col(CORRUPT).isNull() | (F.size(F.coalesce(F.map_keys(said), F.array())) > 0)
+    warned = F.concat(F.coalesce("parse_warnings", F.array().cast("array<string>")), F.array_compact(F.array(*failed)))
+    rows = rows.withColumn("parse_warnings", F.when(F.col(CORRUPT).isNull(), F.col("parse_warnings")).otherwise(warned))
+    reason = F.when(~readable, F.col(CORRUPT)).when(~required, F.coalesce(CORRUPT, F.lit("a required key is missing")))
+    return rows.withColumn("reason", reason).drop(CORRUPT)
+
+
+def read_filings(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(filings, rejected: file and reason) of parse_filings()."""
+    rows = parse_filings(spark, path, strict)
+    return rows.where("reason is null").drop("file", "reason"), rows.where("reason is not null").select("file", "reason")
 
 
-def read_lines(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], ddl: str) -> DataFrame:
     """JSON lines of a declared schema; blank lines are skipped."""
     return spark.read.schema(ddl).option("mode", "FAILFAST").json(path)
 
@@ -38,7 +56,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_splits(spark: SparkSession, folder: str, splits: tuple[str, ...] = SPLITS, ddl: str = EXAMPLE_DDL) -> DataFrame:
-    """Examples of all splits that are there, with their split."""
+    """Examples of all splits that are there, with their split: the newest version that sinks.write_splits() made, or files <split>.jsonl."""
+    version = versions.current(spark, folder)
+    if version and version.number:
+        return read_lines(spark, version.paths(), ddl + ", split string").where(F.col("split").isin(*splits))
     found = [read_lines(spark, f"{folder}/{s}.jsonl", ddl).withColumn("split", F.lit(s)) for s in splits if path_exists(spark, f"{folder}/{s}.jsonl")]
     if not found:
         return spark.createDataFrame([], ddl + ", split string")

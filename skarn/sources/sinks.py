@@ -8,18 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.schemas import SPLITS
+from skarn.schemas import RISK_CATEGORIES, SCORED_FIELDS, SPLITS
 
+from . import versions
 from .readers import path_exists
-
-
-class RefusedError(RuntimeError):
-    """A write that would lose something."""
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+from .versions import RefusedError, Version, filesystem as _fs
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -67,10 +60,27 @@ def staged_overwrite(rows: DataFrame, path: str, failures: int = 0, allow_partia
         fs.delete(old, True)
 
 
-def write_splits(examples: DataFrame, folder: str) -> None:
-    """JSON lines of each split, as a folder <split>.jsonl; every split is written whole, empty ones too."""
-    for split in SPLITS:
-        examples.where(F.col("split") == split).drop("split").write.mode("overwrite").json(f"{folder}/{split}.jsonl")
+def append_version(rows: DataFrame, path: str, key: str) -> Version:
+    """append_new() into a versioned table: the rows that it lacks, one for each key, become its next version's; counters: n, how many."""
+    spark, base = rows.sparkSession, versions.current(rows.sparkSession, path)
+    fresh = rows.dropDuplicates([key])
+    if base:
+        fresh = new_rows(fresh, versions.read(spark, path, rows.schema, number=base.number or None), key)
+    return versions.write(fresh, path, base, {"n": F.count("*")}, append=True)
+
+
+def refuse_failures(allow_partial: bool, path: str):
+    """A guard for versions.write(): with a counter failed above 0 the table stays, unless partial results are allowed."""
+    return lambda c: f"{c['failed']} rows failed; the table at {path} stays as it is" if c["failed"] and not allow_partial else None
+
+
+def write_splits(examples: DataFrame, folder: str, base: Version | None, counters: dict | None = None, guard=None, drop: tuple[str, ...] = (), where=None) -> Version:
+    """The next version of a set of splits: JSON lines, all splits written by one job and committed at once.
+
+    readers.read_splits() reads them back, a split without examples as an empty one. See versions.write() for
+    counters and guard.
+    """
+    return versions.write(examples, folder, base, counters, guard, kind="json", partition_by="split", drop=drop, where=where)
 
 
 def cache_answers(answers: DataFrame, path: str) -> DataFrame:
@@ -113,5 +123,26 @@ def field_report(rates: DataFrame, title: str, notes: dict[str, str] | None = No
     return "\n".join(lines + [f"{k}: {v}" for k, v in (notes or {}).items()])
 
 
+def refresh_report(counters: dict, fields: tuple[str, ...], dry_run: bool = False) -> str:
+    """What a refresh did, from facts.refresh_counters()."""
+    lines = [f"{counters['changed']} of {counters['n']} filings {'would change' if dry_run else 'changed'}; {counters['failed']} could not be refreshed."]
+    return "\n".join(lines + [f"  {f}: {counters[f'changed_{f}']}" for f in fields if counters[f"changed_{f}"]])
+
+
+def build_report(counters: dict, companies: dict[str, int]) -> str:
+    """What a build made, from dataset.build_counters() and the number of companies of each split."""
+    share = lambda hits, n: f"{hits}/{n} ({percent(hits / n if n else None)})"
+    lines = [f"Filings: {counters['n']}   without labels: {counters['failed']}", "", "Splits:"]
+    lines += [f"  {s}: {counters[f'split_{s}']} examples, {companies.get(s, 0)} companies" for s in SPLITS]
+    lines += ["", "Figures that the excerpt shows:"]
+    lines += [f"  {f}: {share(counters[f'grounded_{f}'], counters[f'figures_{f}'])}" for f in SCORED_FIELDS if counters[f"figures_{f}"]] or ["  no figures"]
+    lines += ["", f"Risks by reference only: {counters['by_reference']} filings"]
+    if counters["mean_risks"] is not None:
+        lines += [f"Risks of a filing: {counters['least_risks']} to {counters['most_risks']}, {counters['mean_risks']:.1f} on average", "", "Categories:"]
+        found = sorted(((-counters[f"category_{c}"], c) for c in RISK_CATEGORIES if counters[f"category_{c}"]))
+        lines += [f"  {c}: {-n}" for n, c in found]
+    return "\n".join(lines)
+
+
 def report_json(report: DataFrame) -> str:
     return json.dumps([r.asDict(recursive=True) for r in report.limit(200).collect()], default=str)

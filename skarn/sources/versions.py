@@ -135,12 +135,13 @@ def write(
     kind: str = "parquet",
     partition_by: str | None = None,
     drop: tuple[str, ...] = (),
+    where: Column | None = None,
 ) -> Version:
     """Commits rows as the version after base: in place of it, or, with append, beside what base has.
 
     base is what current() gave before rows were read. counters are aggregates over rows, taken in the one
-    job that writes them; columns of drop are there for them alone. guard gets their values and may
-    refuse: what it returns is the reason. RefusedError if it does, or if another version came after base;
+    job that writes them: rows that fail where, and columns of drop, are there for them alone. guard gets
+    their values and may refuse: what it returns is the reason. RefusedError if it does, or if another version came after base;
     the table is then as it was, and the new folder is gone.
 
     Counters are observed at the top of the plan, in the tasks that write, so a task that is run again counts once.
@@ -148,6 +149,7 @@ def write(
     spark, folder = rows.sparkSession, f"{DATA}{uuid.uuid4().hex}"
     observed = Observation()
     out = rows.observe(observed, *[c.alias(name) for name, c in counters.items()]) if counters else rows
+    out = out if where is None else out.where(where)
     writer = out.drop(*drop).write.format(kind)
     target = f"{path}/{folder}"
     try:
@@ -166,6 +168,13 @@ def write(
     return Version(path, number, folders, found)
 
 
+def count(rows: DataFrame, counters: dict[str, Column]) -> dict:
+    """The counters of write(), without writing anything."""
+    observed = Observation()
+    rows.observe(observed, *[c.alias(name) for name, c in counters.items()]).write.format("noop").mode("overwrite").save()
+    return dict(observed.get)
+
+
 def vacuum(spark: SparkSession, path: str, keep: int = 2, older_than: float = 7 * 86400.0) -> int:
     """Removes versions but the newest keep ones, and folders that none of these has; returns how many folders.
 

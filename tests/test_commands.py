@@ -9,7 +9,8 @@ from skarn import __main__ as commands
 from skarn.config import load_config
 from skarn.functions.validate import validate_target
 from skarn.operators import encode, facts, scoring
-from skarn.sources import adapters, sinks
+from skarn.schemas import AUDIT_FILING_DDL, AUDIT_RISK_DDL
+from skarn.sources import adapters, readers, sinks, versions
 from tests.test_sources import filing
 
 ANSWER = {"company": "Test Co", "ticker": "T", "form_type": "10-K", "fiscal_year": 2025, "financials": {"revenue": 1000.0}, "risk_factors": []}
@@ -22,32 +23,124 @@ def run(*arguments):
     return a.run(SparkSession.active(), a)
 
 
-def test_from_raw_filings_to_a_report(spark, tmp_path):
-    raw = tmp_path / "raw"
-    raw.mkdir()
-    for k in range(12):
-        (raw / f"{k}.json").write_text(json.dumps(filing(f"a{k}", ticker=f"T{k}", risk_factors="Long enough risks")))
-    (raw / "bad.json").write_text("{nope")
+def raw_filings(folder, n, **more):
+    folder.mkdir()
+    for k in range(n):
+        (folder / f"{k}.json").write_text(json.dumps(filing(f"a{k}", ticker=f"T{k}", risk_factors="Long enough risks", **more)))
+
+
+def test_from_raw_filings_to_every_report(spark, tmp_path):
+    raw_filings(tmp_path / "raw", 12)
+    (tmp_path / "raw" / "bad.json").write_text("{nope")
     table = tmp_path / "filings"
-    assert run("ingest", "--raw", raw, "--out", table).startswith("12 filings")
-    assert run("ingest", "--raw", raw, "--out", table).startswith("12 filings")
-    fresh = spark.createDataFrame([(f"a{k}", 2000.0, None, None, None, ["revenue_from_metrics_fallback"]) for k in range(11)], "accession_no string, revenue double, net_income double, total_assets double, eps_diluted double, fact_warnings array<string>")
+    assert run("ingest", "--raw", tmp_path / "raw", "--out", table).startswith("12 new filings, 12 filings")
+    assert run("ingest", "--raw", tmp_path / "raw", "--out", table).startswith("0 new filings, 12 filings")
+    fresh = spark.createDataFrame([(f"a{k}", 2000.0, 100.0, 5000.0, None, ["revenue_from_metrics_fallback"]) for k in range(11)], "accession_no string, revenue double, net_income double, total_assets double, eps_diluted double, fact_warnings array<string>")
     fresh.write.parquet(str(tmp_path / "fresh"))
     with pytest.raises(sinks.RefusedError):
         run("refresh", "--filings", table, "--facts", tmp_path / "fresh")
-    run("refresh", "--filings", table, "--facts", tmp_path / "fresh", "--allow-partial")
-    got = {r["accession_no"]: r for r in spark.read.parquet(str(table)).collect()}
+    assert versions.read(spark, str(table)).where("financials.revenue = 2000").count() == 0
+    said = "11 of 12 filings {}; 1 could not be refreshed.\n  revenue: 11"
+    assert run("refresh", "--filings", table, "--facts", tmp_path / "fresh", "--dry-run") == said.format("would change")
+    assert run("refresh", "--filings", table, "--facts", tmp_path / "fresh", "--allow-partial") == said.format("changed")
+    got = {r["accession_no"]: r for r in versions.read(spark, str(table)).collect()}
     assert got["a0"].financials.revenue == 2000.0 and got["a11"].financials.revenue == 1000.0 and got["a0"].risk_factors == "Long enough risks"
     assert got["a0"].parse_warnings[-1] == "revenue_from_metrics_fallback" and got["a0"].financials.unit == "USD"
-    spark.createDataFrame([(f"a{k}", []) for k in range(12)], "accession_no string, risks array<struct<title:string,category:string,summary:string>>").write.parquet(str(tmp_path / "labels"))
-    counts = dict(line.split(": ") for line in run("build", "--filings", table, "--labels", tmp_path / "labels", "--out", tmp_path / "sets").split("\n"))
-    assert sum(map(int, counts.values())) == 12 and set(counts) == {"train", "val", "test"}
-    split = max(counts, key=lambda s: int(counts[s]))
-    keys = [r["accession_no"] for r in spark.read.json(str(tmp_path / "sets" / f"{split}.jsonl")).collect()]
-    (tmp_path / "answers.json").write_text("\n".join(json.dumps({"model": "m", "accession_no": k, "prompt_mode": "trained", "raw": json.dumps(ANSWER)}) for k in keys))
-    report = run("evaluate", "--examples", tmp_path / "sets", "--answers", tmp_path / "answers.json", "--split", split, "--out", tmp_path / "report")
-    assert "| ALL |" in report and "strict_valid_rate" in report and "prompt mode: trained" in report
-    assert "Windows" in run("measure", "--examples", tmp_path / "sets", "--windows", "10,100000")
+
+    risk = [("Title of a risk", "cyber", "what may happen"), ("Another one", "legal", "what else may happen")]
+    kind = "accession_no string, risks array<struct<title:string,category:string,summary:string>>"
+    spark.createDataFrame([(f"a{k}", risk[: k % 3] if k else None) for k in range(12)], kind).write.parquet(str(tmp_path / "labels"))
+    sets = tmp_path / "sets"
+    with pytest.raises(sinks.RefusedError):
+        run("build", "--filings", table, "--labels", tmp_path / "labels", "--out", sets)
+    assert versions.current(spark, str(sets)) is None
+    report = run("build", "--filings", table, "--labels", tmp_path / "labels", "--out", sets, "--allow-partial")
+    assert "Filings: 12   without labels: 1" in report and "Risks of a filing: 0 to 2, 1.1 on average" in report and "  cyber: 8" in report and "  legal: 4" in report
+    rows = readers.read_splits(spark, str(sets)).collect()
+    by = {s: [r["accession_no"] for r in rows if r["split"] == s] for s in ("train", "val", "test")}
+    assert len(rows) == 11 and all(f"  {s}: {len(x)} examples, {len(x)} companies" in report for s, x in by.items())
+    assert "  net_income: 0/12 (0.0%)" in report
+
+    split = max(by, key=lambda s: len(by[s]))
+    lines = [{"model": "m", "accession_no": k, "prompt_mode": "trained", "raw": json.dumps(ANSWER), "stop_reason": "end", "input_tokens": 1000, "output_tokens": 100} for k in by[split]]
+    (tmp_path / "answers.json").write_text("\n".join(map(json.dumps, lines)))
+    argv = ["evaluate", "--examples", sets, "--answers", tmp_path / "answers.json", "--split", split, "--out", tmp_path / "report", "--price-in", 2, "--price-out", 10]
+    report = run(*argv)
+    for part in ("| ALL |", "strict_valid_rate", "prompt mode: trained", "macro_match_f1", "micro_category_f1", "truncated", "cost_usd"):
+        assert part in report, part
+    cost = spark.read.json(str(tmp_path / "report" / "run")).first()
+    assert cost["generated"] == len(lines) and abs(cost["cost_usd"] - len(lines) * (1000 * 2 + 100 * 10) / 1e6) < 1e-9
+    assert spark.read.parquet(str(tmp_path / "report" / "filings")).count() == len(lines)
+    lines[0] |= {"raw": "", "status": "failed"}
+    (tmp_path / "answers.json").write_text("\n".join(map(json.dumps, lines)))
+    with pytest.raises(commands.Failed, match="1 answers failed"):
+        run(*argv)
+    assert "Windows" in run("measure", "--examples", sets, "--windows", "10,100000")
+
+    assert f"examples: {len(by[split])}" in run("encode", "--examples", sets, "--split", split, "--out", tmp_path / "batches", "--max-len", 4000, "--size", 4)
+    assert {r["width"] % 8 for r in versions.read(spark, str(tmp_path / "batches")).select("width").collect()} == {0}
+    assert f"rejected: {len(by[split])}" in run("encode", "--examples", sets, "--split", split, "--out", tmp_path / "batches", "--max-len", 8)
+
+
+def test_a_sheet_is_drawn_reviewed_and_scored(spark, tmp_path):
+    raw_filings(tmp_path / "raw", 40)
+    run("ingest", "--raw", tmp_path / "raw", "--out", tmp_path / "filings")
+    kind = "accession_no string, risks array<struct<title:string,category:string,summary:string>>"
+    labels = lambda old: spark.createDataFrame([(f"a{k}", [(f"Risk {i} of {k}", "cyber" if i % 2 else "legal", "changed" if k < old else "s") for i in range(6)]) for k in range(40)], kind)
+    for name, old in (("labels", 0), ("new", 40)):
+        labels(old).write.parquet(str(tmp_path / name))
+    sets, sheet = tmp_path / "sets", tmp_path / "sheet"
+    run("build", "--filings", tmp_path / "filings", "--labels", tmp_path / "labels", "--out", sets)
+    report = run("sample", "--examples", sets, "--out", sheet, "--filings", 10, "--per-filing", 3, "--test-filings", 0)
+    rows = spark.read.schema(AUDIT_RISK_DDL).json(str(sheet / "risks")).collect()
+    assert len(rows) == 30 and len({r["accession_no"] for r in rows}) == 10 and all(r["human_category"] is None for r in rows)
+    assert "| 40 | 240 | 30 |" in report
+    filings = spark.read.schema(AUDIT_FILING_DDL).json(str(sheet / "filings")).collect()
+    assert {(r["n_teacher_risks"], r["n_sampled"], r["missed_risks"]) for r in filings} == {(6, 3, None)}
+    with pytest.raises(sinks.RefusedError):
+        run("sample", "--examples", sets, "--out", sheet)
+    done = [r.asDict() | {"human_category": "cyber", "grounded": True, "summary_ok": i % 2 == 0, "note": ""} for i, r in enumerate(rows)]
+    (tmp_path / "reviewed.json").write_text("\n".join(map(json.dumps, done)))
+    (tmp_path / "read.json").write_text("\n".join(json.dumps(r.asDict() | {"missed_risks": 1}) for r in filings))
+    report = run("audit", "--sheet", tmp_path / "reviewed.json", "--examples", sets, "--read", tmp_path / "read.json")
+    assert "30 of 30 rows are reviewed and count; 0 are stale" in report and "Intervals, random" in report and "anchoring_gap" in report and "85.7%" in report
+    run("build", "--filings", tmp_path / "filings", "--labels", tmp_path / "new", "--out", sets)
+    assert "0 of 30 rows are reviewed and count; 30 are stale" in run("audit", "--sheet", tmp_path / "reviewed.json", "--examples", sets)
+
+
+def test_newest_filings_and_a_broken_section(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for k, (form, date) in enumerate([("10-K", "2023-01-01"), ("10-K", "2024-01-01"), ("10-K/A", "2025-01-01"), ("10-K", "2022-01-01")]):
+        (raw / f"{k}.json").write_text(json.dumps(filing(f"a{k}", form_type=form, filing_date=date)))
+    (raw / "odd.json").write_text(json.dumps(filing("odd", ticker="ODD", fiscal_year="in two years", filing_date="2020-01-01", period_of_report="2021-12-31")))
+    assert run("ingest", "--raw", raw, "--out", tmp_path / "t", "--newest", 2).startswith("3 new filings")
+    got = {r["accession_no"]: r for r in versions.read(spark, str(tmp_path / "t")).collect()}
+    assert set(got) == {"a0", "a1", "odd"} and "fiscal_year_failed" in got["odd"].parse_warnings and got["odd"].ticker == "ODD" and got["odd"].fiscal_year == 2021
+    assert "fiscal_year_failed" not in got["a0"].parse_warnings
+
+
+def labeler():
+    def label(text):
+        if "unlucky" in text:
+            raise adapters.RowError
+        return [{"title": text[:5], "category": "legal", "summary": text}]
+
+    return label
+
+
+def test_labels_are_made_once(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw_filings(raw, 5)
+    (raw / "x.json").write_text(json.dumps(filing("x", ticker="X", risk_factors="unlucky")))
+    run("ingest", "--raw", raw, "--out", tmp_path / "t")
+    argv = ["build", "--filings", tmp_path / "t", "--labeler", "tests.test_commands:labeler", "--cache", tmp_path / "cache", "--out", tmp_path / "sets"]
+    with pytest.raises(sinks.RefusedError, match="1 rows failed"):
+        run(*argv)
+    cache = versions.read(spark, str(tmp_path / "cache"))
+    assert cache.count() == 5 and versions.current(spark, str(tmp_path / "cache")).counters == {"n": 5}
+    assert "legal: 5" in run(*argv, "--allow-partial")
+    assert versions.current(spark, str(tmp_path / "cache")).counters == {"n": 0} and versions.read(spark, str(tmp_path / "cache")).count() == 5
 
 
 def test_settings(tmp_path):
