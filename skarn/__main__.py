@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skarn.operators import audit, dataset, encode, facts, resample, scoring, usage
 from skarn.schemas import AUDIT_FILING_DDL, AUDIT_RISK_DDL, PREDICTION_DDL, SCORED_FIELDS, SPLITS, STRATA
-from skarn.sources import adapters, readers, sinks, versions
+from skarn.sources import adapters, filing_source, readers, sinks, versions
 from skarn.tables import discard, materialize
 
 
@@ -20,10 +20,17 @@ class Failed(RuntimeError):
 
 
 def ingest(spark: SparkSession, a: argparse.Namespace) -> str:
-    """Raw filings of a folder into a table, those not there yet; files that can't be read are logged."""
-    read = materialize(readers.parse_filings(spark, a.raw), "raw")  # the files are read once
+    """Raw filings of a folder, or of a service, into a table, those not there yet; what can't be read is logged."""
+    if not a.raw and not (a.service and a.tickers):
+        raise ValueError("--raw, or --service with --tickers, says where filings come from")
+    # Files are read, or a service is asked, once.
+    if a.raw:
+        read = materialize(readers.parse_filings(spark, a.raw), "raw")
+    else:
+        found = filing_source.read_service(spark, a.service, a.tickers, [a.form], a.newest, perSecond=a.per_second)
+        read = materialize(found.withColumn("file", F.col("ticker")), "raw")
     good = readers.parse_sections(encode.subset(read.where("reason is null").drop("file", "reason"), ["accession_no"], a.limit, a.tickers))
-    if a.newest:
+    if a.newest and a.raw:
         good = facts.latest_filings(good, "ticker", "filing_date", "accession_no", a.newest, a.form).drop("rank")
     made = sinks.append_version(good, a.out, "accession_no")
     bad = read.where("reason is not null").select(F.col("file").alias("ticker"), "reason")
@@ -31,7 +38,7 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> str:
     if failed:
         sinks.log_failures(bad, f"{a.out}.failed")
     discard(read)
-    return f"{made.counters['n']} new filings, {versions.read(spark, a.out).count()} filings at {a.out}; {failed} files could not be read"
+    return f"{made.counters['n']} new filings, {versions.read(spark, a.out).count()} filings at {a.out}; {failed} could not be read"
 
 
 def refresh(spark: SparkSession, a: argparse.Namespace) -> str:
@@ -183,7 +190,10 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{n}", required=True)
         return p
 
-    p = add(ingest, "ingest", "raw", "out")
+    p = add(ingest, "ingest", "out")
+    p.add_argument("--raw", help="a folder of JSON files")
+    p.add_argument("--service", help="package.module:function that makes a filing service")
+    p.add_argument("--per-second", type=float, help="calls a second for each company's task")
     p.add_argument("--newest", type=int, help="only so many newest filings of each company")
     p.add_argument("--form", default="10-K")
     q = add(build, "build", "filings", "out")

@@ -7,8 +7,11 @@ that row, and only an error of the permanent kind ends the job.
 from __future__ import annotations
 
 import json
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -72,44 +75,132 @@ def with_retry(call: Callable, tries: int = 3, first_wait: float = 1.5, permanen
             sleep(first_wait * 2**k)
 
 
-def predict(rows: DataFrame, make: Callable[[], Predictor], key: str = "accession_no", text: str = "excerpt", tries: int = 3, first_wait: float = 1.5) -> DataFrame:
-    """(key, raw, stop_reason, input_tokens, output_tokens, status): an answer for each row, '' if it failed.
+class BusyError(Exception):
+    """The service wants to be left alone for a while: wait seconds."""
+
+    def __init__(self, wait: float = 1.0):
+        super().__init__(f"busy for {wait} s")
+        self.wait = wait
+
+
+class Pace:
+    """Calls at even distances: per_second at most, by whichever threads; None doesn't wait."""
+
+    def __init__(self, per_second: float | None, clock=time.monotonic, sleep=time.sleep):
+        self.gap = 1.0 / per_second if per_second else 0.0
+        self.next, self.lock, self.clock, self.sleep = 0.0, threading.Lock(), clock, sleep
+
+    def wait(self) -> None:
+        if not self.gap:
+            return
+        with self.lock:
+            at = max(self.next, self.clock())
+            self.next = at + self.gap
+        if (left := at - self.clock()) > 0:
+            self.sleep(left)
 
-    Calls are tried again (see with_retry()) unless the row or the service is said not to be served; what
-    fails every time ends the job.
+    def pause(self, seconds: float) -> None:
+        """Nobody calls for so long."""
+        with self.lock:
+            self.next = max(self.next, self.clock() + seconds)
+
+
+def in_order(call: Callable, items, concurrent: int, pace: Pace, tries: int = 3, first_wait: float = 1.5, sleep=time.sleep):
+    """(item, result or RowError) of each item in order, with as many calls at once as concurrent allows.
+
+    Each try waits for its turn by pace. RowError isn't tried again; after BusyError everybody pauses for the
+    time it names; UnavailableError ends it at once: no further call is begun. Anything else is tried again
+    after first_wait * 2^k seconds, and ends it if it fails every time.
+    """
+    stopped = threading.Event()
+
+    def once(item):
+        for k in range(tries):
+            if stopped.is_set():
+                raise UnavailableError("stopped")
+            pace.wait()
+            try:
+                return call(item)
+            except RowError as e:
+                return e
+            except UnavailableError:
+                stopped.set()
+                raise
+            except BusyError as e:
+                if k == tries - 1:
+                    raise
+                pace.pause(e.wait)
+                if not pace.gap:
+                    sleep(e.wait)
+            except Exception:
+                if k == tries - 1:
+                    raise
+                sleep(first_wait * 2**k)
+
+    with ThreadPoolExecutor(concurrent) as pool:
+        waiting: deque = deque()
+        try:
+            for item in items:
+                waiting.append((item, pool.submit(once, item)))
+                # What is under way has a bound, however many items there are.
+                while len(waiting) >= 2 * concurrent:
+                    done, future = waiting.popleft()
+                    yield done, future.result()
+            while waiting:
+                done, future = waiting.popleft()
+                yield done, future.result()
+        finally:
+            stopped.set()
+            for _, future in waiting:
+                future.cancel()
+
+
+def _calls(rows: DataFrame, make: Callable, of: str, key: str, text: str, schema: str, outcome: Callable, tries: int, first_wait: float, concurrent: int, per_second: float | None, tasks: int | None) -> DataFrame:
+    """A call for each row: outcome(result or RowError) gives the columns after key.
+
+    With per_second, rows are dealt to so many tasks (1 if tasks is not given) and each has its share of the
+    rate, so together they never exceed it, whatever number of them runs at once.
     """
+    if per_second and not tasks:
+        tasks = 1
+    share = per_second / tasks if per_second else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
+        served, pace = make(), Pace(share)
+        ask = getattr(served, of) if of else served
         for frame in frames:
-            out = []
-            for k, t in zip(frame[key], frame[text]):
-                try:
-                    p = with_retry(lambda t=t: model.predict(t), tries, first_wait, (RowError, UnavailableError))
-                    out.append((k, p["raw"], p.get("stop_reason"), p.get("input_tokens"), p.get("output_tokens"), "generated"))
-                except RowError:
-                    out.append((k, "", None, None, None, "failed"))
-            result = pd.DataFrame(out, columns=[key, "raw", "stop_reason", "input_tokens", "output_tokens", "status"])
-            yield result.astype({"input_tokens": "Int64", "output_tokens": "Int64"})
+            found = in_order(lambda kt: ask(kt[1]), zip(frame[key], frame[text]), concurrent, pace, tries, first_wait)
+            yield outcome([(k, result) for (k, _), result in found])
 
-    return rows.select(key, text).mapInPandas(run, f"{key} string, raw string, stop_reason string, input_tokens long, output_tokens long, status string")
+    dealt = rows.select(key, text)
+    return (dealt.repartition(tasks) if tasks else dealt).mapInPandas(run, schema)
 
 
-def label(rows: DataFrame, make: Callable[[], Callable[[str], list[dict]]], key: str = "accession_no", text: str = "risk_text", tries: int = 3, first_wait: float = 1.5) -> DataFrame:
-    """(key, risks, status): labels of each row's text; a row whose labeler fails has null risks. Calls are tried again as in predict()."""
+def predict(rows: DataFrame, make: Callable[[], Predictor], key: str = "accession_no", text: str = "excerpt", tries: int = 3, first_wait: float = 1.5, concurrent: int = 1, per_second: float | None = None, tasks: int | None = None) -> DataFrame:
+    """(key, raw, stop_reason, input_tokens, output_tokens, status): an answer for each row, '' if it failed.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labeler = make()
-        for frame in frames:
-            out = []
-            for k, t in zip(frame[key], frame[text]):
-                try:
-                    out.append((k, with_retry(lambda t=t: labeler(t), tries, first_wait, (RowError, UnavailableError)), "generated"))
-                except RowError:
-                    out.append((k, None, "failed"))
-            yield pd.DataFrame(out, columns=[key, "risks", "status"])
-
-    return rows.select(key, text).mapInPandas(run, f"{key} string, risks array<struct<title:string,category:string,summary:string>>, status string")
+    Calls are tried again (see in_order()) unless the row or the service is said not to be served; what
+    fails every time ends the job. A task has concurrent calls under way, and per_second bounds the calls of
+    all tasks together (see _calls()).
+    """
+
+    def outcome(found):
+        out = [(k, "", None, None, None, "failed") if isinstance(p, RowError) else (k, p["raw"], p.get("stop_reason"), p.get("input_tokens"), p.get("output_tokens"), "generated") for k, p in found]
+        result = pd.DataFrame(out, columns=[key, "raw", "stop_reason", "input_tokens", "output_tokens", "status"])
+        return result.astype({"input_tokens": "Int64", "output_tokens": "Int64"})
+
+    schema = f"{key} string, raw string, stop_reason string, input_tokens long, output_tokens long, status string"
+    return _calls(rows, make, "predict", key, text, schema, outcome, tries, first_wait, concurrent, per_second, tasks)
+
+
+def label(rows: DataFrame, make: Callable[[], Callable[[str], list[dict]]], key: str = "accession_no", text: str = "risk_text", tries: int = 3, first_wait: float = 1.5, concurrent: int = 1, per_second: float | None = None, tasks: int | None = None) -> DataFrame:
+    """(key, risks, status): labels of each row's text; a row whose labeler fails has null risks. Calls are made as in predict()."""
+
+    def outcome(found):
+        return pd.DataFrame([(k, None, "failed") if isinstance(p, RowError) else (k, p, "generated") for k, p in found], columns=[key, "risks", "status"])
+
+    schema = f"{key} string, risks array<struct<title:string,category:string,summary:string>>, status string"
+    return _calls(rows, make, "", key, text, schema, outcome, tries, first_wait, concurrent, per_second, tasks)
 
 
 def token_ids(rows: DataFrame, make: Callable[[], Callable[[str], list[int]]], text: str, into: str = "ids") -> DataFrame:
