@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skarn.functions.canonical import python_json
 from skarn.functions.numeric import ratio
 from skarn.functions.text import assign_split, excerpt, is_by_reference, is_grounded
 from skarn.schemas import RISK_CATEGORIES, SCORED_FIELDS, SPLITS
@@ -51,7 +52,9 @@ def build_outcome(filings: DataFrame, labels: DataFrame, system_prompt: str = SY
     known = labels.where("risks is not null").select("accession_no", F.col("risks")).dropDuplicates(["accession_no"])
     rows = rows.withColumn("financials", money).join(known, "accession_no", "left").withColumn("failed", F.col("risks").isNull())
     target = F.struct(F.col("company_name").alias("company"), "ticker", "fiscal_year", "form_type", "financials", F.col("risks").alias("risk_factors"))
-    turns = F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in (("system", F.lit(system_prompt)), ("user", F.col("excerpt")), ("assistant", F.to_json(target, {"ignoreNullFields": "false"})))])
+    # Its type is that of these columns, whatever more or less than the declared one they have.
+    rows = rows.withColumn("target", target)
+    turns = F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in (("system", F.lit(system_prompt)), ("user", F.col("excerpt")), ("assistant", python_json(F.col("target"), rows.schema["target"].dataType, 2, ascii_only=False)))])
     return rows.select("ticker", "accession_no", assign_split(F.col("ticker")).alias("split"), is_by_reference(F.col("risk_factors")).alias("risk_factors_by_reference"), turns.alias("messages"), "failed", "risks", "grounded")
 
 

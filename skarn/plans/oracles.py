@@ -370,12 +370,20 @@ SELECT month, count(*) AS n, sum(days)::BIGINT AS days, min(days) AS least, max(
 SELECT 'n' AS counter, n::BIGINT AS value FROM c UNION ALL SELECT 'changed', changed::BIGINT FROM c UNION ALL SELECT 'failed', failed::BIGINT FROM c UNION ALL SELECT 'changed_revenue', revenue::BIGINT FROM c
 UNION ALL SELECT 'changed_net_income', net_income::BIGINT FROM c UNION ALL SELECT 'changed_total_assets', total_assets::BIGINT FROM c UNION ALL SELECT 'changed_eps_diluted', 0::BIGINT FROM c UNION ALL SELECT 'rows_of_version_2', n::BIGINT FROM c""",
     "split_write": f"""SELECT {_split("doc_id::VARCHAR")} AS split, doc_id::VARCHAR AS accession_no, source AS ticker, doc_id % 2 = 0 AS risk_factors_by_reference, md5(coalesce(text, 'null')) AS content_md5 FROM documents""",
+    "json_forms": r"""WITH l AS (
+  SELECT *, l_extendedprice::VARCHAR AS price, CASE WHEN l_linenumber <> 3 THEN l_discount::VARCHAR ELSE 'null' END AS rate FROM lineitem
+)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  '{"flags": ["' || l_linestatus || '"], "note": "say \"' || l_returnflag || '\u00e9\\\n", "part": ' || l_partkey || ', "price": ' || price || ', "rate": ' || rate || '}' AS in_line,
+  md5('{' || chr(10) || '  "price": ' || price || ',' || chr(10) || '  "part": ' || l_partkey || ',' || chr(10) || '  "note": "say \"' || l_returnflag || 'é\\\n",' || chr(10) || '  "rate": ' || rate || ',' || chr(10)
+    || '  "flags": [' || chr(10) || '    "' || l_linestatus || '"' || chr(10) || '  ]' || chr(10) || '}') AS indented_md5
+FROM l""",
     "override_check": "SELECT * FROM (VALUES ('-5', 13::BIGINT), ('nobody', 14::BIGINT)) AS v(key, identifier)",
     "grounded_projection": f"""WITH o AS (SELECT o_orderkey, o_totalprice AS v, o_totalprice * 2 AS w, CASE WHEN o_orderkey % 3 = 0 THEN 'total of ' || format('{{:,.2f}}', o_totalprice) ELSE 'nothing here' END AS x FROM orders)
 SELECT o_orderkey, CASE WHEN len(list_filter({_variants("v")}, lambda y: contains(x, y))) > 0 THEN v END AS revenue, CASE WHEN len(list_filter({_variants("w")}, lambda y: contains(x, y))) > 0 THEN w END AS net_income, NULL::DOUBLE AS total_assets FROM o""",
     "target_json": f"""SELECT doc_id::VARCHAR AS accession_no, {_split("lang")} AS split, 3 AS turns, source AS company, (2020 + doc_id % 5)::VARCHAR AS year, CASE WHEN doc_id % 2 = 0 THEN source END AS title,
   CASE WHEN doc_id % 2 = 0 THEN 'a "quoted" line' END AS summary, true AS keeps_nulls FROM documents WHERE doc_id % 5 <> 0""",
-    "labeled_filings": f"SELECT source AS ticker, doc_id::VARCHAR AS accession_no, {_split('source')} AS split, (doc_id % 4)::INT AS n_risks FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 4 <> 0",
+    "labeled_filings": f"SELECT source AS ticker, doc_id::VARCHAR AS accession_no, {_split('source')} AS split, (doc_id % 4)::INT AS n_risks, substr(sha256('[' || array_to_string(list_transform(range(doc_id % 4), lambda i: '{{\"category\": \"legal\", \"summary\": \"' || source || '\", \"title\": \"t\"}}'), ', ') || ']'), 1, 12) AS risk_digest FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 4 <> 0",
     "risk_rows": """SELECT l_orderkey AS accession_no, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) - 1)::INT AS risk_index, 'risk ' || l_partkey AS title, l_returnflag AS category, l_linestatus AS summary, o_orderstatus
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 2 = 0""",
     "risk_report": _GREEDY

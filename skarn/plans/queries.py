@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions import text as tx
+from skarn.functions.canonical import python_json
 from skarn.functions.numeric import verdict
 from skarn.functions.validate import validate_target
 from skarn.operators import audit, dataset, encode, facts, matching, resample, sampling, scoring, usage
@@ -271,7 +272,16 @@ def target_json(spark, d):
     labels = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("accession_no"), risks.alias("risks"))
     target = F.element_at("messages", -1)["content"]
     found = dataset.build_examples(docs, labels)
-    return found.select("accession_no", "split", F.size("messages").alias("turns"), *[F.get_json_object(target, f"$.{p}").alias(n) for n, p in (("company", "company"), ("year", "fiscal_year"), ("title", "risk_factors[0].title"), ("summary", "risk_factors[0].summary"))], F.contains(target, F.lit('"revenue":null')).alias("keeps_nulls"))
+    return found.select("accession_no", "split", F.size("messages").alias("turns"), *[F.get_json_object(target, f"$.{p}").alias(n) for n, p in (("company", "company"), ("year", "fiscal_year"), ("title", "risk_factors[0].title"), ("summary", "risk_factors[0].summary"))], F.contains(target, F.lit('"revenue": null')).alias("keeps_nulls"))
+
+
+def json_forms(spark, d):
+    """Lines of orders as JSON, with sorted keys and with indents."""
+    li = table(spark, d, "lineitem")
+    kind = "struct<price:double,part:bigint,note:string,rate:double,flags:array<string>>"
+    row = F.struct(F.col("l_extendedprice").alias("price"), F.col("l_partkey").alias("part"), F.concat(F.lit('say "'), F.col("l_returnflag"), F.lit("\u00e9\\\n")).alias("note"), F.when(F.col("l_linenumber") != 3, F.col("l_discount")).alias("rate"), F.array("l_linestatus").alias("flags"))
+    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", row.cast(kind).alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", python_json(F.col("v"), kind, sort_keys=True).alias("in_line"), F.md5(python_json(F.col("v"), kind, 2, ascii_only=False)).alias("indented_md5"))
 
 
 def labeled_filings(spark, d):
@@ -280,7 +290,7 @@ def labeled_filings(spark, d):
     risks = F.array_join(F.array_repeat(risk, (k % 4).cast("int")), ", ")
     message = F.concat(F.lit('{"company": "c", "risk_factors": ['), risks, F.lit("]}"))
     rows = docs.select(F.col("source").alias("ticker"), k.cast("string").alias("accession_no"), (k % 5 == 0).alias("risk_factors_by_reference"), tx.assign_split(F.col("source")).alias("split"), F.array(F.struct(F.lit("assistant").alias("role"), message.alias("content"))).alias("messages"))
-    return readers.labeled_filings(rows).select("ticker", "accession_no", "split", "n_risks")
+    return readers.labeled_filings(rows).select("ticker", "accession_no", "split", "n_risks", "risk_digest")
 
 
 def risk_rows(spark, d):
@@ -690,7 +700,7 @@ QUERIES = {
         figure_window, risk_slice, by_reference_flag, category_distribution, risk_list_sizes, theme_modal_share, json_validity, first_object, category_multiset_f1,
         token_dice, greedy_match, match_long_lists, bootstrap_ci, evaluation_ci, paired_gap_ci, cluster_sample, stratified_sample, audit_agreement, audit_confusions, audit_ci, implied_recall,
         stale_rows, note_lint, population_meta, stratum_split_crosstab, render_prompt, encode_truncate_mask, encoding_stats, pad_batches, length_distribution,
-        window_fit, longest_examples, usage_cost, run_stats, cache_keys, statement_cap, latest_filings, section_projection, fact_periods, period_columns, facts_refresh, refresh_counters, split_write,
+        window_fit, longest_examples, usage_cost, run_stats, cache_keys, statement_cap, latest_filings, section_projection, fact_periods, period_columns, facts_refresh, refresh_counters, split_write, json_forms,
         override_check, grounded_projection, target_json, labeled_filings, risk_rows, risk_report, prediction_join, prediction_alignment, validity_rates, filing_stats,
         encode_rejects, subset_first, measured_lengths,
     )

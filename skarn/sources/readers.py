@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.functions.canonical import python_json
 from skarn.functions.text import blank_to_null, digest12, slug
-from skarn.schemas import EXAMPLE_DDL, FILING_DDL, SPLITS
+from skarn.schemas import EXAMPLE_DDL, FILING_DDL, RISK_DDL, SPLITS
 
 from . import versions
 
@@ -68,10 +69,11 @@ def read_splits(spark: SparkSession, folder: str, splits: tuple[str, ...] = SPLI
 
 def labeled_filings(examples: DataFrame) -> DataFrame:
     """(ticker, accession_no, split, risks, n_risks, risk_digest) of examples with risks of their own, by accession_no."""
-    target = F.from_json(F.element_at("messages", -1)["content"], "struct<risk_factors:array<struct<title:string,category:string,summary:string>>>")
+    kind = f"array<{RISK_DDL}>"
+    target = F.from_json(F.element_at("messages", -1)["content"], f"struct<risk_factors:{kind}>")
     rows = examples.where(~F.coalesce(F.col("risk_factors_by_reference"), F.lit(False))).withColumn("risks", target["risk_factors"])
-    rows = rows.where(F.size(F.coalesce("risks", F.array().cast("array<struct<title:string,category:string,summary:string>>"))) > 0)
-    return rows.select("ticker", "accession_no", "split", "risks", F.size("risks").alias("n_risks"), digest12(F.to_json("risks")).alias("risk_digest")).orderBy("accession_no")
+    rows = rows.where(F.size(F.coalesce("risks", F.array().cast(kind))) > 0)
+    return rows.select("ticker", "accession_no", "split", "risks", F.size("risks").alias("n_risks"), digest12(python_json(F.col("risks"), kind, sort_keys=True)).alias("risk_digest")).orderBy("accession_no")
 
 
 def parse_sections(raw: DataFrame) -> DataFrame:
