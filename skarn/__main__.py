@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skarn.operators import audit, dataset, encode, facts, resample, scoring, usage
 from skarn.schemas import AUDIT_FILING_DDL, AUDIT_RISK_DDL, PREDICTION_DDL, SCORED_FIELDS, SPLITS, STRATA
-from skarn.sources import adapters, filing_source, readers, sinks, versions
+from skarn.sources import adapters, cache, filing_source, readers, sinks, versions
 from skarn.tables import discard, materialize
 
 
@@ -67,11 +67,9 @@ def labels_of(spark: SparkSession, filings: DataFrame, a: argparse.Namespace) ->
         return filings.select("accession_no", F.array().cast(kind).alias("risks"))
     rows = filings.select("accession_no", F.coalesce("risk_factors", F.lit("")).alias("risk_text"), F.lit(a.labeler).alias("labeler"), F.lit("").alias("prompt"))
     keyed = readers.cache_keys(rows, "labeler", "accession_no", "prompt", "risk_text")
-    cached = versions.read(spark, a.cache) if versions.current(spark, a.cache) else spark.createDataFrame([], "cache_key string, raw string")
-    missing = readers.read_through(keyed, cached).where("not cache_hit")
-    found = adapters.label(missing, made_by(a.labeler), key="cache_key", text="risk_text").where("risks is not null")
-    sinks.append_version(found.select("cache_key", F.to_json("risks").alias("raw")), a.cache, "cache_key")
-    known = readers.read_through(keyed, versions.read(spark, a.cache)).where("cache_hit")
+    found = adapters.label(cache.look_up(keyed, a.cache).where("not cache_hit"), made_by(a.labeler), key="cache_key", text="risk_text", concurrent=a.concurrent, per_second=a.per_second)
+    cache.add_answers(found.select("cache_key", F.to_json("risks").alias("raw")), a.cache)
+    known = cache.look_up(keyed, a.cache).where("cache_hit")
     return known.select("accession_no", F.from_json("raw", kind).alias("risks"))
 
 
@@ -199,7 +197,9 @@ def parser() -> argparse.ArgumentParser:
     q = add(build, "build", "filings", "out")
     q.add_argument("--labels", help="a table (accession_no, risks)")
     q.add_argument("--labeler", help="package.module:function that makes a labeler")
-    q.add_argument("--cache", help="the labeler's cache, a table")
+    q.add_argument("--cache", help="the folder of the labeler's cache")
+    q.add_argument("--concurrent", type=int, default=1, help="calls of the labeler at once")
+    q.add_argument("--per-second", type=float, help="calls of the labeler a second, of all tasks")
     for each in (p, q):
         each.add_argument("--limit", type=int)
         each.add_argument("--tickers", type=lambda x: x.split(","))

@@ -370,6 +370,9 @@ SELECT month, count(*) AS n, sum(days)::BIGINT AS days, min(days) AS least, max(
 SELECT 'n' AS counter, n::BIGINT AS value FROM c UNION ALL SELECT 'changed', changed::BIGINT FROM c UNION ALL SELECT 'failed', failed::BIGINT FROM c UNION ALL SELECT 'changed_revenue', revenue::BIGINT FROM c
 UNION ALL SELECT 'changed_net_income', net_income::BIGINT FROM c UNION ALL SELECT 'changed_total_assets', total_assets::BIGINT FROM c UNION ALL SELECT 'changed_eps_diluted', 0::BIGINT FROM c UNION ALL SELECT 'rows_of_version_2', n::BIGINT FROM c""",
     "split_write": f"""SELECT {_split("doc_id::VARCHAR")} AS split, doc_id::VARCHAR AS accession_no, source AS ticker, doc_id % 2 = 0 AS risk_factors_by_reference, md5(coalesce(text, 'null')) AS content_md5 FROM documents""",
+    "cache_lookup": """SELECT doc_id, 'M-1/' || doc_id || '_' || substr(sha256('p' || coalesce(text, '')), 1, 12) AS cache_key,
+  CASE WHEN doc_id % 3 <> 1 AND doc_id % 7 <> 0 THEN 'answer ' || doc_id END AS raw, doc_id % 3 <> 1 AND doc_id % 7 <> 0 AS cache_hit FROM documents""",
+    "tokenized": """SELECT doc_id, length(coalesce(text, ''))::INT AS n_ids, coalesce(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)), 0)::BIGINT AS sum_ids FROM documents""",
     "json_forms": r"""WITH l AS (
   SELECT *, l_extendedprice::VARCHAR AS price, CASE WHEN l_linenumber <> 3 THEN l_discount::VARCHAR ELSE 'null' END AS rate FROM lineitem
 )

@@ -12,7 +12,7 @@ from skarn.functions.canonical import python_json
 from skarn.functions.numeric import verdict
 from skarn.functions.validate import validate_target
 from skarn.operators import audit, dataset, encode, facts, matching, resample, sampling, scoring, usage
-from skarn.sources import readers, sinks, versions
+from skarn.sources import adapters, cache, readers, sinks, versions
 from skarn.tables import shared_dir
 
 
@@ -275,6 +275,25 @@ def target_json(spark, d):
     return found.select("accession_no", "split", F.size("messages").alias("turns"), *[F.get_json_object(target, f"$.{p}").alias(n) for n, p in (("company", "company"), ("year", "fiscal_year"), ("title", "risk_factors[0].title"), ("summary", "risk_factors[0].summary"))], F.contains(target, F.lit('"revenue": null')).alias("keeps_nulls"))
 
 
+def cache_lookup(spark, d):
+    """Answers for two thirds of the documents go to a cache in two appends that overlap; all documents are looked up."""
+    path = f"{shared_dir(spark)}/skarn-cache-{uuid.uuid4().hex[:16]}"
+    k = F.col("doc_id")
+    docs = readers.cache_keys(table(spark, d, "documents").select("doc_id", F.lit("M/1").alias("model"), k.cast("string").alias("accession_no"), F.lit("p").alias("prompt"), F.coalesce("text", F.lit("")).alias("text")), "model", "accession_no", "prompt", "text")
+    answers = docs.select("cache_key", F.when(k % 7 != 0, F.concat(F.lit("answer "), k.cast("string"))).alias("raw"), "doc_id")
+    for part in (k % 3 == 0, k % 3 != 1):
+        cache.add_answers(answers.where(part), path, buckets=8)
+    return cache.look_up(docs, path).select("doc_id", "cache_key", "raw", "cache_hit")
+
+
+def tokenized(spark, d):
+    """Token ids by an adapter: here the code points of whole texts."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    ids = adapters.token_ids(docs, lambda: lambda t: [ord(c) for c in t], "text")
+    weighted = F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x)
+    return ids.select("doc_id", F.size("ids").alias("n_ids"), weighted.alias("sum_ids"))
+
+
 def json_forms(spark, d):
     """Lines of orders as JSON, with sorted keys and with indents."""
     li = table(spark, d, "lineitem")
@@ -700,7 +719,7 @@ QUERIES = {
         figure_window, risk_slice, by_reference_flag, category_distribution, risk_list_sizes, theme_modal_share, json_validity, first_object, category_multiset_f1,
         token_dice, greedy_match, match_long_lists, bootstrap_ci, evaluation_ci, paired_gap_ci, cluster_sample, stratified_sample, audit_agreement, audit_confusions, audit_ci, implied_recall,
         stale_rows, note_lint, population_meta, stratum_split_crosstab, render_prompt, encode_truncate_mask, encoding_stats, pad_batches, length_distribution,
-        window_fit, longest_examples, usage_cost, run_stats, cache_keys, statement_cap, latest_filings, section_projection, fact_periods, period_columns, facts_refresh, refresh_counters, split_write, json_forms,
+        window_fit, longest_examples, usage_cost, run_stats, cache_keys, statement_cap, latest_filings, section_projection, fact_periods, period_columns, facts_refresh, refresh_counters, split_write, json_forms, cache_lookup, tokenized,
         override_check, grounded_projection, target_json, labeled_filings, risk_rows, risk_report, prediction_join, prediction_alignment, validity_rates, filing_stats,
         encode_rejects, subset_first, measured_lengths,
     )

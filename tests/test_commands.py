@@ -1,6 +1,8 @@
 """Commands, settings and what guards writes."""
 
 import json
+import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from skarn.config import load_config
 from skarn.functions.validate import validate_target
 from skarn.operators import encode, facts, scoring
 from skarn.schemas import AUDIT_FILING_DDL, AUDIT_RISK_DDL
-from skarn.sources import adapters, readers, sinks, versions
+from skarn.sources import adapters, cache, readers, sinks, versions
 from tests.test_sources import filing
 
 ANSWER = {"company": "Test Co", "ticker": "T", "form_type": "10-K", "fiscal_year": 2025, "financials": {"revenue": 1000.0}, "risk_factors": []}
@@ -120,8 +122,13 @@ def test_newest_filings_and_a_broken_section(spark, tmp_path):
     assert "fiscal_year_failed" not in got["a0"].parse_warnings
 
 
+LABELED = Path(tempfile.gettempdir()) / "skarn-test-labeled"
+
+
 def labeler():
     def label(text):
+        with LABELED.open("a") as f:
+            f.write(text + "\n")
         if "unlucky" in text:
             raise adapters.RowError
         return [{"title": text[:5], "category": "legal", "summary": text}]
@@ -137,10 +144,10 @@ def test_labels_are_made_once(spark, tmp_path):
     argv = ["build", "--filings", tmp_path / "t", "--labeler", "tests.test_commands:labeler", "--cache", tmp_path / "cache", "--out", tmp_path / "sets"]
     with pytest.raises(sinks.RefusedError, match="1 rows failed"):
         run(*argv)
-    cache = versions.read(spark, str(tmp_path / "cache"))
-    assert cache.count() == 5 and versions.current(spark, str(tmp_path / "cache")).counters == {"n": 5}
-    assert "legal: 5" in run(*argv, "--allow-partial")
-    assert versions.current(spark, str(tmp_path / "cache")).counters == {"n": 0} and versions.read(spark, str(tmp_path / "cache")).count() == 5
+    assert cache.read_cache(spark, str(tmp_path / "cache")).count() == 5
+    LABELED.unlink()
+    assert "legal: 5" in run(*argv, "--allow-partial", "--concurrent", 2)
+    assert cache.read_cache(spark, str(tmp_path / "cache")).count() == 5 and set(LABELED.read_text().split()) == {"unlucky"}
 
 
 def test_settings(tmp_path):
