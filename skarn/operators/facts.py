@@ -42,7 +42,7 @@ def select_facts(facts: DataFrame, priority: DataFrame, tie_break: list[str], pe
     if periods is not None:
         rows = rows.join(periods.select("accession_no", "period_of_report"), "accession_no", "left")
         rows = rows.where(F.col("period_of_report").isNull() | (F.col("period") == F.col("period_of_report")))
-    rows = rows.join(F.broadcast(priority), "concept")  # a few alternatives for each of a few fields
+    rows = rows.join(priority, "concept")
     preferred = F.coalesce(F.col("statement_type").isin(*PREFERRED_STATEMENTS), F.lit(False))
     best = Window.partitionBy("accession_no", "field").orderBy("concept_rank", preferred.desc(), F.desc("duration_days"), *tie_break)
     rows = rows.withColumn("nth", F.row_number().over(best)).where("nth = 1")
@@ -99,7 +99,7 @@ def unknown_overrides(overrides: DataFrame, universe: DataFrame, company: str =
 def with_override(rows: DataFrame, key: str, overrides: DataFrame, into: str) -> DataFrame:
     """rows with the identifier that overrides (key, identifier) has for key, else key itself."""
     o = overrides.select(F.col("key").alias(key), F.col("identifier").cast("string").alias("_o"))
-    return rows.join(F.broadcast(o), key, "left").withColumn(into, F.coalesce("_o", F.col(key).cast("string"))).drop("_o")  # a few lines
+    return rows.join(o, key, "left").withColumn(into, F.coalesce("_o", F.col(key).cast("string"))).drop("_o")
 
 
 def refresh_diff(old: DataFrame, new: DataFrame, fields: tuple[str, ...] = SCORED_FIELDS) -> DataFrame:

@@ -17,7 +17,7 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """
     names = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
     sums = usage.groupBy("model").agg(F.count("*").alias("calls"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in names])
-    out = sums.join(F.broadcast(prices), "model", "left")  # a line for each model
+    out = sums.join(prices, "model", "left")
     billable = F.col("input_tokens") + F.col("cache_read_tokens") * CACHE_READ + F.col("cache_creation_tokens") * CACHE_WRITE
     return out.withColumn("cost_usd", (billable * F.col("in_rate") + F.col("output_tokens") * F.col("out_rate")) / 1e6).drop("in_rate", "out_rate")
 

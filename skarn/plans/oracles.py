@@ -185,7 +185,7 @@ SELECT count(DISTINCT source) AS companies, count(*) AS filings, (SELECT count(*
     "split_freshness": f"""SELECT {_split("c_name")} AS split, count(*) AS filings, count(DISTINCT c_name) AS companies, round(avg((year(o_orderdate) >= 1999)::INT), 6) AS share_fresh
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
     "latest_n_per_company": """SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INT AS rank
-FROM orders WHERE o_orderstatus <> 'P') WHERE rank <= 2""",
+FROM orders) WHERE rank <= 2""",
     "fact_selection": _SELECTED + "SELECT accession_no, concept, value FROM selected",
     "fact_fallback_eps": _SELECTED
     + """, shares AS (SELECT l_orderkey AS k, sum(l_quantity) AS q FROM lineitem GROUP BY 1
@@ -235,7 +235,7 @@ SELECT doc_id, length(x)::INT AS n_chars, md5(x) AS slice_md5 FROM s""",
 ), f AS (
   SELECT doc_id, source, coalesce(length(t) > 0 AND length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) <= 1500
     AND (contains(lower(t), 'incorporated') OR contains(lower(t), 'by reference') OR contains(lower(t), 'can be found')), false) AS flag FROM d)
-SELECT source, count(*) AS n, sum(flag::INT)::BIGINT AS flagged, coalesce(string_agg(lpad(doc_id::VARCHAR, 12, '0'), ',' ORDER BY lpad(doc_id::VARCHAR, 12, '0')) FILTER (WHERE flag), '') AS docs FROM f GROUP BY source""",
+SELECT source, doc_id FROM f WHERE flag""",
     "category_distribution": "SELECT event_type AS category, count(*) AS n FROM events GROUP BY 1",
     "risk_list_sizes": "SELECT min(n) AS least, round(avg(n), 6) AS mean, max(n) AS most FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)",
     "theme_modal_share": """WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2

@@ -66,8 +66,7 @@ def split_freshness(spark, d):
 
 
 def latest_n_per_company(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus <> 'P'")
-    return facts.latest_n(o, "o_custkey", "o_orderdate", "o_orderkey", 2).select("o_custkey", "o_orderkey", "rank")
+    return facts.latest_n(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", 2).select("o_custkey", "o_orderkey", "rank")
 
 
 def _order_facts(spark, d):
@@ -362,7 +361,7 @@ def by_reference_flag(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
     k = F.col("doc_id") % 7
     told = F.when(k == 0, F.concat(F.lit("  "), F.col("text"), F.lit(" is Incorporated herein  "))).when(k == 1, F.concat(F.col("text"), F.lit(" CAN BE FOUND there"))).when(k == 2, F.lit(None).cast("string")).otherwise(F.col("text"))
-    return docs.withColumn("flag", tx.is_by_reference(told)).groupBy("source").agg(F.count("*").alias("n"), F.count_if("flag").alias("flagged"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("flag"), F.lpad(F.col("doc_id").cast("string"), 12, "0")))), ",").alias("docs"))
+    return docs.withColumn("flag", tx.is_by_reference(told)).where("flag").select("source", "doc_id")
 
 
 def category_distribution(spark, d):
