@@ -4,12 +4,14 @@ Centroids are fitted on a bounded sample, with a price on full clusters so that
 Every vector goes to the list of its nearest centroid and, near a boundary, to several. Centroids are
 searched by a graph of neighbours in memory. A query reads the lists whose centroids are at most
 `ratio` times as far as the nearest one; how far that must reach for the recall asked for is measured
-on the sample, up to all lists where vectors need them. Lists are joined with queries by list, and scores are exact.
+on the sample, up to all lists where vectors need them, as is the number of lists that a vector goes to: as many
+as make the fewest comparisons. Lists are joined with queries by list, and scores are exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 from dataclasses import dataclass
 
@@ -22,15 +24,16 @@ from pyspark.sql.types import FloatType
 
 from .common import materialize, select_as, small_batches
 
+_log = logging.getLogger(__name__)
 #: Vectors of a list on average, most lists, sample for the fit: rows, and rows for each list.
 LIST_SIZE, MOST_LISTS, FIT_ROWS, FIT_PER_LIST = 100, 8192, 20_000, 16
 #: Lists that every query reads, however near its nearest centroid is.
 LEAST_LISTS = 8
 #: Lists that a vector goes to at most; how much farther than the nearest such a list may be.
 COPIES, BOUNDARY = 4, 1.3
-#: Graph neighbours of a centroid, centroids that a search for a vector's lists holds, centroids from which on
-#: all are ranked rather than searched, recall that the sample must reach.
-DEGREE, BEAM, RANK_FROM, RECALL = 24, 64, 256, 0.98
+#: Graph neighbours of a centroid, centroids that a search for a vector's lists holds, centroids that a step of a
+#: search opens, recall that the sample must reach, and recall below which there is no result.
+DEGREE, BEAM, OPENED, RECALL, LEAST_RECALL = 24, 64, 16, 0.98, 0.9
 #: Queries that recall is measured with; one in so many rows of the sample is kept out of the fit for that.
 MEASURED, HELD_OUT = 400, 4
 #: Vectors of a slice of a list: longer lists are read by several tasks. Bytes of vectors that a task holds.
@@ -67,53 +70,56 @@ class Index:
     entries: np.ndarray
     lists: int = 1
     ratio: float = 1.0
+    copies: int = COPIES
+    #: Measured on vectors kept out of the fit: share of true neighbours found, and comparisons of a query for each vector.
+    recall: float = 1.0
+    work: float = 1.0
 
     def nearest(self, x: np.ndarray, held: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances) of the held nearest for each row of x (unit length): few by the graph, many by ranking all."""
-        held = min(held, len(self.centroids))
-        find = self._walk if held < RANK_FROM else self._rank
-        out = [find(x[a : a + 512].astype(np.float32), held) for a in range(0, len(x), 512)]
+        """(centroids, distances) of the held nearest for each row of x (unit length), found by the graph."""
+        # A search that held fewer than BEAM would end where no neighbour is nearer.
+        held, beam = (min(h, len(self.centroids)) for h in (held, max(held, BEAM)))
+        out = [self._walk(x[a : a + 512].astype(np.float32), beam) for a in range(0, len(x), 512)]
         if not out:
             return np.zeros((0, held), np.int64), np.zeros((0, held))
-        ids, sims = (np.concatenate(p) for p in zip(*out))
+        ids, sims = (np.concatenate(p)[:, :held] for p in zip(*out))
         return ids, np.sqrt(np.maximum(0, 2 - 2 * sims))
 
-    def _rank(self, x: np.ndarray, held: int):
-        sims = x @ self.centroids.T
-        ids = np.argsort(-sims, axis=1, kind="stable")[:, :held]
-        return ids, np.take_along_axis(sims, ids, axis=1)
-
     def _walk(self, x: np.ndarray, held: int):
+        """Opens the nearest centroids that aren't opened yet, OPENED at once, until the held nearest known ones all are."""
         n, k = len(x), len(self.centroids)
         rows = np.arange(n)[:, None]
-        seen = np.zeros((n, k), bool)
-        ids = np.tile(self.entries, (n, 1))
-        seen[:, self.entries] = True
-        sims = x @ self.centroids[self.entries].T
-        done = np.zeros(ids.shape, bool)
+        sims, opened = np.full((n, k), -np.inf, np.float32), np.zeros((n, k), bool)
+        sims[:, self.entries] = x @ self.centroids[self.entries].T
         while True:
-            keep = np.argsort(-sims, axis=1, kind="stable")[:, :held]
-            ids, sims, done = ids[rows, keep], sims[rows, keep], done[rows, keep]
-            at = np.argmin(done, axis=1)  # the nearest that isn't opened yet
-            if done[rows[:, 0], at].all():
-                if ids.shape[1] >= held:
-                    return ids, sims
-                # The graph has parts that the entries don't lead to: go on from any unseen centroid.
-                rest = np.argmin(seen, axis=1)
-                new = rest[:, None]
+            near = np.argpartition(-sims, held - 1, axis=1)[:, :held]
+            found = sims[rows, near]
+            open_to = np.where(opened[rows, near] | np.isinf(found), -np.inf, found)
+            at = np.argpartition(-open_to, min(OPENED, held) - 1, axis=1)[:, :OPENED]
+            go = np.isfinite(open_to[rows, at])
+            if not go.any():
+                short = np.isinf(found).any(axis=1)
+                if not short.any():
+                    order = np.argsort(-found, axis=1, kind="stable")
+                    return near[rows, order], found[rows, order]
+                # The graph has parts that the entries don't lead to: go on from unseen centroids.
+                some = np.argsort(sims, axis=1, kind="stable")[:, :OPENED]
+                go = np.isinf(sims[rows, some]) & short[:, None]
+                new = some
             else:
-                new = self.graph[ids[rows[:, 0], at]]
-                done[rows[:, 0], at] = True
-            fresh = ~seen[rows, new]
-            seen[rows, new] = True
-            s = np.where(fresh, np.einsum("ijk,ik->ij", self.centroids[new], x), -np.inf).astype(np.float32)
-            ids, sims, done = np.hstack([ids, new]), np.hstack([sims, s]), np.hstack([done, ~fresh])
+                ids = near[rows, at]
+                opened[rows, ids] |= go
+                new = self.graph[ids].reshape(n, -1)
+                go = np.repeat(go, self.graph.shape[1], axis=1)
+            # Centroids that are known already, or are met twice, get the value that they have.
+            value = np.einsum("ijk,ik->ij", self.centroids[new], x)
+            sims[rows, new] = np.where(go | np.isfinite(sims[rows, new]), value, -np.inf)
 
     def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
         """Lists that each vector is kept in."""
         ids, d = self.nearest(x, BEAM)
-        near = d[:, :COPIES] <= BOUNDARY * d[:, :1] + 1e-6
-        return [i[: COPIES][ok] for i, ok in zip(ids, near)]
+        near = d[:, : self.copies] <= BOUNDARY * d[:, :1] + 1e-6
+        return [i[: self.copies][ok] for i, ok in zip(ids, near)]
 
     def lists_for(self, x: np.ndarray) -> list[np.ndarray]:
         """Lists that each query reads."""
@@ -149,23 +155,41 @@ def fit(sample: np.ndarray, n: int, recall: float = RECALL) -> Index:
     s = held[queries] @ held.T
     s[queries, queries] = -2
     top = np.argsort(-s, axis=1, kind="stable")[:, : min(5, len(held) - 1)]
-    kept = dict(zip(np.unique(top).tolist(), index.lists_of(held[np.unique(top)])))
-    ids, sims = index._rank(held[queries], k)
-    d = np.sqrt(np.maximum(0, 2 - 2 * sims))
+    sims = held[queries] @ c.T
+    ids = np.argsort(-sims, axis=1, kind="stable")
+    d = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, ids, axis=1)))
     place = np.zeros((len(queries), k), np.int64)
     np.put_along_axis(place, ids, np.arange(k)[None, :], axis=1)
-    need = np.array([[min(place[i, j] for j in kept[int(t)]) for t in row] for i, row in enumerate(top)])
+    wanted, best = np.unique(top), None
+    for copies in sorted({1, 2, COPIES}):
+        index.copies = copies
+        lists = index.lists_of(held[wanted])
+        kept, replicas = dict(zip(wanted.tolist(), lists)), np.mean([len(x) for x in lists])
+        need = np.array([[min(place[i, j] for j in kept[int(t)]) for t in row] for i, row in enumerate(top)])
+        found = _reach(need, d, k, recall)
+        read = np.maximum((d[:, : found[0]] <= found[1] * d[:, :1] + 1e-6).sum(axis=1), min(LEAST_LISTS, k))
+        work = float(read.mean() / k * replicas)
+        # Replicas are worth a tenth of the work: they make up for boundaries that the sample doesn't show.
+        if best is None or work <= 1.1 * best[0]:
+            best = work, copies, found, float((need < read[:, None]).mean())
+    index.work, index.copies, (index.lists, index.ratio), index.recall = best
+    if index.recall < min(LEAST_RECALL, recall):
+        raise RuntimeError(f"recall is {index.recall:.3f} on vectors kept out of the fit; more rows in the sample (fit_rows) may mend that")
+    return index
+
+
+def _reach(need: np.ndarray, d: np.ndarray, k: int, recall: float) -> tuple[int, float]:
+    """(lists, ratio) that queries with distances d to all lists must reach, if their neighbours need so many lists."""
     # Enough lists, and far enough, for half the loss that the recall allows, as the sample is a sample.
     goal = (1 + recall) / 2
-    lists = int(np.quantile(need, goal, method="higher")) + 1
-    index.lists = min(k, math.ceil(lists * 1.2) + 2)
-    far = d[:, index.lists - 1] / np.maximum(d[:, 0], 1e-6)
+    lists = min(k, math.ceil((int(np.quantile(need, goal, method="higher")) + 1) * 1.2) + 2)
+    far = d[:, lists - 1] / np.maximum(d[:, 0], 1e-6)
     for share in (0.9, 0.95, 1.0):  # the least reach at which what queries read reaches the goal
-        index.ratio = float(np.quantile(far, share))
-        read = np.maximum((d[:, : index.lists] <= index.ratio * d[:, :1] + 1e-6).sum(axis=1), LEAST_LISTS)
+        ratio = float(np.quantile(far, share))
+        read = np.maximum((d[:, :lists] <= ratio * d[:, :1] + 1e-6).sum(axis=1), LEAST_LISTS)
         if (need < read[:, None]).mean() >= goal:
             break
-    return index
+    return lists, ratio
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -303,7 +327,9 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, fit_rows: int =
     Rows with a null vec_id, and vectors that are null, zero, of another length than most, or with null or non-finite
     components take no part. Rows with the same vec_id count as one, the query's own id is no candidate.
     fit_rows bounds the sample that centroids are fitted on (more if lists need it: FIT_PER_LIST rows
-    each, of FIT_BYTES bytes at most); every vector is indexed. Too few rows give what there is; an empty table gives an empty result.
+    each, of FIT_BYTES bytes at most); every vector is indexed. Recall is measured on a part of the sample that is kept
+    out of the fit, and logged; RuntimeError if it is under LEAST_RECALL. Vectors of so many dimensions that
+    FIT_BYTES holds few of them get fewer lists. Too few rows give what there is; an empty table gives an empty result.
     """
     spark = embeddings.sparkSession
     small_batches(spark)
@@ -325,7 +351,9 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, fit_rows: int =
     if not sample:
         sample = parsed.select("v").limit(1).collect()
     x = _unit(_vectors((r["v"] for r in sample), dim, kind))
-    index = spark.sparkContext.broadcast(fit(x, n, recall))  # MOST_LISTS centroids at most
+    index = fit(x, n, recall)
+    _log.info("nearest: %d lists, %d copies at most, recall %.3f and %.3f comparisons a vector, measured on vectors kept out of the fit", len(index.centroids), index.copies, index.recall, index.work)
+    index = spark.sparkContext.broadcast(index)  # MOST_LISTS centroids at most
 
     # Of equal vectors only the first k + 1 by id can be among the k nearest of any query.
     firsts = parsed.groupBy("key", "vec_id").agg(F.first("v").alias("v"))

@@ -79,3 +79,44 @@ def test_lists_read_follow_the_need():
     kept = dict(zip(np.unique(top).tolist(), index.lists_of(x[np.unique(top)])))
     read = index.lists_for(x[q])
     assert np.mean([bool(np.isin(kept[int(t)], r).any()) for r, row in zip(read, top) for t in row]) >= 0.99
+
+
+def test_what_a_fit_measures_holds_for_other_vectors():
+    """Recall and work that fit() tells, against brute force on vectors that it hasn't seen, with and without clusters."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((300, 32))
+    for name, x in (("clusters", centres[rng.integers(0, 300, 14_000)] + 0.3 * rng.standard_normal((14_000, 32))), ("none", rng.standard_normal((14_000, 32)))):
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        index = ann.fit(x[:8000], 30_000)
+        rest, q = x[8000:], x[8000:8150]
+        s = q @ rest.T
+        s[np.arange(150), np.arange(150)] = -2
+        top = np.argsort(-s, axis=1)[:, :5]
+        kept = index.lists_of(rest)
+        read = index.lists_for(q)
+        found = np.mean([bool(np.isin(kept[t], r).any()) for r, row in zip(read, top) for t in row])
+        work = np.mean([len(r) for r in read]) / len(index.centroids) * np.mean([len(k) for k in kept])
+        assert found >= 0.95 and abs(found - index.recall) < 0.03, name
+        assert work < 1.05 and abs(work - index.work) < 0.2, name
+        if name == "clusters":
+            assert index.copies > 1 and work < 0.1
+
+
+def test_a_search_by_the_graph_finds_what_ranking_all_finds():
+    x = np.random.default_rng(10).standard_normal((6000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.fit(x, 40_000)
+    for held in (1, 5, 64, 300, len(index.centroids)):
+        ids, d = index.nearest(x[:100], held)
+        want = np.sort(2 - 2 * x[:100] @ index.centroids.T, axis=1)[:, :held]
+        assert ids.shape == (100, held) and (np.diff(d, axis=1) >= 0).all()
+        assert np.mean(abs(d**2 - want) < 1e-4) > 0.98
+
+
+def test_recall_that_is_too_low_is_an_error(monkeypatch):
+    x = np.random.default_rng(11).standard_normal((5000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(ann, "_reach", lambda *a: (1, 1.0))
+    monkeypatch.setattr(ann, "LEAST_LISTS", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        ann.fit(x, 50_000)
