@@ -31,9 +31,9 @@ LIST_SIZE, MOST_LISTS, FIT_ROWS, FIT_PER_LIST = 100, 8192, 20_000, 16
 LEAST_LISTS = 8
 #: Lists that a vector goes to at most; how much farther than the nearest such a list may be.
 COPIES, BOUNDARY = 4, 1.3
-#: Graph neighbours of a centroid, centroids that a search for a vector's lists holds, centroids that a step of a
-#: search opens, recall that the sample must reach, and recall below which there is no result.
-DEGREE, BEAM, OPENED, RECALL, LEAST_RECALL = 24, 64, 16, 0.98, 0.9
+#: Graph neighbours of a centroid, centroids that a search for a vector's lists holds, the part of those held that a
+#: step of a search opens, recall that the sample must reach, and recall below which there is no result.
+DEGREE, BEAM, OPENED, RECALL, LEAST_RECALL = 24, 64, 32, 0.98, 0.9
 #: Queries that recall is measured with; one in so many rows of the sample is kept out of the fit for that.
 MEASURED, HELD_OUT = 400, 4
 #: Vectors of a slice of a list: longer lists are read by several tasks. Bytes of vectors that a task holds.
@@ -86,34 +86,41 @@ class Index:
         return ids, np.sqrt(np.maximum(0, 2 - 2 * sims))
 
     def _walk(self, x: np.ndarray, held: int):
-        """Opens the nearest centroids that aren't opened yet, OPENED at once, until the held nearest known ones all are."""
-        n, k = len(x), len(self.centroids)
+        """Opens the nearest centroids that aren't opened yet, some at once, until the held nearest known ones all are."""
+        n, k, some = len(x), len(self.centroids), max(2, held // OPENED)
         rows = np.arange(n)[:, None]
-        sims, opened = np.full((n, k), -np.inf, np.float32), np.zeros((n, k), bool)
-        sims[:, self.entries] = x @ self.centroids[self.entries].T
+        seen, mark = np.zeros((n, k), bool), np.zeros((n, k), np.int32)
+        ids = np.tile(self.entries, (n, 1))
+        seen[:, self.entries] = True
+        sims = x @ self.centroids[self.entries].T
+        done = np.zeros(ids.shape, bool)
         while True:
-            near = np.argpartition(-sims, held - 1, axis=1)[:, :held]
-            found = sims[rows, near]
-            open_to = np.where(opened[rows, near] | np.isinf(found), -np.inf, found)
-            at = np.argpartition(-open_to, min(OPENED, held) - 1, axis=1)[:, :OPENED]
+            if ids.shape[1] > held:
+                keep = np.argpartition(-sims, held - 1, axis=1)[:, :held]
+                ids, sims, done = ids[rows, keep], sims[rows, keep], done[rows, keep]
+            open_to = np.where(done, -np.inf, sims)
+            at = np.argpartition(-open_to, min(some, ids.shape[1]) - 1, axis=1)[:, :some]
             go = np.isfinite(open_to[rows, at])
-            if not go.any():
-                short = np.isinf(found).any(axis=1)
-                if not short.any():
-                    order = np.argsort(-found, axis=1, kind="stable")
-                    return near[rows, order], found[rows, order]
-                # The graph has parts that the entries don't lead to: go on from unseen centroids.
-                some = np.argsort(sims, axis=1, kind="stable")[:, :OPENED]
-                go = np.isinf(sims[rows, some]) & short[:, None]
-                new = some
-            else:
-                ids = near[rows, at]
-                opened[rows, ids] |= go
-                new = self.graph[ids].reshape(n, -1)
+            if go.any():
+                done[rows, at] |= go
+                new = self.graph[ids[rows, at]].reshape(n, -1)
                 go = np.repeat(go, self.graph.shape[1], axis=1)
-            # Centroids that are known already, or are met twice, get the value that they have.
-            value = np.einsum("ijk,ik->ij", self.centroids[new], x)
-            sims[rows, new] = np.where(go | np.isfinite(sims[rows, new]), value, -np.inf)
+            elif ids.shape[1] >= held and np.isfinite(sims).all():
+                order = np.argsort(-sims, axis=1, kind="stable")
+                return ids[rows, order], sims[rows, order]
+            else:
+                # The graph has parts that the entries don't lead to: go on from unseen centroids.
+                new = np.argsort(seen, axis=1, kind="stable")[:, :some]
+                go = np.ones(new.shape, bool)
+            r, c = np.nonzero(go & ~seen[rows, new])
+            mark[r, new[r, c]] = c
+            once = mark[r, new[r, c]] == c  # of those that are met twice in this step the last
+            r, c = r[once], c[once]
+            to = new[r, c]
+            seen[r, to] = True
+            s = np.full(new.shape, -np.inf, np.float32)
+            s[r, c] = (self.centroids[to] * x[r]).sum(axis=1)
+            ids, sims, done = np.hstack([ids, new]), np.hstack([sims, s]), np.hstack([done, np.isinf(s)])
 
     def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
         """Lists that each vector is kept in."""
