@@ -5,12 +5,16 @@ path. A bidirectional LSTM in numpy reads, for every block in turn, the mean of
 path's tags and classes, the mean of learned vectors of its hashed words, and a few shapes (length,
 share of link text, case, punctuation). From both directions' states, which carry the whole page, each
 block is classified as main text or not. It is trained here, on pages made from a grammar of layouts
-with invented words, so that labels are known by construction.
+with invented words, so that labels are known by construction; the package holds the weights.
 """
 
 from __future__ import annotations
 
 import html
+import io
+import pathlib
+import pkgutil
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,7 +39,7 @@ SAME_ENDS = frozenset("li dt dd tr td th option p".split())
 #: Buckets of tag and word vectors, their sizes, units of each direction, and other inputs of a block.
 TAG_BUCKETS, WORD_BUCKETS, TAG_DIM, WORD_DIM, UNITS, SHAPES = 1 << 10, 1 << 12, 16, 8, 16, 8
 #: Training: pages, rounds over them, pages of a step. Pages of a batch and blocks of a batch when labelling.
-TRAIN_PAGES, ROUNDS, STEP_PAGES, BATCH_PAGES = 1500, 4, 20, 256
+TRAIN_PAGES, ROUNDS, STEP_PAGES, BATCH_PAGES = 4000, 5, 40, 256
 
 #: Quotes hold a ">" only as an attribute's value; a stray one does not.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
@@ -329,20 +333,23 @@ class Labeller:
 
 # Training pages: a grammar of layouts.
 
-_CONTENT = "article main content post entry story body text page".split()
+_CONTENT = "article main content post entry story body text page question thread topic recipe document message inner".split()
+_OUTER = "wrap wrapper container page layout site app root row col grid outer main".split()
 _OTHER = {
-    "nav": ["nav", "menu", "navbar", "breadcrumb", "topnav", "links", "pager"],
-    "header": ["header", "masthead", "banner", "top", "logo", "site"],
+    "nav": ["nav", "menu", "navbar", "breadcrumb", "topnav", "links", "pager", "tabs", "toc", "sidebar"],
+    "header": ["header", "masthead", "banner", "top", "topbar", "logo", "site"],
     "footer": ["footer", "bottom", "copyright", "legal", "colophon"],
     "aside": ["sidebar", "aside", "related", "widget", "rail", "more", "tags"],
     "ad": ["ad", "ads", "advert", "advertisement", "sponsor", "promo", "sponsored"],
     "notice": ["notice", "cookie", "consent", "alert", "gdpr", "popup", "newsletter", "subscribe", "modal"],
-    "comments": ["comments", "comment", "replies", "disqus", "respond", "discussion"],
+    "comments": ["comments", "comment", "replies", "disqus", "respond", "discussion", "answers", "reply"],
     "form": ["form", "search", "login", "signup", "contact"],
-    "share": ["share", "social", "byline", "meta", "author", "date", "follow"],
+    "share": ["share", "social", "byline", "meta", "author", "date", "follow", "user", "votes"],
 }
+#: Kinds that may stand under names that mean nothing, as their shape and place tell them.
+_UNNAMED = {"nav": 0.45, "header": 0.45, "footer": 0.45, "aside": 0.3, "share": 0.2, "form": 0.2, "ad": 0.1, "notice": 0.1, "comments": 0.05}
 _SAID = {
-    "nav": "home about contact news products help login next previous".split(),
+    "nav": "home about contact news products help login next previous index".split(),
     "header": "welcome official site search menu".split(),
     "footer": "copyright © · | all rights reserved privacy policy terms imprint 2021 2024 contact".split(),
     "aside": "related articles popular posts read more tags archive recent".split(),
@@ -352,94 +359,160 @@ _SAID = {
     "form": "email name submit search password send your".split(),
     "share": "share tweet facebook posted by on follow print".split(),
 }
+_SYLLABLES = ["ka", "to", "le", "in", "er", "the", "st", "ou", "é", "ü", "mi", "ra", "ción", "sch", "on"]
 
 
 class _Pages:
     """Makes pages as lists of (html, is main text) pieces."""
 
     def __init__(self, seed: int):
-        self.rng = np.random.default_rng(seed)
+        self.rng = random.Random(seed)
 
     def pick(self, items):
-        return items[int(self.rng.integers(0, len(items)))]
+        return items[int(self.rng.random() * len(items))]
 
     def chance(self, p: float) -> bool:
-        return bool(self.rng.random() < p)
+        return self.rng.random() < p
+
+    def count(self, low: int, high: int) -> int:
+        return low + int(self.rng.random() * (high + 1 - low))
 
     def word(self) -> str:
-        w = "".join(self.pick(["ka", "to", "le", "in", "er", "the", "st", "ou", "é", "ü", "mi", "ra", "ción", "sch", "on"]) for _ in range(int(self.rng.integers(1, 5))))
+        w = "".join(self.pick(_SYLLABLES) for _ in range(self.count(1, 4)))
         if self.chance(0.1):
             w += self.pick(["***", "###", "!!", "%%%", ",", ";"])
         return w.upper() if self.chance(0.05) else w
 
     def say(self, low: int, high: int, from_: list[str] | None = None) -> str:
-        n = int(self.rng.integers(low, high + 1))
+        n = self.count(low, high)
         out = " ".join(self.pick(from_) if from_ and self.chance(0.35) else self.word() for _ in range(n))
         return out[:1].upper() + out[1:] + (self.pick([".", ".", "", "!"]) if n > 3 else "")
 
+    def nonsense(self) -> str:
+        """A class name that says nothing: of another language, or made by a tool."""
+        return "".join(self.pick("abcdefghijklmnopqrstuvwxyz") for _ in range(self.count(2, 8)))
+
+    def boxed(self, inner: list[tuple[str, int]], names: list[str], tags: tuple[str, ...] = ("div",)) -> list[tuple[str, int]]:
+        """inner in an element with a name, a meaningless one, or none."""
+        tag, how = self.pick(tags), self.rng.random()
+        name = self.pick(names) if how < 0.55 else self.nonsense()
+        attr = f' {self.pick(["class", "id"])}="{name}"' if how < 0.85 else ""
+        return [(f"<{tag}{attr}>", -1), *inner, (f"</{tag}>", -1)]
+
     def wrapped(self, kind: str, inner: list[tuple[str, int]]) -> list[tuple[str, int]]:
         own = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
+        if self.chance(_UNNAMED[kind]):
+            tag = self.pick(["div", "div", "section", "table"])
+            attr = f' {self.pick(["class", "id"])}="{self.nonsense()}"' if self.chance(0.8) else ""
+            inner = [("<tr><td>", -1), *inner, ("</td></tr>", -1)] if tag == "table" else inner
+            return [(f"<{tag}{attr}>", -1), *inner, (f"</{tag}>", -1)]
         tag = own if own and self.chance(0.6) else self.pick(["div", "section", "div", "ul" if kind == "nav" else "div"])
-        names = self.pick(_OTHER[kind]) + (" " + self.pick(["box", "inner", "wrap", "block"]) if self.chance(0.4) else "")
+        names = self.pick(_OTHER[kind]) + (" " + self.pick(["box", "inner", "wrap", "block", *_OTHER[kind]]) if self.chance(0.4) else "")
         attr = f' {self.pick(["class", "id", "class"])}="{names}"' if tag != own or self.chance(0.5) else ""
         return [(f"<{tag}{attr}>", -1), *inner, (f"</{tag}>", -1)]
 
     def other(self, kind: str) -> list[tuple[str, int]]:
         said, out = _SAID[kind], []
-        n = {"nav": (3, 9), "footer": (1, 4), "comments": (1, 6), "aside": (2, 6)}.get(kind, (1, 3))
-        for _ in range(int(self.rng.integers(*n)) + 1):
+        if kind in ("nav", "header", "footer") and self.chance(0.3):  # links in one run
+            text = self.pick([" ", " | ", "<br>", ""]).join(f'<a href="/{self.word()}">{self.say(1, 3, said)}</a>' for _ in range(self.count(1, 6)))
+            return self.wrapped(kind, [(f"<p>{text}</p>" if self.chance(0.5) else text, 0)])
+        n = {"nav": (3, 8), "footer": (1, 3), "comments": (1, 5), "aside": (2, 5)}.get(kind, (1, 2))
+        for _ in range(self.count(*n) + 1):
             long_ = kind == "comments" or (kind in ("aside", "notice", "ad", "footer") and self.chance(0.4))
             text = self.say(4, 40, said) if long_ else self.say(1, 5, said)
-            if kind == "nav" or (kind in ("aside", "footer", "share") and self.chance(0.6)):
+            if kind == "nav" or (kind in ("aside", "footer", "share", "header") and self.chance(0.6)):
                 text = f'<a href="/{self.word()}">{text}</a>'
             tag = self.pick(["li", "li", "p", "div", "span"]) if kind in ("nav", "aside") else self.pick(["p", "div", "span", "h3", ""])
-            out.append((f"<{tag}>{text}</{tag}>" if tag else f"{text}\n", 0))
+            piece = [(f"<{tag}>{text}</{tag}>" if tag else f"{text}\n", 0)]
             if tag in ("span", ""):
-                out.append(("<br/><hr>", -1))
-        if kind in ("nav", "aside", "footer", "share") and self.chance(0.5):
+                piece.append(("<br/><hr>", -1))
+            if kind == "comments" and self.chance(0.5):  # one box for each, perhaps with its writer
+                who = self.boxed([(f'<a href="/u">{self.word()}</a>', 0)], _OTHER["share"]) if self.chance(0.4) else []
+                piece = [(f'<div class="{self.pick(["comment", "reply", "answer"])}">', -1), *who, *piece, ("</div>", -1)]
+            out += piece
+        if kind == "comments" and self.chance(0.4):
+            tag = self.pick(["ol", "ul"])
+            out = [(f"<{tag}>", -1), *(x for piece in out for x in ((("<li>", -1), piece) if piece[1] == 0 else (piece,))), (f"</{tag}>", -1)]
+        elif kind in ("nav", "aside", "footer", "share") and self.chance(0.5):
             out = [("<ul>", -1), *out, ("</ul>", -1)]
         return self.wrapped(kind, out)
 
+    def piece(self, said: list[str]) -> list[tuple[str, int]]:
+        """A paragraph of the article or what may stand in its place."""
+        text = self.say(1, 12, said) if self.chance(0.2) else self.say(2, 12) if self.chance(0.3) else self.say(1, 70)
+        if self.chance(0.15):
+            text = f"<b>{text}" + ("</b>" if self.chance(0.5) else "")
+        if self.chance(0.15):
+            text = text.replace(" ", ' <a href="x">link</a> ', 1)
+        kind = self.rng.random()
+        if kind < 0.64:
+            return [(f"<p>{text}" + ("</p>" if self.chance(0.8) else "<br>"), 1)]
+        if kind < 0.72:
+            return [(f"<h2>{self.say(1, 8)}</h2>", 1)]
+        if kind < 0.76:
+            return [(f"<h3>{self.say(1, 5)}</h3>", 1)]
+        if kind < 0.83:
+            tag = self.pick(["ul", "ol"])
+            return [(f"<{tag}>" + "".join(f"<li>{self.say(1, 12)}</li>" for _ in range(self.count(2, 6))) + f"</{tag}>", 1)]
+        if kind < 0.86:
+            return [(f"<blockquote>{text}</blockquote>", 1)]
+        if kind < 0.89:
+            cell = self.pick(["td", "th"])
+            attr = self.pick(["", ' class="infobox"', f' class="{self.nonsense()}"'])
+            return [(f"<table{attr}>" + "".join(f"<tr><{cell}>{self.say(1, 3)}</{cell}><td>{self.say(1, 4)}</td></tr>" for _ in range(self.count(1, 5))) + "</table>", 1)]
+        if kind < 0.92:
+            return [("<dl>" + "".join(f"<dt>{self.say(1, 2)}</dt><dd>{self.say(2, 14)}</dd>" for _ in range(self.count(1, 5))) + "</dl>", 1)]
+        if kind < 0.94:
+            return [(f"<pre>{self.say(1, 12)}</pre>", 1)]
+        if kind < 0.96:
+            return [(f'<figure><img src="x"><figcaption>{self.say(2, 10)}</figcaption></figure>', 1)]
+        if kind < 0.975:
+            return [(f"<details><summary>{self.say(1, 3)}</summary><p>{text}</p></details>", 1)]
+        return [(f"<div>{text}</div>", 1)] if self.chance(0.5) else [(f"{text}<br><br>", 1), ("<hr>", -1)]
+
     def article(self) -> list[tuple[str, int]]:
         # What other blocks say may be said in the text too: where it stands decides, not its words.
         said = [w for ws in _SAID.values() for w in ws]
-        out = [(f"<h1>{self.say(2, 12, said if self.chance(0.2) else None)}</h1>", 1)] if self.chance(0.85) else []
+        out = [(f"<{h}>{self.say(2, 12, said if self.chance(0.2) else None) if self.chance(0.85) else self.word()}</{h}>", 1) for h in ["h1" if self.chance(0.8) else self.pick(["h2", "h3"])]] if self.chance(0.85) else []
         if self.chance(0.3):
             out += self.other("share")
-        for _ in range(int(self.rng.integers(1, 12))):
-            text = self.say(1, 12, said) if self.chance(0.2) else self.say(1, 70)
-            if self.chance(0.15):
-                text = f"<b>{text}" + ("</b>" if self.chance(0.5) else "")
-            if self.chance(0.15):
-                text = text.replace(" ", ' <a href="x">link</a> ', 1)
-            kind = self.rng.random()
-            if kind < 0.75:
-                out.append((f"<p>{text}" + ("</p>" if self.chance(0.8) else "<br>"), 1))
-            elif kind < 0.83:
-                out.append((f"<h2>{self.say(1, 8)}</h2>", 1))
-            elif kind < 0.9:
-                out.append((f"<ul><li>{self.say(1, 12)}</li><li>{self.say(1, 12)}</li></ul>", 1))
-            elif kind < 0.95:
-                out.append((f"<blockquote>{text}</blockquote>", 1))
-            else:
-                out.append((f"<table><tr><td>{self.say(1, 3)}</td><td>{self.say(1, 3)}</td></tr></table>", 1))
+        body, plain = [], self.chance(0.04)
+        for _ in range(self.count(1, 11)):
+            body += [(f"{self.say(5, 60)}<br><br>", 1)] if plain else self.piece(said)
             if self.chance(0.06):
-                out += self.other(self.pick(["ad", "aside", "notice", "form"]))
-        tag = self.pick(["article", "main", "div", "article", "section"])
-        attr = f' {self.pick(["class", "id"])}="{self.pick(_CONTENT)}"' if tag in ("div", "section") or self.chance(0.4) else ""
-        return [(f"<{tag}{attr}>", -1), *out, (f"</{tag}>", -1)]
+                body += self.other(self.pick(["ad", "aside", "notice", "form"]))
+            if self.chance(0.03):
+                body = [*self.boxed(body, ["section", "body", "text", "chapter"], ("section", "div"))]
+        if self.chance(0.3):
+            body += [(f"<p>{self.say(2, 6)}</p>", 1)]  # a short last paragraph
+        out += self.boxed(body, _CONTENT) if self.chance(0.25) else body
+        if self.chance(0.1):
+            out += self.other("share")
+        how = self.rng.random()
+        if how < 0.08:
+            return out  # in no element of its own
+        tag = self.pick(["article", "main", "div", "article", "section", "div"])
+        name = self.pick(_CONTENT) if how < 0.65 else self.nonsense()
+        attr = f' {self.pick(["class", "id"])}="{name}"' if tag in ("div", "section") and how < 0.92 or self.chance(0.4) else ""
+        out = [(f"<{tag}{attr}>", -1), *out, (f"</{tag}>", -1)]
+        return self.boxed(out, _OUTER + _CONTENT, ("div", "div", "main")) if self.chance(0.25) else out
 
     def page(self) -> list[tuple[str, int]]:
-        out: list[tuple[str, int]] = [("<!DOCTYPE html><html><head><title>x</title></head><body>", -1)]
+        out: list[tuple[str, int]] = []
         for kind, p in (("notice", 0.2), ("header", 0.35), ("nav", 0.75), ("form", 0.15), ("ad", 0.45), ("aside", 0.2)):
             if self.chance(p):
                 out += self.other(kind)
-        if self.chance(0.97):
-            out += self.article()
-        for kind, p in (("share", 0.2), ("comments", 0.35), ("aside", 0.35), ("ad", 0.2), ("form", 0.15), ("notice", 0.15), ("footer", 0.8)):
+        middle = self.article() if self.chance(0.97) else []
+        after = []
+        for kind, p in (("share", 0.2), ("comments", 0.35), ("aside", 0.35), ("ad", 0.2), ("form", 0.15), ("notice", 0.15)):
             if self.chance(p):
-                out += self.other(kind)
-        return [*out, ("</body></html>", -1)]
+                after += self.other(kind)
+        out += self.boxed(middle + after, _OUTER + ["thread", "topic", "questions"]) if self.chance(0.25) else middle + after
+        if self.chance(0.8):
+            out += self.other("footer")
+        for _ in range(self.count(0, 2) if self.chance(0.4) else 0):
+            out = self.boxed(out, _OUTER)
+        return [("<!DOCTYPE html><html><head><title>x</title></head><body>", -1), *out, ("</body></html>", -1)]
 
 
 def training_page(maker: _Pages) -> tuple[list[Block], np.ndarray]:
@@ -481,13 +554,25 @@ def train(pages: int = TRAIN_PAGES, rounds: int = ROUNDS, seed: int = 9) -> Labe
     return net
 
 
+#: The file of the package that holds the weights that train() made (`python -m skarn.llm.html_extract` makes it anew).
+WEIGHTS = "html_labeller.npz"
+
+
+def save(net: Labeller, path: str) -> None:
+    """Writes the weights of a labeller as 16-bit floats."""
+    np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in net.p.items()})
+
+
 _trained: list[Labeller] = []
 
 
 def labeller() -> Labeller:
-    """The trained network, made once for each driver."""
+    """The trained network, from the package's weights, read once for each driver."""
     if not _trained:
-        _trained.append(train())
+        net = Labeller()
+        with np.load(io.BytesIO(pkgutil.get_data(__package__, WEIGHTS))) as kept:
+            net.p = {k: kept[k].astype(np.float32) for k in net.p}
+        _trained.append(net)
     return _trained[0]
 
 
@@ -516,7 +601,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html).
 
     text is the page's main text, decoded, with one space between words and blocks; '' for null or
-    empty html and for pages without any. n_chars counts its code points. Repeated rows are read one by
+    empty html and for pages without any. A block whose chance is a half or less isn't main text. n_chars counts its code points. Repeated rows are read one by
     one; an empty table gives an empty result.
     """
     small_batches(pages.sparkSession)
@@ -528,3 +613,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return select_as(pages, page_id="long", url="string", html="string").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    save(train(), str(pathlib.Path(__file__).with_name(WEIGHTS)))
