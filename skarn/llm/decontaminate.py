@@ -99,12 +99,34 @@ def keys_of(chars: np.ndarray, wanted: tuple[int, ...] = STEPS) -> dict[int, np.
 def edited(chars: np.ndarray, n: int, rng) -> np.ndarray:
     """chars after n edits at random: characters replaced, put in or taken out."""
     raw = bytearray(chars.tobytes())
-    for _ in range(n):
-        at, kind = int(rng.integers(0, len(raw))), int(rng.integers(0, 3))
-        raw[at : at + (kind != 1)] = bytes([int(rng.integers(97, 123))]) if kind != 2 else b""
+    for where, how, what in rng.random((n, 3)).tolist():
+        at, kind = int(where * len(raw)), int(how * 3)
+        raw[at : at + (kind != 1)] = bytes([97 + int(what * 26)]) if kind != 2 else b""
     return np.frombuffer(bytes(raw), np.uint8)
 
 
+def _apart(texts) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
+    """(keys of all walks of texts, each text followed by 0s; the text's number and the place in it of each key)."""
+    room = [len(t) + STEPS[0] + 2 for t in texts]
+    data = np.concatenate([np.pad(t, (0, n - len(t))) for t, n in zip(texts, room)])
+    copy, at = np.repeat(np.arange(len(texts)), room), np.concatenate([np.arange(n) for n in room])
+    inside = at < np.repeat([len(t) for t in texts], room)
+    return {s: k[inside] for s, k in keys_of(data).items()}, copy[inside], at[inside]
+
+
+def _of_copy(keys: np.ndarray, copy: np.ndarray) -> np.ndarray:
+    """Keys that are equal only within a copy."""
+    return (keys ^ copy.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) ^ (copy.astype(np.uint64) << np.uint64(40))
+
+
+def _held(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where keys are that are among others."""
+    marks = np.zeros(1 << 20, bool)
+    marks[among >> np.uint64(44)] = True
+    at, values = np.flatnonzero(marks[keys >> np.uint64(44)]), np.sort(among)
+    return at[values[np.minimum(np.searchsorted(values, keys[at]), len(values) - 1)] == keys[at]]
+
+
 def least_lengths(texts: list[np.ndarray], share: float, recall: float) -> dict[int, int]:
     """Steps -> characters that an item needs so that copies with the full share of edits have a key of it, at this recall."""
     rng, out, failed = np.random.default_rng(17), {}, set()
@@ -112,14 +134,17 @@ def least_lengths(texts: list[np.ndarray], share: float, recall: float) -> dict[
         long = [t for t in texts if len(t) >= size]
         if not long:
             continue
-        found = dict.fromkeys(STEPS, 0)
+        pairs = []
         for _ in range(COPIES):
             t = long[int(rng.integers(0, len(long)))]
             at = int(rng.integers(0, len(t) - size + 1))
             t = t[at : at + size]
-            a, b = keys_of(t), keys_of(edited(t, int(share * size), rng))
-            for s in STEPS:
-                found[s] += bool(np.isin(a[s][: max(0, size - s)], b[s]).any())
+            pairs.append((t, edited(t, int(share * size), rng)))
+        (a, a_copy, a_at), (b, b_copy, _) = (_apart(x) for x in zip(*pairs))
+        found = {}
+        for s in STEPS:
+            whole = a_at < size - s
+            found[s] = len(np.unique(a_copy[whole][_held(_of_copy(a[s], a_copy)[whole], _of_copy(b[s], b_copy))]))
         for s in STEPS:  # all lengths from there on must reach it
             if found[s] >= recall * COPIES and s not in failed:
                 out[s] = size
