@@ -88,3 +88,27 @@ def test_lists_of_twenty_thousand_entries_end(spark):
     out = got(spark, gold, pred)
     assert len({r[1] for r in out}) == len(out) == len({r[2] for r in out}) and len(out) > 19_000
     assert sum(g == p for _, g, p, _ in out) >= 15_000 and time.time() - began < 300
+
+
+def test_the_choice_of_a_row_does_not_make_all_pairs_of_copies(spark):
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(5)]
+    kinds = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(6)]
+    side = lambda n: [("a", i, rng.choice(kinds), rng.choice(kinds)) for i in range(n)]
+    gold, pred = side(4000), side(3500)
+    pack = lambda rows: spark.createDataFrame(rows, DDL).groupBy("accession_no").agg(F.array_sort(F.collect_list(F.struct("place", "title", "summary"))).alias("l"))
+    both = pack(gold).withColumnRenamed("l", "g").join(pack(pred).withColumnRenamed("l", "p"), "accession_no")
+    at = time.monotonic()
+    m = both.select(scoring.greedy_matches(F.col("g"), F.col("p")).alias("m")).first().m
+    assert time.monotonic() - at < 30
+    assert sorted(("a", x.g, x.p, round(x.score, 9)) for x in m) == got(spark, gold, pred)
+    assert [(-x.score, x.g, x.p) for x in m] == sorted((-x.score, x.g, x.p) for x in m)
+
+
+def test_the_choice_of_a_row_takes_nulls_and_thresholds(spark):
+    kind = "array<struct<title:string,category:string,summary:string>>"
+    rows = [(1, [("word1 word2", "c", None), None, (None, "c", "word3"), ("", "c", "the of")], [("word2", "c", "word3"), (None, None, None)]), (2, None, [("word1", "c", "")]), (3, [], [("word1", "c", "")])]
+    df = spark.createDataFrame(rows, f"k int, g {kind}, p {kind}")
+    run = lambda t: {r.k: None if r.m is None else [(x.g, x.p, round(x.score, 9)) for x in r.m] for r in df.select("k", scoring.greedy_matches(F.col("g"), F.col("p"), t).alias("m")).collect()}
+    assert run(0.3) == {1: [(0, 0, round(0.7 * 2 / 3, 9))], 2: None, 3: []}
+    assert run(0.0) == {1: [(0, 0, round(0.7 * 2 / 3, 9)), (1, 1, 0.0)], 2: None, 3: []}
