@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,12 @@ def test_no_interval_without_enough_clusters(spark):
     assert resample.bootstrap(stats(spark, []), "k", ["m"], 100).count() == 0
     zero = spark.createDataFrame([(1, 0.0, 0.0)], "k int, m_num double, m_den double")
     assert resample.bootstrap(zero, "k", ["m"], 100).count() == 0
+
+
+def test_report_of_long_lists_of_copies(spark):
+    kinds = [CYBER, FX, PARAPHRASE, ("Weather", "other", "Storms may close stores")]
+    df = spark.range(3).select(*[F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i, s=step: F.element_at(F.from_json(F.lit(json.dumps([dict(zip(("title", "category", "summary"), k)) for k in kinds])), RISKS), (i * s % 4 + 1).cast("int"))).alias(c) for c, n, step in (("g", 4000, 1), ("p", 4400, 3))])
+    at = time.monotonic()
+    r = scoring.risk_report(df.select(scoring.risk_score(F.col("g"), F.col("p")).alias("r")).select("r.*")).first()
+    assert time.monotonic() - at < 40
+    assert (r.n, r.n_gold, r.n_pred, r.category_tp, r.matched, r.matched_same_category) == (3, 12000, 13200, 12000, 12000, 12000)
