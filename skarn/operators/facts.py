@@ -42,7 +42,10 @@ def select_facts(facts: DataFrame, priority: DataFrame, tie_break: list[str], pe
     if periods is not None:
         rows = rows.join(periods.select("accession_no", "period_of_report"), "accession_no", "left")
         rows = rows.where(F.col("period_of_report").isNull() | (F.col("period") == F.col("period_of_report")))
-    rows = rows.join(priority, "concept")
+    # A concept has a fact of nearly every filing: joined by concept alone, all of these would be one task's.
+    share = 4 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64("accession_no"), F.lit(share)).cast("int"))
+    rows = rows.join(priority.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(share - 1)))), ["concept", "_share"])
     preferred = F.coalesce(F.col("statement_type").isin(*PREFERRED_STATEMENTS), F.lit(False))
     best = Window.partitionBy("accession_no", "field").orderBy("concept_rank", preferred.desc(), F.desc("duration_days"), *tie_break)
     rows = rows.withColumn("nth", F.row_number().over(best)).where("nth = 1")
