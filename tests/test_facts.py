@@ -98,3 +98,15 @@ def test_facts_of_a_concept_are_dealt_over_tasks(spark, capsys):
     got.explain()
     dealt = re.findall(r"hashpartitioning\(([^)]*)\)", capsys.readouterr().out)
     assert dealt and not any(re.fullmatch(r"concept#\d+, \d+", by) for by in dealt)
+
+
+def test_figures_with_fallbacks_are_dealt_over_tasks(spark, tmp_path, capsys):
+    from skarn.plans.queries import QUERIES
+
+    spark.sql("SELECT id AS o_orderkey, 1.0D + id AS o_totalprice, timestamp_ntz'1999-01-01' AS o_orderdate FROM range(50)").write.parquet(f"{tmp_path}/orders.parquet")
+    line = "id AS l_orderkey, 1L AS l_partkey, 1L AS l_suppkey, 1 AS l_linenumber, 2.0D AS l_quantity, 5.0D + id AS l_extendedprice, 0.0D AS l_discount, 'R' AS l_returnflag, 'F' AS l_linestatus, timestamp_ntz'1999-02-01' AS l_shipdate"
+    spark.sql(f"SELECT {line} FROM range(50)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["fact_fallback_eps"](spark, str(tmp_path))
+    assert sorted((r["accession_no"], r["revenue"]) for r in got.collect()) == [(i, 5.0 + i) for i in range(50)]
+    got.explain()
+    assert not re.search(r"hashpartitioning\(concept#\d+, \d+\)", capsys.readouterr().out)
