@@ -90,9 +90,13 @@ def test_warnings(values):
     assert values([facts.kept_warnings(F.col("w"))], [(["revenue_from_metrics_fallback", "item1_failed: x", "xbrl_unavailable: y"],), ([],)], "w array<string>") == [(["item1_failed: x"],), ([],)]
 
 
-def test_facts_of_a_concept_are_dealt_over_tasks(spark, capsys):
+def test_facts_of_a_concept_are_dealt_over_tasks(spark, capsys, request):
     k = F.col("id")
     f = spark.range(20_000).select(k.alias("accession_no"), F.when(k % 100 != 0, NI).otherwise(ASSETS).alias("concept"), k.cast("double").alias("numeric_value"), F.lit(False).alias("is_dimensioned"), F.lit("IncomeStatement").alias("statement_type"), F.lit(0).alias("duration_days"), F.lit(P).alias("period"), F.lit(0).alias("fact_seq"))
+    # So few facts would be broadcast.
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast))
     got = facts.select_facts(f, facts.concept_priority(spark), ["fact_seq"])
     assert got.where("field = if(accession_no % 100 = 0, 'total_assets', 'net_income') and value = accession_no").count() == got.count() == 20_000
     got.explain()
