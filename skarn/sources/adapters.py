@@ -9,12 +9,14 @@ from __future__ import annotations
 import json
 import threading
 import time
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -203,13 +205,21 @@ def label(rows: DataFrame, make: Callable[[], Callable[[str], list[dict]]], key:
     return _calls(rows, make, "", key, text, schema, outcome, tries, first_wait, concurrent, per_second, tasks)
 
 
-def token_ids(rows: DataFrame, make: Callable[[], Callable[[str], list[int]]], text: str, into: str = "ids") -> DataFrame:
-    """rows with the ids that a tokenizer gives text; null text has none."""
+def token_ids(rows: DataFrame, make: Callable[[], Callable[[str], list[int]]], text: str, into: str = "ids", most: int = 1_000_000) -> DataFrame:
+    """rows with the ids that a tokenizer gives text; null text has none. A task holds the ids of one text and up to most more."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{into}` array<int>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = make()
-        for frame in frames:
-            yield frame.assign(**{into: [[] if t is None else list(tokenizer(t)) for t in frame[text]]})
-
-    return rows.mapInPandas(run, schema)
+        for batch in batches:
+            texts, start, ids, ends = batch.column(text), 0, array("i"), [0]
+            for i in range(len(texts)):
+                ids.extend(tokenizer(t) if (t := texts[i].as_py()) is not None else ())
+                ends.append(len(ids))
+                # Ids are packed, and go on before they are many: texts of a batch may be long.
+                if len(ids) >= most or i + 1 == len(texts):
+                    packed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, i + 1 - start).columns, packed], [*batch.schema.names, into])
+                    start, ids, ends = i + 1, array("i"), [0]
+
+    return rows.mapInArrow(run, schema)

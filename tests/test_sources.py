@@ -124,6 +124,28 @@ def test_tokenizers(spark):
     assert [r["ids"] for r in adapters.token_ids(spark.createDataFrame([("ab",), (None,)], "t string"), make, "t").collect()] == [[97, 98], []]
 
 
+def test_ids_of_a_batch_go_on_before_they_are_many(spark):
+    sizes = [0, 5, 3_000, 70_000, 1, 0, 2_500, 9]
+    rows = [(i, None if n == 9 else chr(960 + i) * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "k int, t string").coalesce(1)
+    got = adapters.token_ids(df, lambda: lambda t: [ord(c) for c in t], "t", most=2_000)
+    assert [(r["k"], r["t"], r["ids"]) for r in got.collect()] == [(i, t, [ord(c) for c in t or ""]) for i, t in rows]
+
+
+def test_memory_of_a_task_does_not_grow_with_its_ids(spark):
+    rows = spark.range(400, numPartitions=1).select(F.repeat(F.lit("ab"), 50_000).alias("t"))
+
+    def make():
+        import resource
+
+        # Its own growth, told in place of ids: 40 million of them would take 320 MB as a list.
+        begun = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        return lambda t: [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - begun, *map(ord, t)]
+
+    most = adapters.token_ids(rows, make, "t").select(F.col("ids")[0].alias("kb"), F.size("ids").alias("n")).agg(F.max("kb"), F.sum("n")).first()
+    assert most[1] == 400 * 100_001 and most[0] < 150_000
+
+
 def test_retries():
     waits, calls = [], []
 
