@@ -60,11 +60,15 @@ def float_text(x: Column) -> Column:
         number = F.when(d == "", F.lit("0.0")).when(place.between(-3, 16), plain).otherwise(scientific)
         return F.concat(F.when(p["minus"], F.lit("-")).otherwise(F.lit("")), number)
 
+    # Java's text of up to 15 digits without an exponent is Python's, unless a zero ends it needlessly: two numbers
+    # of so few digits are never one double. Only the rest is taken apart.
+    simple = lambda t: (F.length(t) <= 16) & F.contains(t, F.lit(".")) & ~F.contains(t, F.lit("E")) & (~F.endswith(t, F.lit("0")) | F.endswith(t, F.lit(".0")))
+    shown = x.cast("double").cast("string")
     odd = F.when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("Infinity")).when(x == float("-inf"), F.lit("-Infinity"))
     usual = x.cast("double").cast("string")
     for step in (read, digits, shortest, written):
         usual = _let(usual, step)
-    return F.coalesce(odd, usual)
+    return F.when(simple(shown), shown).otherwise(F.coalesce(odd, usual))
 
 
 def _unit(code: Column) -> Column:
@@ -83,8 +87,9 @@ def string_text(s: Column, ascii_only: bool) -> Column:
         high, low = F.lit(0xD800) + F.floor((code - 0x10000) / 1024), F.lit(0xDC00) + (code - 0x10000) % 1024
         return F.when(~c.rlike(rare), c).when(code < 0x10000, _unit(code)).otherwise(F.concat(_unit(high), _unit(low)))
 
-    # Only a string with such characters is taken apart.
-    apart = lambda o: F.array_join(F.transform(F.regexp_extract_all(o, F.lit(r"(?s)(.)"), F.lit(1)), escape), "")
+    # Only a string with such characters is taken apart, into runs without them and each of them.
+    runs = r"(?s)([^\x00-\x1f]+|.)" if not ascii_only else r"(?s)([\x20-\x7e]+|.)"
+    apart = lambda o: F.array_join(F.transform(F.regexp_extract_all(o, F.lit(runs), F.lit(1)), escape), "")
     return F.concat(F.lit('"'), _let(out, lambda o: F.when(o.rlike(rare), apart(o)).otherwise(o)), F.lit('"'))
 
 

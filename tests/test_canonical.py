@@ -3,11 +3,12 @@
 import json
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.functions.canonical import float_text, python_json
+from skarn.functions.canonical import float_text, python_json, string_text
 from skarn.schemas import TARGET_DDL
 
 STRINGS = ["", "plain", 'a "quote" and \\ back', "line\nfeed\r\t\b\f", "\x00\x1f\x7f", "Ünï çödé", "日本", "\U0001f600 and \U0010ffff", "a/b", " ", "é"]
@@ -46,3 +47,29 @@ def test_targets(spark):
 def test_other_types_are_refused():
     with pytest.raises(TypeError):
         python_json(F.lit(None), "date")
+
+
+def test_decimals_of_every_length(spark):
+    rng = random.Random(3)
+    xs = [sign * rng.randrange(10**n) / 10**k for n in range(1, 17) for k in range(0, 12) for sign in (1, -1) for _ in range(8)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(float_text(F.col("x"))).collect()]
+    assert [(x, g) for x, g in zip(xs, got) if g != json.dumps(x)] == []
+
+
+def seconds(df):
+    df.write.format("noop").mode("overwrite").save()
+    at = time.monotonic()
+    df.write.format("noop").mode("overwrite").save()
+    return time.monotonic() - at
+
+
+def test_usual_numbers_are_not_taken_apart(spark):
+    cents, thirds = (spark.range(400_000, numPartitions=4).select(float_text((F.col("id") + 7) / n).alias("x")) for n in (100.0, 3.0))
+    assert seconds(cents) < 0.5 * seconds(thirds)
+
+
+def test_runs_of_usual_characters_between_rare_ones(spark):
+    texts = ["é", "aé\U0001f600b\x01\x02c\n ", "\x7f\x7f", "é" * 5 + "x" * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for ascii_only in (True, False):
+        assert [r[0] for r in df.select(string_text(F.col("t"), ascii_only)).collect()] == [json.dumps(t, ensure_ascii=ascii_only) for t in texts]
