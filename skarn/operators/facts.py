@@ -33,14 +33,16 @@ def select_facts(facts: DataFrame, priority: DataFrame, tie_break: list[str], pe
     """(accession_no, field, concept, value): one fact for each filing and field that has a usable one.
 
     facts: accession_no, concept, numeric_value, is_dimensioned, statement_type, duration_days, period,
-    and the columns of tie_break. periods (accession_no, period_of_report): a filing's own period, whose
-    facts alone count; without one, all do. Of the usable facts the first concept by rank wins, then
-    those on a face statement, the longest duration, and the first by tie_break.
+    and the columns of tie_break. period_of_report, of periods (accession_no, period_of_report) or of the
+    facts themselves: a filing's own period, whose facts alone count; without one, all do. Of the usable
+    facts the first concept by rank wins, then those on a face statement, the longest duration, and the
+    first by tie_break.
     """
     rows = facts.withColumn("numeric_value", number_or_null(F.col("numeric_value")))
     rows = rows.where(F.col("numeric_value").isNotNull() & ~F.coalesce(F.col("is_dimensioned"), F.lit(False)))
     if periods is not None:
         rows = rows.join(periods.select("accession_no", "period_of_report"), "accession_no", "left")
+    if "period_of_report" in rows.columns:
         rows = rows.where(F.col("period_of_report").isNull() | (F.col("period") == F.col("period_of_report")))
     # A concept has a fact of nearly every filing: joined by concept alone, all of these would be one task's.
     share = 4 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))

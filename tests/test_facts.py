@@ -44,6 +44,13 @@ def test_no_period_of_its_own(spark):
     assert select(spark, [fact(EPS, 0, 4.25, end="2024-01-01")], None) == {"eps_diluted": 4.25}
 
 
+def test_period_of_report_of_the_facts(spark):
+    f = spark.createDataFrame([("a", NI, 1.0, "2024", "2025"), ("a", NI, 2.0, "2025", "2025"), ("b", NI, 3.0, "2024", None), ("c", NI, 4.0, "2024", "2025")], "accession_no string, concept string, numeric_value double, period string, period_of_report string")
+    f = f.withColumns({"is_dimensioned": F.lit(False), "statement_type": F.lit("IncomeStatement"), "duration_days": F.lit(0), "fact_seq": F.col("numeric_value")})
+    got = facts.select_facts(f, facts.concept_priority(spark), ["fact_seq"])
+    assert sorted((r["accession_no"], r["value"]) for r in got.collect()) == [("a", 2.0), ("b", 3.0)]
+
+
 def test_durations(values):
     d = facts.duration_days(F.col("s"), F.col("e"))
     assert values([d], [("2024-01-01", "2024-01-31"), ("2024-02-01", "2024-01-31"), (None, P), ("x", P)], "s string, e string") == [(30,), (-1,), (0,), (0,)]
@@ -114,3 +121,11 @@ def test_figures_with_fallbacks_are_dealt_over_tasks(spark, tmp_path, capsys):
     assert sorted((r["accession_no"], r["revenue"]) for r in got.collect()) == [(i, 5.0 + i) for i in range(50)]
     got.explain()
     assert not re.search(r"hashpartitioning\(concept#\d+, \d+\)", capsys.readouterr().out)
+
+
+def test_orders_are_sorted_no_oftener_than_needed(spark, capsys):
+    from skarn.plans.queries import QUERIES
+
+    for name, most in (("fact_selection", 1), ("fact_fallback_eps", 3)):
+        QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+        assert len(re.findall(r"FileScan parquet.*orders\.parquet", capsys.readouterr().out)) == most
