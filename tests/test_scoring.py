@@ -91,3 +91,13 @@ def test_report_of_long_lists_of_copies(spark):
     r = scoring.risk_report(df.select(scoring.risk_score(F.col("g"), F.col("p")).alias("r")).select("r.*")).first()
     assert time.monotonic() - at < 40
     assert (r.n, r.n_gold, r.n_pred, r.category_tp, r.matched, r.matched_same_category) == (3, 12000, 13200, 12000, 12000, 12000)
+
+
+def test_report_of_long_lists_of_many_titles(spark):
+    words = "red blue hot cold old new large small".split()
+    entry = lambda i: F.struct(F.concat_ws(" ", *[F.element_at(F.array(*map(F.lit, words)), ((i * a + i.cast("int") / b).cast("int") % 8 + 1).cast("int")) for a, b in ((1, 8), (3, 5))]).alias("title"), F.lit("c").alias("category"), F.lit("Storms").alias("summary"))
+    df = spark.range(2).select(*[F.transform(F.sequence(F.lit(0), F.lit(n - 1)), entry).alias(c) for c, n in (("g", 1000), ("p", 900))])
+    at = time.monotonic()
+    r = scoring.risk_report(df.select(scoring.risk_score(F.col("g"), F.col("p")).alias("r")).select("r.*")).first()
+    assert time.monotonic() - at < 40
+    assert (r.n, r.n_gold, r.n_pred, r.category_tp, r.matched, r.matched_same_category) == (2, 2000, 1800, 1800, 1800, 1800)
