@@ -77,7 +77,9 @@ def _choose(threshold: float, weight: float):
 
     def choose(gold, pred):
         from collections import defaultdict
-        from heapq import heappop, heappush
+        from heapq import heapify, heappop, heappush
+
+        import numpy as np
 
         if gold is None or pred is None:
             return None
@@ -88,33 +90,43 @@ def _choose(threshold: float, weight: float):
             for i, text in enumerate(texts):
                 places[text].append(i)
             sides.append([([part.split() for part in text.split("|")], at) for text, at in places.items()])
-        index = ({}, {})
-        for j, (words, _) in enumerate(sides[1]):
-            for known, part in zip(index, words):
-                for w in part:
-                    known.setdefault(w, []).append(j)
-        levels = defaultdict(list)
-        for words, gs in sides[0]:
-            shared = defaultdict(lambda: [0, 0])
-            for k in (0, 1):
+        sizes, index = [], []
+        for k in (0, 1):
+            known = defaultdict(list)
+            for j, (words, _) in enumerate(sides[1]):
                 for w in words[k]:
-                    for j in index[k].get(w, ()):
-                        shared[j][k] += 1
-            for j in shared if threshold > 0 else range(len(sides[1])):
-                other, ps = sides[1][j]
-                title, summary = (2.0 * n / (len(a) + len(b)) if n else 0.0 for n, a, b in zip(shared[j], words, other))
-                score = weight * title + (1 - weight) * summary
-                if score >= threshold:
-                    levels[score].append((gs, ps))
+                    known[w].append(j)
+            sizes.append(np.array([len(words[k]) for words, _ in sides[1]], np.int64))
+            index.append({w: np.array(js, np.int32) for w, js in known.items()})
+        rows, cols, scores = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0)]
+        for i, (words, _) in enumerate(sides[0]):
+            dice = []
+            for k in (0, 1):
+                met = [index[k][w] for w in words[k] if w in index[k]]
+                n = np.bincount(np.concatenate(met), minlength=len(sides[1])) if met else 0
+                dice.append(2.0 * n / np.maximum(len(words[k]) + sizes[k], 1))
+            score = weight * dice[0] + (1 - weight) * dice[1]
+            cols.append(np.flatnonzero(score >= threshold).astype(np.int32))
+            rows.append(np.full(len(cols[-1]), i, np.int32))
+            scores.append(score[cols[-1]])
+        rows, cols, scores = (np.concatenate(x) for x in (rows, cols, scores))
+        order = np.argsort(-scores, kind="stable")
+        rows, cols, scores = rows[order], cols[order], scores[order]
+        ends = [0, *(np.flatnonzero(np.diff(scores)) + 1).tolist(), len(scores)]
         out, used_g, used_p = [], set(), set()
-        for score in sorted(levels, reverse=True):
+        left = [[at for _, at in side] for side in sides]
+        alive = [np.ones(len(side), bool) for side in sides]
+        for a, b in zip(ends, ends[1:]):
+            if len(used_g) == len(gold) or len(used_p) == len(pred):
+                break
             # Pairs of texts of one score: their places are merged in order, without making all pairs.
-            heap = []
-            for n, (gs, ps) in enumerate(levels[score]):
-                gs, ps = [x for x in gs if x not in used_g], [x for x in ps if x not in used_p]
-                if gs and ps:
-                    heappush(heap, (gs[0], ps[0], n, gs, ps, 0, 0))
-            while heap:
+            live = np.flatnonzero(alive[0][rows[a:b]] & alive[1][cols[a:b]]) + a
+            if not len(live):
+                continue
+            score, both = float(scores[a]), (rows[live].tolist(), cols[live].tolist())
+            heap = [(left[0][x][0], left[1][y][0], n, left[0][x], left[1][y], 0, 0) for n, (x, y) in enumerate(zip(*both))]
+            heapify(heap)
+            while heap and len(used_g) < len(gold) and len(used_p) < len(pred):
                 g, p, n, gs, ps, i, j = heappop(heap)
                 if g not in used_g and p not in used_p:
                     used_g.add(g)
@@ -126,6 +138,10 @@ def _choose(threshold: float, weight: float):
                     j += 1
                 if i < len(gs) and j < len(ps):
                     heappush(heap, (gs[i], ps[j], n, gs, ps, i, j))
+            for of, ok, used, texts in zip(left, alive, (used_g, used_p), both):
+                for x in set(texts):
+                    of[x] = [at for at in of[x] if at not in used]
+                    ok[x] = bool(of[x])
         return out
 
     return choose
@@ -135,7 +151,8 @@ def greedy_matches(gold: Column, pred: Column, threshold: float = MATCH_THRESHOL
     """Array of (gold_index, pred_index, score): one-to-one, the most similar pairs first, ties to smaller indices.
 
     The only order-dependent step. Its work grows with the pairs of different texts of a row and with the
-    entries, not with the pairs of entries; words are found in the JVM, and few rows at once are in Python.
+    entries, not with the pairs of entries; a pair of texts is a few numbers in arrays. Words are found in the
+    JVM, and few rows at once are in Python.
     """
     words = lambda c: F.coalesce(F.array_join(F.array_sort(tokens(c)), " "), F.lit(""))
     seen = lambda rs: F.transform(rs, lambda r: F.concat(words(r["title"]), F.lit("|"), words(r["summary"])))

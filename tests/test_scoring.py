@@ -101,3 +101,12 @@ def test_report_of_long_lists_of_many_titles(spark):
     r = scoring.risk_report(df.select(scoring.risk_score(F.col("g"), F.col("p")).alias("r")).select("r.*")).first()
     assert time.monotonic() - at < 40
     assert (r.n, r.n_gold, r.n_pred, r.category_tp, r.matched, r.matched_same_category) == (2, 2000, 1800, 1800, 1800, 1800)
+
+
+def test_report_of_a_long_list_of_titles_that_all_differ(spark):
+    entry = lambda i: F.struct(F.concat_ws(" ", F.concat(F.lit("hot"), i % 8), F.concat(F.lit("bolt"), i % 7), F.concat(F.lit("w"), i)).alias("title"), F.lit("c").alias("category"), F.lit("Storms").alias("summary"))
+    df = spark.range(1).select(*[F.transform(F.sequence(F.lit(a), F.lit(2 * n), F.lit(2)), entry).alias(c) for c, a, n in (("g", 0, 3999), ("p", 1, 3700))])
+    at = time.monotonic()
+    r = scoring.risk_report(df.select(scoring.risk_score(F.col("g"), F.col("p")).alias("r")).select("r.*")).first()
+    assert time.monotonic() - at < 45
+    assert (r.n, r.n_gold, r.n_pred, r.category_tp, r.matched, r.matched_same_category) == (1, 4000, 3700, 3700, 3700, 3700)
